@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamento.llm import markup, survivors
+from filamento.llm import markup, residue, survivors
 from filamento.plans.runtime import table
 
 
@@ -25,6 +25,15 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    cases = residue.found(table(spark, d, "section_contents"), "section_key", "paragraphs", "text")
+    return cases.select("section_key", F.col("para_no").cast("bigint").alias("para_no"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.cleaned(table(spark, d, "section_contents"), "section_key", "paragraphs", "text")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
