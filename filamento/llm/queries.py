@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamento.llm import markup, residue, survivors
-from filamento.plans.runtime import table
+from filamento.llm import markup, prose, residue, survivors
+from filamento.plans.runtime import materialize, salted_join, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,19 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.cleaned(table(spark, d, "section_contents"), "section_key", "paragraphs", "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that are mostly no prose; those with residue (judged on these sections) are left out."""
+    sections = table(spark, d, "section_contents")
+    flagged = materialize(prose.not_prose(sections, "section_key", "paragraphs").select("section_key").distinct(), "no-prose")
+    rows = salted_join(sections.select("section_key", "paragraphs", "text"), flagged, ["section_key"], "left_semi")
+    with_residue = residue.found(rows, "section_key", "paragraphs", "text")
+    return flagged.join(with_residue.select("section_key"), "section_key", "left_anti")
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return prose.quality(table(spark, d, "section_contents"), "section_key", "paragraphs").distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
