@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamento.llm import markup, prose, residue, survivors
+from filamento.llm import level, markup, prose, residue, survivors
 from filamento.plans.runtime import materialize, salted_join, table
 
 
@@ -47,6 +47,14 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.quality(table(spark, d, "section_contents"), "section_key", "paragraphs").distinct()
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return level.levels(table(spark, d, "documents"), table(spark, d, "level_labels")).where(f"level = {level.LEVELS}").select("doc_id").distinct()
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return level.levels(table(spark, d, "documents"), table(spark, d, "level_labels")).distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
