@@ -24,11 +24,15 @@ TABLES, BLOCK = 4, 16  # Hamming distances up to TABLES - 1 share a block
 HAMMING, SIMILAR = 3, 0.8
 
 
+#: For an octet, its low and high four bits spread over four 16-bit counters of one word.
+_LANES = [np.array([sum(((v >> (4 * half + lane)) & 1) << (16 * lane) for lane in range(4)) for v in range(256)], np.uint64) for half in range(2)]
+
+
 def simhash(texts: list[str]) -> np.ndarray:
     """64-bit SimHash of each text over its distinct-position character 3-grams (int64)."""
     if not texts:
         return np.zeros(0, np.int64)
-    parts = [np.frombuffer(("\x02" + t + "\x03").encode("utf-32-le"), np.uint32) for t in texts]
+    parts = [np.frombuffer(("\x02" + (t or "\x03") + "\x03").encode("utf-32-le"), np.uint32) for t in texts]
     flat = np.concatenate(parts).astype(np.uint64)
     ends = np.cumsum([len(p) for p in parts])
     starts = ends - np.array([len(p) for p in parts])
@@ -41,13 +45,20 @@ def simhash(texts: list[str]) -> np.ndarray:
     g ^= g >> np.uint64(32)
     keep = np.ones(len(g), bool)
     keep[ends - 1] = False
-    keep[np.maximum(ends - 2, starts)] = False
-    keep[starts] |= ends - starts <= 2
-    bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    bits[~keep] = 0
-    ones = np.add.reduceat(bits, starts, axis=0)
-    n = np.add.reduceat(keep.astype(np.int32), starts)
-    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    keep[ends - 2] = False
+    n = np.add.reduceat(keep.astype(np.int64), starts)
+    out = np.zeros(len(texts), np.uint64)
+    for byte in range(8):
+        octet = ((g >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)
+        for half in range(2):
+            lanes = _LANES[half][octet]
+            lanes[~keep] = 0
+            # four 16-bit counters a word; a text of 2**16 grams or more has its counters split
+            sums = np.add.reduceat(lanes, starts) if n.max() < 65536 else None
+            for lane in range(4):
+                count = (sums >> np.uint64(16 * lane)) & np.uint64(65535) if sums is not None else np.add.reduceat((lanes >> np.uint64(16 * lane)) & np.uint64(65535), starts)
+                out |= (count.astype(np.int64) * 2 > n).astype(np.uint64) << np.uint64(8 * byte + 4 * half + lane)
+    return out.view(np.int64)
 
 
 def similarity(a: str, b: str) -> float:
