@@ -127,7 +127,7 @@ def found(rows: DataFrame, key: str, entries: str, whole: str) -> DataFrame:
     Null and empty entries are no residue but keep their position; rows without a key are left out;
     repeated rows give one result row; clashing extra columns are ignored.
     """
-    occurrences = _entries(rows.where(F.col(key).isNotNull()).select(key, entries, whole), key, entries, whole)
+    occurrences = materialize(_entries(rows.where(F.col(key).isNotNull()).select(key, entries, whole), key, entries, whole), "residue-occurrences")
     units = materialize(occurrences.select("uid", "unit").distinct().mapInArrow(_label, _LABELLED), "residue-units")
     labels = residue_units(units)
     met = salted_join(occurrences.select("_key", "para_no", "uid"), labels, ["uid"])
