@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamento.llm import level, markup, prose, residue, survivors
+from filamento.llm import leakage, level, markup, prose, residue, survivors
 from filamento.plans.runtime import materialize, salted_join, table
 
 
@@ -47,6 +47,14 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.quality(table(spark, d, "section_contents"), "section_key", "paragraphs").distinct()
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=False).where("run > 0").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("run > 0 or (common_share >= 0.6 and numbers_kept)")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return level.levels(table(spark, d, "documents"), table(spark, d, "level_labels")).where(f"level = {level.LEVELS}").select("doc_id").distinct()
 
