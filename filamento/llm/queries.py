@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamento.llm import leakage, level, markup, prose, residue, survivors
+from filamento.llm import leakage, level, markup, nearsets, prose, residue, survivors
 from filamento.plans.runtime import materialize, salted_join, table
 
 
@@ -13,6 +13,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "filings_index")).select("corp_code", "fy", "rcept_no")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = nearsets.similar_pairs(table(spark, d, "section_contents"), "section_key", "paragraphs")
+    return nearsets.expanded(pairs, members, "section_key").distinct()
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = nearsets.similar_pairs(table(spark, d, "section_contents"), "section_key", "paragraphs")
+    return nearsets.groups(pairs, members, "section_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     sections, blocks = table(spark, d, "section_contents"), table(spark, d, "blocks")
     parts = [markup.found(sections, "section_key", "text", False, "text"), markup.found(sections, "section_key", "tables_html", True, "tables_html"), markup.found(blocks, "block_key", "html", True, "html")]
