@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamento.llm import leakage, level, markup, nearsets, prose, residue, survivors
+from filamento.llm import leakage, level, markup, nearsets, packing, prose, residue, survivors
 from filamento.plans.runtime import materialize, salted_join, table
 
 
@@ -57,6 +57,18 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.quality(table(spark, d, "section_contents"), "section_key", "paragraphs").distinct()
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of space used, by spec."""
+    placed, specs = p8_pack(spark, d), table(spark, d, "pack_specs")
+    per = placed.groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    caps = specs.groupBy(F.col("spec_id").cast("bigint").alias("spec_id")).agg(F.max("capacity_tokens").alias("capacity"))
+    return per.join(caps, "spec_id").select("spec_id", "capacity", "containers", "pieces", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=False).where("run > 0").select("doc_id", "item_id")
 
