@@ -83,11 +83,21 @@ def words(col: Column) -> Column:
     return F.filter(F.split(F.coalesce(col, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, also where lambdas below use it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ngram_sequence(s: Column, n: int) -> Column:
+    """All character n-grams of a text in order; a shorter text has none."""
+    none = F.array().cast("array<string>")
+    return let(s, lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(none))
+
+
 def char_ngrams(col: Column, n: int = 3) -> Column:
     """Distinct character n-grams without white space; a shorter text is its own only gram."""
     s = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
-    return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(grams))
+    return let(s, lambda x: F.when(x == "", F.array().cast("array<string>")).when(F.length(x) < n, F.array(x)).otherwise(F.array_distinct(ngram_sequence(x, n))))
 
 
 def mask_numbers(col: Column) -> Column:
