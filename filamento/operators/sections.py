@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,15 @@ STANDARD = {
 TARGETS = {"S1": "사업의 내용", "S2": "이사의 경영진단 및 분석의견", "S3": "그 밖에 투자자 보호를 위하여 필요한 사항", "S4": "임원 및 직원 등에 관한 사항"}
 EOF = "EOF"
 _NOISE = str.maketrans("", "", " ·ㆍ・･.,:;-—–_()[]{}<>「」『』\"'’‘“”/|")
-KEYS = {v.translate(_NOISE).lower(): name for name, variants in STANDARD.items() for v in (name, *variants)}
+_LEADING = re.compile(X.LEADING_NUMBER.replace("(?U)", ""))
+
+
+def _key(name: str) -> str:
+    """The key text.norm_name gives a plain name; its number step may take a first syllable (사업 to 업)."""
+    return _LEADING.sub("", _LEADING.sub("", name)).translate(_NOISE).lower()
+
+
+KEYS = {_key(v): name for name, variants in STANDARD.items() for v in (name, *variants)}
 
 
 def indel_ratio(a: str, b: str) -> float:
