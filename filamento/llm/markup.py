@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from filamento.llm import marks
 from filamento.llm.cart import Tree
 
-LINK = re.compile(r"<a\b[^>]*>(.*?)</a>|!?\[([^\[\]\n]*)\]\([^()\n]*\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]|https?://\S+", re.I | re.S)
+LINK = re.compile(r"<a\b[^>]*>(.{0,400}?)</a>|!?\[([^\[\]\n]*)\]\([^()\n]*\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]|https?://\S+", re.I | re.S)
 SIGN = re.compile(r"[<>&*_~`#\[\]|'={}\\$!]|(?<=-)-")
 
 # The labelled table, one block a line: label, a bar, the block. Invented lines; neighbours are the lines around.

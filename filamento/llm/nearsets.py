@@ -246,8 +246,9 @@ def expanded(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
 def groups(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """(key, class_id, group_id, n_links): one row per record; groups are connected components.
 
-    Components by alternating large-star and small-star steps over written edges; a hub's links are
-    spread over tasks by the grouped minimum, which combines map-side.
+    Every record takes the least label among itself, its neighbours and its label's own label
+    (pointer jumping), until none changes; edges and labels are written tables, and the minimum over
+    a hub's neighbours combines map-side. ``n_links`` counts other classes.
     """
     edges = materialize(pairs.select("a", "b"), "near-edges")
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))

@@ -21,9 +21,9 @@ CLASSES = ("final", "function", "noun", "latin", "latin_function", "number", "ma
 # Sentence-final endings, particles and connective endings of Korean; function words of English.
 _WORD = re.compile(
     r"(?P<leader>\.{4,}|…{2,}|·{4,}|-{4,}|_{4,})"
-    r"|(?P<final>[가-힣A-Za-z0-9.,%()'\"’”」』]*(?:다|까|요|오|함|음|됨|임|없음|있음)[.?!。]+[)\"'”’」』]*|[A-Za-z][A-Za-z'’-]*[.?!]+(?=\s|$))"
+    r"|(?P<final>[가-힣A-Za-z0-9.,%()'\"’”」』]{0,40}(?:다|까|요|오|함|음|됨|임|없음|있음)[.?!。]+[)\"'”’」』]*|[A-Za-z][A-Za-z'’-]*[.?!]+(?=\s|$))"
     r"|(?P<latin_function>\b(?:the|a|an|of|and|or|in|on|at|to|for|from|by|with|is|are|was|were|be|been|has|have|had|that|this|which|who|its|it|as|not|but|than|their|our|we|they|will|may|when|while|because|before|after|against|under|into|more|some|too)\b)"
-    r"|(?P<function>[가-힣A-Za-z0-9.,%()'\"“”‘’『』「」·&/-]*[가-힣)%\"'”’』」](?:은|는|이|가|을|를|에|의|로|와|과|도|만|며|고|서|여|어|아|해|한|할|된|될|인|던|면|지|게|자|까지|부터|에서|에게|으로|마다|보다|처럼|라는|다는|하여|되어|있는|없는|하는|되는|따라|대한|위한|관한|통한|함께|다만|한편|또한|이후|별개로|이와)(?=[\s,;:]|$)[,;:]?)"
+    r"|(?P<function>[가-힣A-Za-z0-9.,%()'\"“”‘’『』「」·&/-]{0,40}[가-힣)%\"'”’』」](?:은|는|이|가|을|를|에|의|로|와|과|도|만|며|고|서|여|어|아|해|한|할|된|될|인|던|면|지|게|자|까지|부터|에서|에게|으로|마다|보다|처럼|라는|다는|하여|되어|있는|없는|하는|되는|따라|대한|위한|관한|통한|함께|다만|한편|또한|이후|별개로|이와)(?=[\s,;:]|$)[,;:]?)"
     r"|(?P<code>(?=[A-Za-z0-9-]*\d)(?=[A-Za-z0-9-]*[A-Za-z])[A-Za-z0-9]{2,}(?:-[A-Za-z0-9]+)*|\d+(?:-\d+){2,})"
     r"|(?P<number>[△▲▽▼+\-−(]?\d[\d,.:/~-]*\)?%?(?:개|명|원|건|년|월|일|회|백만원|천원|천톤)?)"
     r"|(?P<noun>[가-힣]+)|(?P<latin>[A-Za-z][A-Za-z'’-]*)"
