@@ -64,8 +64,8 @@ def listed_at(snapshots: DataFrame, listings: DataFrame, *, at: str, code: str,
 def missing_previous(keys: DataFrame, entity: str, period: str) -> DataFrame:
     """(entity, period - 1) needed by a later row but absent; the table's first period needs none."""
     have = keys.select(entity, period).where(F.col(entity).isNotNull() & F.col(period).isNotNull()).distinct()
-    first = have.agg(F.min(period).alias("_first"))
-    need = have.join(F.broadcast(first)).where(F.col(period) > F.col("_first")).select(entity, (F.col(period) - 1).alias(period))
+    first = have.agg(F.min(period).alias("_first")).scalar()
+    need = have.where(F.col(period) > first).select(entity, (F.col(period) - 1).alias(period))
     return need.join(have, [entity, period], "left_anti")
 
 

@@ -136,9 +136,9 @@ def j02(spark, d):
 @q("w10_lookahead_violations", f"SELECT count(*) AS violations, (SELECT count(*) FROM {DAILY} p JOIN {_FACTS} f ON p.stock_code = f.stock_code AND f.avail > p.date AND f.avail <= p.date + 30) AS later_facts")
 def w10(spark, d):
     used = P.as_of(daily(spark, d), facts(spark, d), key="stock_code", date="date", available="avail", values=["rcept_no"])
-    late = P.lookahead_violations(used, "date", "avail").agg(F.count(F.lit(1)).alias("violations"))
+    late = P.lookahead_violations(used, "date", "avail").agg(F.count(F.lit(1)).alias("violations")).scalar()
     ahead = daily(spark, d).withColumn("date", F.col("date").cast("date")).join(facts(spark, d).select("stock_code", "avail").distinct(), "stock_code").where("avail > date and avail <= date_add(date, 30)").agg(F.count(F.lit(1)).alias("later_facts"))
-    return late.join(ahead)
+    return ahead.select(late.alias("violations"), "later_facts")
 
 
 book.sql["w10_lookahead_violations"] = f"SELECT 0 AS violations, (SELECT count(*) FROM {DAILY} p JOIN (SELECT DISTINCT stock_code, avail FROM {_FACTS}) f ON p.stock_code = f.stock_code AND f.avail > CAST(p.date AS DATE) AND f.avail <= CAST(p.date AS DATE) + 30) AS later_facts"

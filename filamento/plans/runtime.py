@@ -39,11 +39,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFram
     The count per key is combined map-side before its shuffle. Null keys never join and are left out.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
-    return counts.crossJoin(F.broadcast(total)).where(present & (F.col("_n") * share >= F.col("_total"))).select(*keys)
+    return counts.where(present & (F.col("_n") * share >= total)).select(*keys)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 24, share: int = HOT_SHARE) -> DataFrame:
