@@ -7,7 +7,7 @@ import re
 #: Unfilled placeholders and form instructions.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|<%=?[^%\n]*%>|@@[A-Z0-9_.]+@@|\[\[[^\[\]\n]*(?:기재|입력|작성)[^\[\]\n]*\]\]|#[가-힣]{2,10}#|%[가-힣]{2,10}%|\{[가-힣]{2,10}\}|\{[a-z_]+(?:\.[a-z_]+)*\}"
-    r"|(?:은\(는\)|을\(를\)|이\(가\)|와\(과\))|_{3,}|[○◯]{2,}|□{3,}|\d\dXX년|X{1,2}월 X{1,2}일|◆\s*click\s*◆|◆클릭◆|#\*_\S*\.dsl|\.dsl\b|^\s*\(?\s*작성\s*요령\s*[:：]|^\s*(?:TODO|TBD|FIXME)\b\s*[:：]"
+    r"|(?:은\(는\)|을\(를\)|이\(가\)|와\(과\))|_{3,}|(?<![^\s(\"'])[○◯]{2,}(?=[가-힣]{0,8}(?:[\s(),.]|$))|(?<!\S)□{3,}(?=[가-힣]{0,8}(?:[\s(),.]|$))|\d\dXX년|X{1,2}월 X{1,2}일|◆\s*click\s*◆|◆클릭◆|#\*_\S*\.dsl|\.dsl\b|^\s*\(?\s*작성\s*요령\s*[:：]|^\s*(?:TODO|TBD|FIXME)\b\s*[:：]"
     r"|\((?:금액|내용|날짜|회사명|이름) (?:기재|입력)\)|이곳에 .{0,40} (?:적고|적으|기재|입력)|여기에 (?:기재|입력)|(?:을|를) (?:입력|기재)(?:하십시오|하세요|하여 주(?:시기|십시오)|해 주(?:세요|십시오))|\[(?:insert|enter|your) [^\]]*\]",
     re.I,
 )

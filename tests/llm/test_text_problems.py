@@ -19,7 +19,7 @@ def sections(spark, rows):
 
 
 RESIDUE = ["세부 금액은 {설립일} 참조.", "TODO: 재무팀 확인 후 매출액 채워 넣기", "404 Not Found", "Lorem ipsum dolor sit amet", "xxxx xxx xxxx xxx xxxx xxx", "{{corp_name}}의 매출입니다.", "[감사인]은(는) 회사입니다.", "Please enable JavaScript in your browser to continue.", "로딩 중입니다... 잠시만 기다려 주십시오", "○○○ 주식회사는 20XX년 X월 X일 정하였습니다.", "◆click◆『증설』 삽입", "java.lang.NullPointerException at AbViewer.c(3)", "당사는 ____년 __월 __일 설립되었습니다."]
-CONTENT = ["해당사항 없음", "'404 Not Found' 화면이 뜨던 주소 3건을 바로잡았습니다.", "접근 권한 관리 체계를 고쳐 승인 절차를 나누었습니다.", "2018년 Lorem-38 글꼴 사용권을 샀습니다.", "{주석 3} 참조 표시는 없습니다.", "고객이 페이지를 찾을 수 없다는 문의는 3건 줄었습니다.", "아래 빈칸 ( )은 확인란입니다.", "서식 작성 요령 교육을 3차례 실시하였습니다.", "'JavaScript를 켜 주세요'라는 안내를 없앴습니다.", "[단위 : 백만원] 매출 3"]
+CONTENT = ["해당사항 없음", "빛☆윤☆°○○¬¿바¶◎□□□▽‡가", "'404 Not Found' 화면이 뜨던 주소 3건을 바로잡았습니다.", "접근 권한 관리 체계를 고쳐 승인 절차를 나누었습니다.", "2018년 Lorem-38 글꼴 사용권을 샀습니다.", "{주석 3} 참조 표시는 없습니다.", "고객이 페이지를 찾을 수 없다는 문의는 3건 줄었습니다.", "아래 빈칸 ( )은 확인란입니다.", "서식 작성 요령 교육을 3차례 실시하였습니다.", "'JavaScript를 켜 주세요'라는 안내를 없앴습니다.", "[단위 : 백만원] 매출 3"]
 
 
 def test_rules():
