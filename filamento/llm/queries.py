@@ -91,6 +91,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": """
+WITH s AS (SELECT section_key, list_filter(any_value(paragraphs), lambda x: x IS NOT NULL) AS p FROM section_contents WHERE section_key IS NOT NULL GROUP BY 1),
+t AS (SELECT section_key, regexp_replace(unnest(p), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') AS t FROM s WHERE list_sum(list_transform(p, lambda x: length(x))) >= 300),
+g AS (SELECT DISTINCT section_key, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM t), n AS (SELECT section_key, count(*) AS n FROM g GROUP BY 1),
+x AS (SELECT a.section_key AS a, b.section_key AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.section_key < b.section_key GROUP BY ALL)
+SELECT a AS section_key_a, b AS section_key_b FROM x JOIN n na ON na.section_key = a JOIN n nb ON nb.section_key = b WHERE c >= 0.7 * (na.n + nb.n - c)""",
         "p1_found": """
 WITH r AS (SELECT trim(rcept_no) AS rno, regexp_replace(corp_code,'[^0-9]','','g') AS c, regexp_replace(stock_code,'[^0-9]','','g') AS s, fy, is_correction AS flag,
   replace(translate(regexp_replace(report_nm,'[\\s　]','','g'),'（）［］／．','()[]/.'),' ','') AS nm, regexp_replace(rcept_dt,'[^0-9]','','g') AS dt FROM filings_index WHERE rcept_no IS NOT NULL),
