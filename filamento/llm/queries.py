@@ -13,6 +13,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "filings_index")).select("corp_code", "fy", "rcept_no")
 
 
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of every group, its fields filled from the whole group."""
+    return survivors.survivors(table(spark, d, "filings_index"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = nearsets.similar_pairs(table(spark, d, "section_contents"), "section_key", "paragraphs")
     return nearsets.expanded(pairs, members, "section_key").distinct()

@@ -1,8 +1,7 @@
 """One surviving record for each group of duplicate records.
 
 Fields that depend on one another are chosen as whole bundles: a filing bundle (receipt number,
-name, correction flag, day and time), a firm bundle (code, stock code, name, market) and a
-collection bundle. Branch and bound picks one candidate of every bundle so that total trust is
+name, correction flag, day and time), a firm bundle (stock code) and a period bundle (month). Branch and bound picks one candidate of every bundle so that total trust is
 greatest among the choices that keep the functional dependencies between bundles.
 """
 
@@ -82,7 +81,7 @@ def filings(rows: DataFrame) -> DataFrame:
 
 
 CANDIDATES = T.ArrayType(T.StructType([T.StructField("bundle", T.StringType()), T.StructField("id", T.StringType()), T.StructField("trust", T.DoubleType()), T.StructField("tie", T.StringType()), T.StructField("firm", T.StringType()), T.StructField("month", T.IntegerType())]))
-CHOSEN = T.StructType([T.StructField("filing", T.StringType()), T.StructField("firm", T.StringType()), T.StructField("trust", T.DoubleType())])
+CHOSEN = T.StructType([T.StructField("filing", T.StringType()), T.StructField("firm", T.StringType()), T.StructField("month", T.IntegerType()), T.StructField("trust", T.DoubleType())])
 
 
 def choose(bundles: list[list[dict]]) -> list[dict] | None:
@@ -115,7 +114,7 @@ def choose(bundles: list[list[dict]]) -> list[dict] | None:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """(corp_code, fy, rcept_no, n, kind, day, stock_code, corp_name, market, ...): one per group.
+    """(corp_code, fy, rcept_no, n, stock_code, period_month, corp_name, market): one per group.
 
     ``rows`` are raw filings. Groups are the annual reports of one firm and year with two or more
     rows. Filings without a firm or year belong to no group; null fields are filled from the other
@@ -128,11 +127,16 @@ def survivors(rows: DataFrame) -> DataFrame:
     order = F.struct(F.col("kind"), F.col("day"), F.col("rcept_no"))
     per_fact = f.groupBy("corp", "year", "stock", "period_month").agg(F.sum("n").alias("n"), F.min(order).alias("best"), F.sum(F.when(F.col("corp_name").isNotNull(), F.col("n"))).alias("named"), F.max_by("corp_name", F.struct(F.col("corp_name").isNotNull(), "n", "rcept_no")).alias("corp_name"), F.max_by("market", F.struct(F.col("market").isNotNull(), "n", "rcept_no")).alias("market"))
     rank = F.lit(3.0) - F.col("best.kind")
-    filing = F.struct(F.lit("filing").alias("bundle"), F.col("best.rcept_no").alias("id"), (rank * 1e6).alias("trust"), F.concat(F.col("best.day"), F.lit(" "), F.col("best.rcept_no")).alias("tie"), F.lit(None).cast("string").alias("firm"), F.col("period_month").alias("month"))
-    firm = F.struct(F.lit("firm").alias("bundle"), F.col("stock").alias("id"), F.least(F.col("n").cast("double"), F.lit(1e5)).alias("trust"), F.coalesce("stock", F.lit("~")).alias("tie"), F.lit(None).cast("string").alias("firm"), F.lit(None).cast("int").alias("month"))
+    bundle = lambda name, id_, trust, tie, firm, month: F.struct(F.lit(name).alias("bundle"), id_.alias("id"), trust.cast("double").alias("trust"), tie.alias("tie"), firm.alias("firm"), month.alias("month"))
+    told = F.least(F.col("n"), F.lit(100_000))
+    no_firm, no_month = F.lit(None).cast("string"), F.lit(None).cast("int")
+    # the surviving filing outweighs every other bundle; a bundle of unknown value has no trust
+    filing = bundle("filing", F.col("best.rcept_no"), rank * 1e6, F.concat(F.col("best.day"), F.lit(" "), F.col("best.rcept_no")), F.col("stock"), F.col("period_month"))
+    firm = bundle("firm", F.col("stock"), F.when(F.col("stock").isNotNull(), told).otherwise(0), F.coalesce("stock", F.lit("~")), F.col("stock"), no_month)
+    period = bundle("period", F.col("period_month").cast("string"), F.when(F.col("period_month").isNotNull(), told).otherwise(0), F.coalesce(F.col("period_month").cast("string"), F.lit("~")), no_firm, F.col("period_month"))
     groups = per_fact.groupBy("corp", "year").agg(
         F.sum("n").alias("n"),
-        F.array_union(F.collect_list(filing), F.collect_list(firm)).alias("candidates"),
+        F.concat(F.collect_set(filing), F.collect_set(firm), F.collect_set(period)).alias("candidates"),
         F.max_by("corp_name", F.struct(F.col("corp_name").isNotNull(), "named", "corp_name")).alias("corp_name"),
         F.max_by("market", F.struct(F.col("market").isNotNull(), "n", "market")).alias("market"),
     ).where("n >= 2")
@@ -141,12 +145,12 @@ def survivors(rows: DataFrame) -> DataFrame:
     def pick(candidates: pa.Array) -> pa.Array:
         out = []
         for group in candidates.to_pylist():
-            by = {"filing": [], "firm": []}
+            by = {"filing": [], "firm": [], "period": []}
             for c in group:
                 by[c["bundle"]].append(c)
             lists = [sorted(v, key=lambda c: (-c["trust"], c["tie"])) for v in by.values()]
             best = choose(lists)
-            out.append({"filing": best[0]["id"], "firm": best[1]["id"], "trust": sum(c["trust"] for c in best)} if best else None)
-        return pa.array(out, pa.struct([("filing", pa.string()), ("firm", pa.string()), ("trust", pa.float64())]))
+            out.append({"filing": best[0]["id"], "firm": best[1]["id"], "month": best[2]["month"], "trust": sum(c["trust"] for c in best)} if best else None)
+        return pa.array(out, pa.struct([("filing", pa.string()), ("firm", pa.string()), ("month", pa.int32()), ("trust", pa.float64())]))
 
-    return groups.withColumn("pick", pick("candidates")).select(F.col("corp").alias("corp_code"), F.col("year").alias("fy"), F.col("pick.filing").alias("rcept_no"), "n", F.col("pick.firm").alias("stock_code"), "corp_name", "market")
+    return groups.withColumn("pick", pick("candidates")).select(F.col("corp").alias("corp_code"), F.col("year").alias("fy"), F.col("pick.filing").alias("rcept_no"), "n", F.col("pick.firm").alias("stock_code"), F.col("pick.month").alias("period_month"), "corp_name", "market")
