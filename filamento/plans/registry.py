@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from filamento.plans import core_p, q_index, q_panel, q_quality, q_sections, q_similarity, q_sources, q_text, template
+from filamento.plans import core_p, q_index, q_panel, q_pipeline, q_quality, q_sections, q_similarity, q_sources, q_text, template
 
-MODULES = (core_p, template, q_text, q_panel, q_index, q_sections, q_similarity, q_quality, q_sources)
+MODULES = (core_p, template, q_text, q_panel, q_index, q_sections, q_similarity, q_quality, q_sources, q_pipeline)
 
 
 def queries() -> dict:
