@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from filamento.functions import text as X
 from filamento.operators import minhash as M
 from filamento.operators.sections import indel_ratio
-from filamento.plans.runtime import materialize, salted_join
+from filamento.plans.runtime import materialize, spread
 
 #: difflib is quadratic: texts longer than this have no ratio (null).
 DIFF_CHARS = 20_000
@@ -70,20 +70,18 @@ def paragraph_diff(before: pa.Array, after: pa.Array) -> pa.Array:
 
 
 def tfidf_weights(docs: DataFrame, corpus: list[str], doc: list[str], text: str, n: int = 2) -> DataFrame:
-    """(corpus, doc, gram, w): unit TF-IDF rows over character n-grams, one corpus per ``corpus`` value.
+    """(corpus, doc, gram, w): TF-IDF over character n-grams, one corpus per ``corpus`` value, written once.
 
-    Lower case, runs of white space as one space; 1 + ln tf; ln((1 + N) / (1 + df)) + 1. Everything is
-    a grouped aggregate; the document frequencies join on (corpus, gram).
+    Lower case, runs of white space as one space; 1 + ln tf; ln((1 + N) / (1 + df)) + 1. Rows are not
+    normalised. The document frequencies join on (corpus, gram), where a key holds one row per
+    document at most, so none is hot.
     """
     s = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    grams = X.ngram_sequence(s, n)
-    tf = docs.select(*corpus, *doc, F.explode(grams).alias("gram")).groupBy(*corpus, *doc, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(spread(docs, *corpus, *doc).select(*corpus, *doc, F.explode(X.ngram_sequence(s, n)).alias("gram")).groupBy(*corpus, *doc, "gram").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = tf.groupBy(*corpus, "gram").agg(F.count(F.lit(1)).alias("df"))
     size = docs.groupBy(*corpus).agg(F.countDistinct(*doc).alias("_n"))
     idf = df.join(size, corpus).select(*corpus, "gram", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = salted_join(tf, idf, [*corpus, "gram"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    norms = w.groupBy(*corpus, *doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, [*corpus, *doc]).select(*corpus, *doc, "gram", (F.col("w") / F.col("_norm")).alias("w"))
+    return materialize(tf.join(idf, [*corpus, "gram"]).select(*corpus, *doc, "gram", ((1 + F.ln("tf")) * F.col("idf")).alias("w")), "tfidf")
 
 
 def adjacent(docs: DataFrame, series: list[str], period: str) -> DataFrame:
@@ -100,10 +98,12 @@ def tfidf_cosine(docs: DataFrame, *, entity: str, section: str, period: str, tex
     """
     w = tfidf_weights(docs, [section], [entity, period], text, n)
     pairs = adjacent(docs, [entity, section], period)
-    later = w.withColumnRenamed(period, "cur")
     earlier = w.join(pairs.withColumnRenamed("prev", period), [entity, section, period]).select(entity, section, "cur", "gram", F.col("w").alias("v"))
-    dots = later.join(earlier, [entity, section, "cur", "gram"]).groupBy(entity, section, "cur").agg(F.sum(F.col("w") * F.col("v")).alias("_dot"))
-    return pairs.join(dots, [entity, section, "cur"], "left").select(entity, section, "prev", "cur", F.coalesce("_dot", F.lit(0.0)).alias("cosine"))
+    dots = w.withColumnRenamed(period, "cur").join(earlier, [entity, section, "cur", "gram"]).groupBy(entity, section, "cur").agg(F.sum(F.col("w") * F.col("v")).alias("_dot"))
+    norms = w.groupBy(entity, section, period).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    at = lambda p: norms.select(entity, section, F.col(period).alias(p), F.col("_norm").alias(f"_{p}"))
+    met = pairs.join(dots, [entity, section, "cur"], "left").join(at("cur"), [entity, section, "cur"], "left").join(at("prev"), [entity, section, "prev"], "left")
+    return met.select(entity, section, "prev", "cur", F.coalesce(F.col("_dot") / (F.col("_cur") * F.col("_prev")), F.lit(0.0)).alias("cosine"))
 
 
 def change_rates(docs: DataFrame, *, entity: str, section: str, period: str, text: str) -> DataFrame:

@@ -33,6 +33,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by keys into all shuffle partitions, before a step that multiplies rows: adaptive
+    execution would otherwise gather a small input of a large computation in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys holding at least 1/share of the rows of ``df``: never more than ``share`` of them.
 
