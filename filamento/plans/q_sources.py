@@ -16,6 +16,7 @@ from filamento.plans.runtime import shared_dir, table
 from filamento.sources import archive as A
 from filamento.sources import files as FS
 from filamento.sources import sinks as K
+from filamento.sources.archive import decode
 
 book = Book()
 q = book.query
@@ -41,7 +42,7 @@ def s01(spark, d):
 @F.arrow_udf(T.StringType())
 def around(texts: pa.Array) -> pa.Array:
     head = '<?xml version="1.0" encoding="utf-8"?>'
-    return pa.array([A.decode((head + t).encode("cp949", "replace"))[len(head) :] for t in texts.to_pylist()], pa.string())
+    return pa.array([decode((head + t).encode("cp949", "replace"))[len(head) :] for t in texts.to_pylist()], pa.string())
 
 
 @q("s02_decoded_bytes")
