@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from filamento.functions.udf import arrow
+
 #: Zero-width characters and joiners, word joiner, BOM and soft hyphen.
 INVISIBLE = "​‌‍⁠﻿­‎‏᠎"
 #: Characters NFKC never changes and never composes: ASCII, Hangul syllables, plain CJK and common marks.
 STABLE = "^[\\x00-\\x7E\\uAC00-\\uD7A3\\u4E00-\\u9FFF\\u25A0-\\u25FF\\u2605\\u2606\\u3008-\\u3011\\u201C\\u201D\\u2018\\u2019\\u00B7\\u200B-\\u200F\\u2060\\u00AD\\uFEFF]*$"
 
 
-@pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@arrow(StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in values.to_pylist()], pa.string())
 
 
 def nfkc(col: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filamento.functions.udf import arrow
 from filamento.plans.runtime import salted_join
 
 FOREVER = 2_000_000
@@ -53,7 +54,7 @@ def sweep(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-@F.arrow_udf(RECT)
+@arrow(RECT)
 def _rectangles(versions: pa.Array) -> pa.Array:
     rows = []
     for group in versions.to_pylist():

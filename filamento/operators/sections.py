@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from filamento.functions import text as X
+from filamento.functions.udf import arrow
 
 # Standard contents of an annual report, with the variants of each name.
 STANDARD = {
@@ -69,10 +69,10 @@ def best_key(key: str | None, threshold: float) -> str | None:
 
 
 def _fuzzy(threshold: float):
-    @pandas_udf(T.StringType())
-    def match(keys: pd.Series) -> pd.Series:
+    @arrow(T.StringType())
+    def match(keys: pa.Array) -> pa.Array:
         seen: dict = {}
-        return keys.map(lambda k: seen[k] if k in seen else seen.setdefault(k, best_key(k, threshold)))
+        return pa.array([seen[k] if k in seen else seen.setdefault(k, best_key(k, threshold)) for k in keys.to_pylist()], pa.string())
 
     return match
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filamento.functions import text as X
+from filamento.functions.udf import arrow
 from filamento.operators import minhash as M
 from filamento.operators.sections import indel_ratio
 from filamento.plans.runtime import materialize, spread
@@ -33,7 +34,7 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-@F.arrow_udf(T.DoubleType())
+@arrow(T.DoubleType())
 def difflib_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Ratio of matching blocks without the junk heuristic; null above DIFF_CHARS or for nulls."""
     out = []
@@ -61,7 +62,7 @@ def diff(before: list[str], after: list[str]) -> dict:
 _DIFF = T.StructType([*(T.StructField(n, T.ArrayType(T.StringType())) for n in ("added", "modified", "removed")), T.StructField("n_same", T.IntegerType())])
 
 
-@F.arrow_udf(_DIFF)
+@arrow(_DIFF)
 def paragraph_diff(before: pa.Array, after: pa.Array) -> pa.Array:
     """Paragraph diff of two arrays; null counts as empty, null paragraphs as empty strings."""
     plain = lambda v: [p or "" for p in v or []]
@@ -139,7 +140,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["uid", "bands"])
 
 
-@F.arrow_udf(T.DoubleType())
+@arrow(T.DoubleType())
 def gram_jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     """Jaccard similarity of the character 3-gram sets of two texts."""
     return pa.array([M.jaccard(M.grams(x), M.grams(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
@@ -215,6 +216,6 @@ def match_names(names: DataFrame, choices: DataFrame, *, key: str, name: str, ch
     return exact.unionByName(fuzzy)
 
 
-@F.arrow_udf(T.DoubleType())
+@arrow(T.DoubleType())
 def _indel(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.array([indel_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], float))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from filamento.functions import text as X
 from filamento.functions.codes import corp_code
+from filamento.functions.udf import arrow
 from filamento.operators import html as H
 from filamento.plans.base import Book
 from filamento.plans.runtime import shared_dir, table
@@ -39,7 +40,7 @@ def s01(spark, d):
     return z.select("section_key", "b.member", (F.length("b.text") - 6).cast("bigint").alias("n"))
 
 
-@F.arrow_udf(T.StringType())
+@arrow(T.StringType())
 def around(texts: pa.Array) -> pa.Array:
     head = '<?xml version="1.0" encoding="utf-8"?>'
     return pa.array([decode((head + t).encode("cp949", "replace"))[len(head) :] for t in texts.to_pylist()], pa.string())

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filamento.functions.udf import arrow
+
 # Body extensions, names of attachments, names that mark a body, encodings tried.
 BODY_EXTENSIONS = (".html", ".htm", ".xml")
 ATTACHMENT = re.compile(r"감사보고서|연결감사|attach|첨부", re.I)
@@ -60,7 +62,7 @@ def body(data: bytes) -> tuple[str, str]:
 _BODY = T.StructType([T.StructField("member", T.StringType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
-@F.arrow_udf(_BODY)
+@arrow(_BODY)
 def body_of(archives: pa.Array) -> pa.Array:
     """(member, text, error) of each archive: a failure is a row with its reason, never an abort."""
     out = []
@@ -86,7 +88,7 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 _FIRM = T.StructType([T.StructField(n, T.StringType()) for n in ("corp_code", "corp_name", "stock_code", "modify_date")])
 
 
-@F.arrow_udf(T.ArrayType(_FIRM))
+@arrow(T.ArrayType(_FIRM))
 def _firms(archives: pa.Array) -> pa.Array:
     out = []
     for a in archives.to_pylist():
@@ -101,7 +103,7 @@ def firm_codes(archives: DataFrame, content: str) -> DataFrame:
     return archives.where(F.col(content).isNotNull()).select(F.explode(_firms(content)).alias("f")).select("f.*").withColumn("is_listed", F.col("stock_code").rlike(r"^\d{6}$"))
 
 
-@F.arrow_udf(T.BinaryType())
+@arrow(T.BinaryType())
 def zipped(members: pa.Array) -> pa.Array:
     """Archives of (name, content) members; for fixtures and exports."""
     out = []
