@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filamento.functions.udf import arrow
 from filamento.plans.runtime import materialize, salted_join
 
 SIMILAR = 0.7
@@ -101,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ARROW = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("c", T.IntegerType())])))
+@arrow(T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("c", T.IntegerType())])))
 def _unpacked(lists: pa.Array) -> pa.Array:
     out = []
     for v in lists.to_pylist():
@@ -196,7 +197,7 @@ def _heavy(rows: DataFrame, key: str, entries: str, reps: DataFrame, lists: np.n
     return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
-@F.arrow_udf(T.DoubleType())
+@arrow(T.DoubleType())
 def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     if not len(a):
         return pa.array([], pa.float64())
@@ -205,7 +206,7 @@ def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(((d < 16).sum(1) + ((d & 15) == 0).sum(1)) / SKETCH)
 
 
-@F.arrow_udf(T.DoubleType())
+@arrow(T.DoubleType())
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):

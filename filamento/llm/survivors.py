@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filamento.functions.codes import corp_code, day8, stock_code
+from filamento.functions.udf import arrow
 from filamento.plans.runtime import salted_join
 
 #: Kinds of a filing by trust: as first filed, attachment filed, material correction.
@@ -141,7 +142,7 @@ def survivors(rows: DataFrame) -> DataFrame:
         F.max_by("market", F.struct(F.col("market").isNotNull(), "n", "market")).alias("market"),
     ).where("n >= 2")
 
-    @F.arrow_udf(CHOSEN)
+    @arrow(CHOSEN)
     def pick(candidates: pa.Array) -> pa.Array:
         out = []
         for group in candidates.to_pylist():
