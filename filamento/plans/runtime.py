@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 HOT_SHARE = 64
 
 
+#: Rows of an Arrow batch: texts are long, and a batch lives several times over on both sides.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Where the session leaves Arrow batches at Spark's default of 10,000 rows,
+    they are lowered to BATCH_ROWS; a value of the session's own stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
