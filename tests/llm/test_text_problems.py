@@ -178,14 +178,15 @@ def test_leaks_against_brute_force(spark):
             body = body[: len(body) // 2] + piece + body[len(body) // 2 :]
         docs.append((d, body, "x"))
     docs += [(100, None, "x"), (101, "", "x"), docs[1], (102, items[0][1] * 40, "x"), (None, items[0][1], "x")]
-    got = {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)).where("run > 0").collect()}
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+    got, short = ({(r.doc_id, r.item_id) for r in leakage.leaks(*frames, paraphrases=p).where("run > 0").collect()} for p in (True, False))
     want = set()
     for d, t, _ in docs:
         for i, s in items:
             x, y = leakage.normal(t), leakage.normal(s)
             if d is not None and i is not None and any(y[k : k + 40] in x for k in range(len(y) - 39)):
                 want.add((d, i))
-    assert got == want and len(want) > 25
+    assert got == short == want and len(want) > 25
     none = spark.createDataFrame([], ITEMS)
     assert leakage.leaks(spark.createDataFrame(docs, DOCS), none).isEmpty()
 
