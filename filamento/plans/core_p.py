@@ -60,8 +60,21 @@ l AS (SELECT s, is_delisted_later AS f, delist_date AS dd, row_number() OVER (PA
 """
 
 
+#: Full-width forms and the spaces NFKC makes plain: all the characters of the tables that it changes.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0"
+_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
+_CANONICAL = "trim(regexp_replace(regexp_replace(translate(COLUMN, '" + _WIDE + "', '" + _PLAIN.replace("'", "''") + "'), '[\\x{200b}-\\x{200f}\\x{2060}\\x{feff}\\x{ad}\\x{180e}]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"""WITH r AS (SELECT lpad(regexp_replace(corp_code,'[^0-9]','','g'),8,'0') AS corp_code, upper(trim(section_id)) AS section_id, CAST(fy AS BIGINT) AS fy, para_key, {_CANONICAL.replace("COLUMN", "paragraph")} AS c, loaded_at FROM para_snapshots WHERE corp_code IS NOT NULL AND section_id IS NOT NULL AND fy IS NOT NULL),
+s AS (SELECT corp_code, section_id, fy, para_key, c FROM r QUALIFY row_number() OVER (PARTITION BY corp_code, section_id, fy, para_key ORDER BY loaded_at DESC, c) = 1),
+k AS (SELECT *, lead(fy) OVER w AS nxt, lag(fy) OVER w AS prv FROM (SELECT DISTINCT corp_code, section_id, fy FROM s) WINDOW w AS (PARTITION BY corp_code, section_id ORDER BY fy)),
+b AS (SELECT s.corp_code, s.section_id, k.nxt AS fy, s.para_key, s.c FROM s JOIN k USING (corp_code, section_id, fy) WHERE k.nxt IS NOT NULL AND s.para_key IS NOT NULL),
+a AS (SELECT s.* FROM s JOIN k USING (corp_code, section_id, fy) WHERE k.prv IS NOT NULL AND s.para_key IS NOT NULL)
+SELECT coalesce(a.corp_code, b.corp_code) AS corp_code, coalesce(a.section_id, b.section_id) AS section_id, coalesce(a.fy, b.fy) AS fy, coalesce(a.para_key, b.para_key) AS para_key, CASE WHEN b.para_key IS NULL THEN 'added' WHEN a.para_key IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM b FULL JOIN a ON a.corp_code = b.corp_code AND a.section_id = b.section_id AND a.fy = b.fy AND a.para_key = b.para_key WHERE a.para_key IS NULL OR b.para_key IS NULL OR a.c IS DISTINCT FROM b.c""",
         "p2_found": _VALID + "SELECT DISTINCT k.event_id, k.universe_id FROM k JOIN l ON k.s=l.s AND l.rn=1 WHERE k.rn=1 AND (k.f IS DISTINCT FROM l.f OR k.dd IS DISTINCT FROM l.dd)",
         "p2_attributes": _VALID
         + """, p AS (SELECT event_id, lpad(regexp_replace(stock_code,'[^0-9]','','g'),6,'0') AS stock_code, date, max(px) AS px FROM panel GROUP BY ALL)
