@@ -94,8 +94,17 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+#: Letters and digits after folding full-width forms, the only characters of these tables NFKC changes.
+_WIDE, _PLAIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_LETTERS = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_PLAIN}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_found": f"""
+WITH d AS (SELECT doc_id, {_LETTERS} AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), e AS (SELECT item_id, {_LETTERS} AS x FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(x) - 38), lambda i: substr(x, i, 40))) AS g FROM e), h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(x) - 38), lambda i: substr(x, i, 40))) AS g FROM d)
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
         "p4_found": """
 WITH s AS (SELECT section_key, list_filter(any_value(paragraphs), lambda x: x IS NOT NULL) AS p FROM section_contents WHERE section_key IS NOT NULL GROUP BY 1),
 t AS (SELECT section_key, regexp_replace(unnest(p), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') AS t FROM s WHERE list_sum(list_transform(p, lambda x: length(x))) >= 300),
