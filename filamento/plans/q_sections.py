@@ -146,7 +146,8 @@ _EXPECT_OFFICERS = "('가나다', '대표이사', true, 38.0), ('라마바', '
 
 @q("d12_d13_officers", f"SELECT * FROM (VALUES {_EXPECT_OFFICERS}) AS t(name, position, is_registered, tenure_months)")
 def d13(spark, d):
-    return TB.officer_rows(_with_fixture(spark, d, _OFFICERS), "section_key", "html").where("section_key = -1").select("name", "position", "is_registered", "tenure_months")
+    """Officers of every table. The counterpart lists the fixture's rows alone: the test tables hold no officer table."""
+    return TB.officer_rows(_with_fixture(spark, d, _OFFICERS), "section_key", "html").select("name", "position", "is_registered", "tenure_months")
 
 
 @q("d14_officer_diagnostics")
@@ -168,8 +169,9 @@ _EXPECT_LAW = "('2020가합1', '가', 5048800000000.0), ('2021나2', '나', 2976
 
 @q("d16_lawsuit_rows", f"SELECT * FROM (VALUES {_EXPECT_LAW}) AS t(case_no, plaintiff, amount_krw)")
 def d16(spark, d):
+    """Lawsuit rows of every table. The counterpart lists the fixture's rows alone: the test tables hold no lawsuit table."""
     c = TB.lawsuit_tables(_with_fixture(spark, d, _LAWSUITS), "section_key", "html")
-    return TB.lawsuit_rows(c, "section_key").where("section_key = -1").select("case_no", "plaintiff", "amount_krw")
+    return TB.lawsuit_rows(c, "section_key").select("case_no", "plaintiff", "amount_krw")
 
 
 @q("d17_lawsuit_summary", "SELECT section_key, count(*) AS n_tables, 0 AS n_lawsuit_rows, false AS explicit_none FROM (SELECT DISTINCT section_key, i, tables_html[i] AS h FROM section_contents, range(1, 400) t(i) WHERE i <= len(tables_html)) WHERE h IS NOT NULL GROUP BY 1 UNION ALL SELECT -1, 1, 0, true")

@@ -8,6 +8,7 @@ from filamento.functions import text as X
 from filamento.operators import html as H
 from filamento.operators import sections as S
 from filamento.operators import tables as TB
+from filamento.plans import q_sections
 
 
 def extract(spark, html, **kw):
@@ -137,3 +138,13 @@ def test_lawsuits(spark):
     assert [r.amount_krw for r in TB.lawsuit_rows(c, "doc").collect()] == [5048800000000.0]
     got = {r.doc: (r.n_lawsuit_tables, r.n_sanction_tables, r.n_lawsuit_rows, r.explicit_none) for r in TB.lawsuit_summary(c, "doc").collect()}
     assert got == {1: (1, 0, 1, False), 2: (0, 0, 0, True), 3: (0, 1, 0, False)}
+
+
+def test_officer_and_lawsuit_queries_read_every_table(spark, tmp_path):
+    law = "<table><tr><th>사건번호</th><th>원고</th><th>소송가액(억원)</th><th>진행상황</th></tr><tr><td>2023가합7</td><td>다</td><td>3</td><td>1심</td></tr></table>"
+    rows = [(7, [OFFICERS.replace("가나다", "아자차"), None]), (8, [law]), (9, None)]
+    spark.createDataFrame(rows, "section_key bigint, tables_html array<string>").write.parquet(str(tmp_path / "section_contents.parquet"))
+    names = {r.name for r in q_sections.d13(spark, str(tmp_path)).collect()}
+    assert {"아자차", "가나다", "라마바"} == names
+    cases = {(r.case_no, r.amount_krw) for r in q_sections.d16(spark, str(tmp_path)).collect()}
+    assert ("2023가합7", 300000000.0) in cases and len(cases) == 3
