@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from filamento.functions import text as X
 from filamento.functions.udf import arrow
+from filamento.functions.unicode import nfkc
 
 # Standard contents of an annual report, with the variants of each name.
 STANDARD = {
@@ -90,7 +91,7 @@ def section_name(text: Column, threshold: float | None = 97.0) -> Column:
 def header_candidates(blocks: DataFrame, threshold: float | None = 97.0) -> DataFrame:
     """(doc, idx, name, text, style) of text blocks that name a standard section."""
     b = blocks.where("kind = 'text'").select("doc", "idx", "text").withColumn("name", section_name(F.col("text"), threshold))
-    return b.where("name is not null").withColumn("style", X.numbering_style(F.col("text")))
+    return b.where("name is not null").withColumn("style", X.numbering_style(nfkc(F.col("text"))))
 
 
 def spans(blocks: DataFrame, threshold: float | None = 97.0, roman_least: int = 3) -> DataFrame:

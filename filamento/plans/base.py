@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,10 @@ class Book:
 
         return add
 
+    def whole(self, name: str, like: str) -> None:
+        """Registers the query ``like`` over all of its rows, without the character filter its counterpart needs."""
+        self.calls[name] = partial(self.calls[like], plain=False)
+
     def queries(self) -> dict:
         return dict(self.calls)
 

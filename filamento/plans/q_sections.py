@@ -15,6 +15,7 @@ from filamento.plans.runtime import table
 
 book = Book()
 q = book.query
+#: What both engines normalise alike. Only queries compared with SQL keep to it (``plain``); each has a _whole one over all blocks.
 PLAIN = "^[ -~가-힣]+$"
 
 _BLOCKS = f"""s AS (SELECT DISTINCT section_key, rcept_no, upper(section_id) AS sid, start_header, paragraphs FROM section_contents),
@@ -31,11 +32,11 @@ spans AS (SELECT r.doc, r.name, r.idx AS start, coalesce((SELECT min(c.idx) FROM
 )
 
 
-def block_sequence(spark, d):
+def block_sequence(spark, d, plain=False):
     """Blocks of every filing made of its sections: the header, then the paragraphs."""
     s = table(spark, d, "section_contents").select("section_key", "rcept_no", F.upper("section_id").alias("sid"), "start_header", "paragraphs").distinct()
     raw = s.select(F.col("rcept_no").alias("doc"), "sid", "section_key", F.posexplode(F.concat(F.array("start_header"), F.coalesce("paragraphs", F.array().cast("array<string>")))).alias("pos", "text"))
-    raw = raw.where(F.col("text").rlike(PLAIN))
+    raw = raw.where(F.col("text").rlike(PLAIN) if plain else F.col("text").isNotNull())
     idx = F.row_number().over(Window.partitionBy("doc").orderBy("sid", "section_key", "pos")) - 1
     return raw.select("doc", idx.alias("idx"), F.lit("text").alias("kind"), "text")
 
@@ -56,8 +57,8 @@ _MATCH = f"SELECT DISTINCT text, name FROM (SELECT text, {_KEY} AS key FROM (SEL
 
 
 @q("d03_section_name_exact", _MATCH)
-def d03(spark, d):
-    h = table(spark, d, "section_contents").where(F.col("start_header").rlike(PLAIN) & (F.length("start_header") <= 60)).select(F.col("start_header").alias("text")).distinct()
+def d03(spark, d, plain=True):
+    h = table(spark, d, "section_contents").where((F.col("start_header").rlike(PLAIN) if plain else F.col("start_header").isNotNull()) & (F.length("start_header") <= 60)).select(F.col("start_header").alias("text")).distinct()
     return h.select("text", S.section_name(F.col("text"), None).alias("name"))
 
 
@@ -68,21 +69,21 @@ def d03_fuzzy(spark, d):
 
 
 @q("d04_header_candidates", _CANDIDATES + " SELECT * FROM cand")
-def d04(spark, d):
-    return S.header_candidates(block_sequence(spark, d), None)
+def d04(spark, d, plain=True):
+    return S.header_candidates(block_sequence(spark, d, plain), None)
 
 
 @q("d05_section_spans", _SPANS + ' SELECT doc, name, start, "end", end_reason FROM spans')
-def d05(spark, d):
-    return S.spans(block_sequence(spark, d), None).select("doc", "name", "start", "end", "end_reason")
+def d05(spark, d, plain=True):
+    return S.spans(block_sequence(spark, d, plain), None).select("doc", "name", "start", "end", "end_reason")
 
 
 _TARGET = ", ".join(f"('{v}', '{k}')" for k, v in S.TARGETS.items())
 
 
 @q("d06_collected_span", _SPANS + ' SELECT s.doc, s.name, s.start, count(*) AS n_blocks, CAST(sum(length(b.text)) AS BIGINT) AS chars FROM spans s JOIN blocks b ON b.doc = s.doc AND b.idx > s.start AND b.idx < s."end" GROUP BY ALL')
-def d06(spark, d):
-    b = block_sequence(spark, d)
+def d06(spark, d, plain=True):
+    b = block_sequence(spark, d, plain)
     s = S.spans(b, None)
     inside = s.join(b.select("doc", "idx", F.length("text").alias("n")), "doc").where("idx > start and idx < end")
     return inside.groupBy("doc", "name", "start").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n").alias("chars"))
@@ -98,8 +99,8 @@ def d06_captions(spark, d):
 @q("d07_extracted_sections", _SPANS + f""", t AS (SELECT * FROM (VALUES {_TARGET}) AS t(name, section_id)), body AS (SELECT s.doc, t.section_id, s.start, s.end_reason, sum(length(b.text)) AS score FROM spans s JOIN t USING (name) LEFT JOIN blocks b ON b.doc = s.doc AND b.idx > s.start AND b.idx < s."end" GROUP BY ALL),
  best AS (SELECT * FROM body QUALIFY row_number() OVER (PARTITION BY doc, section_id ORDER BY coalesce(score, 0) DESC, start) = 1)
  SELECT d.doc, t.section_id, coalesce(best.score, 0) > 0 AS has_body, coalesce(best.score, 0) > 0 AND best.end_reason <> 'EOF' AS found, coalesce(best.end_reason, 'no start header') AS end_reason FROM (SELECT DISTINCT doc FROM blocks) d CROSS JOIN t LEFT JOIN best ON best.doc = d.doc AND best.section_id = t.section_id""")
-def d07(spark, d):
-    return S.extract(block_sequence(spark, d), threshold=None).select("doc", "section_id", "has_body", "found", "end_reason")
+def d07(spark, d, plain=True):
+    return S.extract(block_sequence(spark, d, plain), threshold=None).select("doc", "section_id", "has_body", "found", "end_reason")
 
 
 @q("d08_extracted_sections_old")
@@ -216,4 +217,6 @@ def d22(spark, d):
     return new.unionByName(old)
 
 
+for _name in ("d03_section_name_exact", "d04_header_candidates", "d05_section_spans", "d06_collected_span", "d07_extracted_sections"):
+    book.whole(f"{_name}_whole", _name)
 queries, oracle_sql = book.queries, book.oracle_sql

@@ -72,36 +72,37 @@ PARAS = f"(SELECT DISTINCT {_CORP} AS corp, upper(section_id) AS sid, fy, regexp
 ADDED = f"changed AS (SELECT n.* FROM paras n WHERE EXISTS (SELECT 1 FROM paras o WHERE o.corp = n.corp AND o.sid = n.sid AND o.fy = n.fy - 1) AND NOT EXISTS (SELECT 1 FROM paras o WHERE o.corp = n.corp AND o.sid = n.sid AND o.fy = n.fy - 1 AND o.p = n.p))"
 
 
-def paras(spark, d):
+def paras(spark, d, plain=True):
+    """``plain``: only those of characters both engines mask alike, for the queries with SQL."""
     s = table(spark, d, "section_contents").where("corp_code is not null").select(corp_code(F.col("corp_code")).alias("corp"), F.upper("section_id").alias("sid"), "fy", F.explode("paragraphs").alias("p"))
-    return s.where((F.length("p") >= 30) & F.col("p").rlike("^[ -~가-힣]*$")).withColumn("p", X.mask_numbers(F.col("p"))).distinct()
+    return s.where((F.length("p") >= 30) & (F.col("p").rlike("^[ -~가-힣]*$") | F.lit(not plain))).withColumn("p", X.mask_numbers(F.col("p"))).distinct()
 
 
-def changed(spark, d, removed=False):
-    return M.set_changes(paras(spark, d), entity="corp", section="sid", period="fy", text="p", removed=removed)
+def changed(spark, d, removed=False, plain=True):
+    return M.set_changes(paras(spark, d, plain), entity="corp", section="sid", period="fy", text="p", removed=removed)
 
 
 @q("m06_set_changes", f"WITH paras AS {PARAS}, {ADDED} SELECT corp, sid, fy, p FROM changed")
-def m06(spark, d):
-    return changed(spark, d)
+def m06(spark, d, plain=True):
+    return changed(spark, d, plain=plain)
 
 
 @q("m06_set_removals", f"WITH paras AS {PARAS} SELECT o.corp, o.sid, o.fy + 1 AS fy, o.p FROM paras o WHERE EXISTS (SELECT 1 FROM paras n WHERE n.corp = o.corp AND n.sid = o.sid AND n.fy = o.fy + 1) AND NOT EXISTS (SELECT 1 FROM paras n WHERE n.corp = o.corp AND n.sid = o.sid AND n.fy = o.fy + 1 AND n.p = o.p)")
-def m06_removed(spark, d):
-    return changed(spark, d, True)
+def m06_removed(spark, d, plain=True):
+    return changed(spark, d, True, plain)
 
 
 _G = "g AS (SELECT corp, sid, fy, p, list_distinct(CASE WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END) AS gr FROM (SELECT *, replace(p, ' ', '') AS s FROM {}))"
 _COMMON = f"WITH paras AS {PARAS}, {ADDED}, {_G.format('changed')}, pairs AS (SELECT x.sid, x.fy, x.corp AS a_entity, y.corp AS b_entity, x.p AS a, y.p AS b, len(list_intersect(x.gr, y.gr)) / len(list_distinct(list_concat(x.gr, y.gr))) AS sim FROM g x JOIN g y ON x.sid = y.sid AND x.fy = y.fy AND x.corp < y.corp)"
 
 
-def common(spark, d):
-    return M.common_paragraphs(changed(spark, d), entity="corp", scope=["sid", "fy"], text="p")
+def common(spark, d, plain=True):
+    return M.common_paragraphs(changed(spark, d, plain=plain), entity="corp", scope=["sid", "fy"], text="p")
 
 
 @q("m07_near_duplicate_pairs", _COMMON + " SELECT sid, fy, a_entity, b_entity, a, b, round(sim, 6) AS similarity FROM pairs WHERE sim >= 0.8 - 1e-12")
-def m07(spark, d):
-    return common(spark, d).withColumn("similarity", F.round("similarity", 6))
+def m07(spark, d, plain=True):
+    return common(spark, d, plain).withColumn("similarity", F.round("similarity", 6))
 
 
 @q("m08_change_rates")
@@ -110,10 +111,10 @@ def m08(spark, d):
 
 
 @q("m09_common_paragraphs", _COMMON + " SELECT sid, fy, count(*) AS n_pairs, (SELECT count(DISTINCT e) FROM (SELECT sid AS s, fy AS f, a_entity AS e FROM pairs WHERE sim >= 0.8 - 1e-12 UNION SELECT sid, fy, b_entity FROM pairs WHERE sim >= 0.8 - 1e-12) WHERE s = p.sid AND f = p.fy) AS n_corps FROM pairs p WHERE sim >= 0.8 - 1e-12 GROUP BY sid, fy")
-def m09(spark, d):
+def m09(spark, d, plain=True):
     from filamento.plans.runtime import materialize
 
-    p = materialize(common(spark, d), "common")
+    p = materialize(common(spark, d, plain), "common")
     who = p.select("sid", "fy", F.explode(F.array("a_entity", "b_entity")).alias("e")).groupBy("sid", "fy").agg(F.countDistinct("e").alias("n_corps"))
     return p.groupBy("sid", "fy").agg(F.count(F.lit(1)).alias("n_pairs")).join(who, ["sid", "fy"])
 
@@ -123,30 +124,30 @@ _HAS = " OR ".join(f"contains({{0}}, '{m}')" for m in MARKERS)
 
 
 @q("m10_recounted_pairs", _COMMON + f" SELECT sid, fy, count(*) AS n_pairs, count(*) FILTER (WHERE NOT ({_HAS.format('a')}) AND NOT ({_HAS.format('b')})) AS n_clean, round(1 - count(*) FILTER (WHERE NOT ({_HAS.format('a')}) AND NOT ({_HAS.format('b')})) / count(*), 6) AS reduction FROM pairs WHERE sim >= 0.8 - 1e-12 GROUP BY sid, fy")
-def m10(spark, d):
+def m10(spark, d, plain=True):
     has = lambda c: F.exists(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(F.col(c), m))
     clean = F.count_if(~has("a") & ~has("b"))
-    g = common(spark, d).groupBy("sid", "fy").agg(F.count(F.lit(1)).alias("n_pairs"), clean.alias("n_clean"))
+    g = common(spark, d, plain).groupBy("sid", "fy").agg(F.count(F.lit(1)).alias("n_pairs"), clean.alias("n_clean"))
     return g.withColumn("reduction", F.round(1 - F.col("n_clean") / F.col("n_pairs"), 6))
 
 
 @q("m11_pair_taxonomy", _COMMON + " SELECT CASE WHEN regexp_matches(a, '제\\s*\\d+\\s*조|자본시장법|상법|공정거래법|시행령|법률 제|규정 제\\s*\\d+') THEN 'law' ELSE 'other' END AS class, count(*) AS n FROM pairs WHERE sim >= 0.8 - 1e-12 GROUP BY 1")
-def m11(spark, d):
+def m11(spark, d, plain=True):
     kind = X.paragraph_class(F.col("a"))
-    return common(spark, d).groupBy(F.when(kind == "law", "law").otherwise("other").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return common(spark, d, plain).groupBy(F.when(kind == "law", "law").otherwise("other").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("m12_partner_counts", _COMMON + " SELECT sid, fy, entity, text, count(DISTINCT other) AS n_partners FROM (SELECT sid, fy, a_entity AS entity, a AS text, b_entity AS other FROM pairs WHERE sim >= 0.8 - 1e-12 UNION ALL SELECT sid, fy, b_entity, b, a_entity FROM pairs WHERE sim >= 0.8 - 1e-12) GROUP BY ALL")
-def m12(spark, d):
-    return M.partner_counts(common(spark, d), ["sid", "fy"])
+def m12(spark, d, plain=True):
+    return M.partner_counts(common(spark, d, plain), ["sid", "fy"])
 
 
 book.sql["j09_cross_group_pairs"] = _COMMON + " SELECT fy, count(*) AS n FROM pairs WHERE sim >= 0.9 - 1e-12 GROUP BY 1"
 
 
 @q("j09_cross_group_pairs")
-def j09(spark, d):
-    p = M.common_paragraphs(changed(spark, d), entity="corp", scope=["sid", "fy"], text="p", threshold=0.9)
+def j09(spark, d, plain=True):
+    p = M.common_paragraphs(changed(spark, d, plain=plain), entity="corp", scope=["sid", "fy"], text="p", threshold=0.9)
     return p.groupBy("fy").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -200,4 +201,6 @@ def m16(spark, d):
     return M.contamination(p, ["section_key"], "p", MARKERS).drop("markers_found")
 
 
+for _name in ("m06_set_changes", "m06_set_removals", "m07_near_duplicate_pairs", "m09_common_paragraphs", "m10_recounted_pairs", "m11_pair_taxonomy", "m12_partner_counts", "j09_cross_group_pairs"):
+    book.whole(f"{_name}_whole", _name)
 queries, oracle_sql = book.queries, book.oracle_sql

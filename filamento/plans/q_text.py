@@ -78,8 +78,8 @@ def t06(spark, d):
 
 
 @q("t07_words", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents WHERE NOT regexp_matches(text, '[\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}\\x{0085}\\x{2028}\\x{2029}\\x0b\\x1c-\\x1f]')")
-def t07(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("[\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}\\x{0085}\\x{2028}\\x{2029}\\x0b\\x1c-\\x1f]"))
+def t07(spark, d, plain=True):
+    docs = table(spark, d, "documents").where(F.lit(not plain) | ~F.col("text").rlike("[\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}\\x{0085}\\x{2028}\\x{2029}\\x0b\\x1c-\\x1f]"))
     return docs.select("doc_id", F.size(X.words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
@@ -89,8 +89,8 @@ def t08(spark, d):
 
 
 @q("t09_mask_numbers", f"SELECT section_key, p, regexp_replace(p, '[0-9][0-9,.]*', '<NUM>', 'g') AS masked FROM {PARAS} WHERE p IS NOT NULL AND regexp_matches(p, '^[ -~가-힣]*$')")
-def t09(spark, d):
-    return _paras(spark, d).where(F.col("p").rlike("^[ -~가-힣]*$")).select("section_key", "p", X.mask_numbers(F.col("p")).alias("masked"))
+def t09(spark, d, plain=True):
+    return _paras(spark, d).where(F.lit(not plain) | F.col("p").rlike("^[ -~가-힣]*$")).select("section_key", "p", X.mask_numbers(F.col("p")).alias("masked"))
 
 
 @q("t10_numbering_style", """SELECT DISTINCT start_header, CASE WHEN regexp_matches(start_header, '^\\s*[(\\[<]?\\s*[IVXLivxl]{1,7}\\s*[)\\]>.\\-–—:]') THEN 'roman' WHEN regexp_matches(start_header, '^\\s*[(\\[<]?\\s*[0-9]{1,2}\\s*[)\\]>.\\-–—:]') THEN 'arabic' ELSE 'none' END AS style FROM section_contents WHERE start_header IS NOT NULL""")
@@ -233,4 +233,6 @@ def n10(spark, d):
 
 
 book.sql["n10_json_fields"] = "SELECT DISTINCT section_key, n, round(mean, 6) AS mean, n_under_10 FROM paragraph_stats"
+book.whole("t07_words_whole", "t07_words")
+book.whole("t09_mask_numbers_whole", "t09_mask_numbers")
 queries, oracle_sql = book.queries, book.oracle_sql
