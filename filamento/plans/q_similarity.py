@@ -50,8 +50,8 @@ def m02(spark, d):
 
 
 @q("m03_levenshtein", f"SELECT corp, sid, prev, cur, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 6) AS sim FROM (SELECT corp, sid, prev, cur, {ASCII.format('a')} AS x, {ASCII.format('b')} AS y FROM {PAIRS} WHERE prev IS NOT NULL)")
-def m03(spark, d):
-    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
+def m03(spark, d, plain=True):
+    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "") if plain else F.col(c)
     return _pairs(spark, d).select("corp", "sid", "prev", "cur", F.round(M.levenshtein_similarity(ascii_("a"), ascii_("b")), 6).alias("sim"))
 
 
@@ -201,6 +201,6 @@ def m16(spark, d):
     return M.contamination(p, ["section_key"], "p", MARKERS).drop("markers_found")
 
 
-for _name in ("m06_set_changes", "m06_set_removals", "m07_near_duplicate_pairs", "m09_common_paragraphs", "m10_recounted_pairs", "m11_pair_taxonomy", "m12_partner_counts", "j09_cross_group_pairs"):
+for _name in ("m03_levenshtein", "m06_set_changes", "m06_set_removals", "m07_near_duplicate_pairs", "m09_common_paragraphs", "m10_recounted_pairs", "m11_pair_taxonomy", "m12_partner_counts", "j09_cross_group_pairs"):
     book.whole(f"{_name}_whole", _name)
 queries, oracle_sql = book.queries, book.oracle_sql

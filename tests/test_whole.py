@@ -67,3 +67,19 @@ def test_texts_hold_every_character(spark, folder):
     assert {r.doc_id: r.n_words for r in rows(spark, folder, "t07_words_whole")} == {1: 3, 2: 2, 3: 1}
     masked = {(r.p, r.masked) for r in rows(spark, folder, "t09_mask_numbers_whole")}
     assert all(m == mask(p) for p, m in masked) and (LONG.format(111), mask(LONG.format(111))) in masked
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        corner, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+    return row[-1]
+
+
+def test_levenshtein_of_whole_texts(spark, folder):
+    got = {r.corp: r.sim for r in rows(spark, folder, "m03_levenshtein_whole")}
+    for k, c in enumerate((11, 12, 13)):
+        a, b = "가나다라 2020", f"마바사아 2020{'자' * k}"
+        assert got[f"{c:08d}"] == pytest.approx(1 - distance(a, b) / max(len(a), len(b)), abs=1e-6) and got[f"{c:08d}"] < 0.6
