@@ -1,13 +1,14 @@
 """Template residue and error-page text.
 
 Entries are cut into sentences; digits are masked, and equal sentences are one unit. Rules give
-trusted labels to units. Units near a labelled one are found through SimHash tables (each table one
-block of the 64 bits), verified by Hamming distance and by 3-gram similarity, and take its label;
-this goes on from the newly labelled ones until a whole connected component carries the label.
+trusted labels to units. Units near a labelled one share one of its rarest 3-grams (an exact prefix
+filter), are verified by 3-gram similarity, and take its label; this goes on from the newly labelled
+ones until a whole connected component carries the label.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,11 @@ from filamento.functions.unicode import drop_invisible, nfkc
 from filamento.llm import rules
 from filamento.plans.runtime import materialize, salted_join
 
-#: Blocks of 16 bits, once of neighbouring bits and once of every fourth bit: eight tables. Distances up
-#: to 3 always share a block; of pairs at distance 6, 86 % do.
-BLOCKS, WIDTH = 4, 16
-HAMMING, SIMILAR = 10, 0.8
-
+SIMILAR = 0.8
+#: Grams are ordered by the counts of so many buckets, learnt from so many units.
+ORDER_BITS, ORDER_UNITS = 18, 200_000
+#: Of the SimHash, a sketch: at SIMILAR the expected distance is near HAMMING, so it decides nothing here.
+BLOCKS, WIDTH, HAMMING = 4, 16, 10
 
 #: For an octet, its low and high four bits spread over four 16-bit counters of one word.
 _LANES = [np.array([sum(((v >> (4 * half + lane)) & 1) << (16 * lane) for lane in range(4)) for v in range(256)], np.uint64) for half in range(2)]
@@ -87,15 +88,68 @@ def _entries(rows: DataFrame, key: str, entries: str, whole: str) -> DataFrame:
     return units.select("_key", "para_no", "unit", F.xxhash64("unit").alias("uid"))
 
 
-_LABELLED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("bits", T.LongType()), T.StructField("bits2", T.LongType())])
+_LABELLED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("kind", T.StringType())])
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        units = b.column(1).to_pylist()
-        masked = ["".join(u.split()) for u in units]
-        bits = simhash(masked)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rules.kinds(units), pa.string()), pa.array(bits, pa.int64()), pa.array(interleaved(bits), pa.int64())], _LABELLED.names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rules.kinds(b.column(1).to_pylist()), pa.string())], _LABELLED.names)
+
+
+def grams(text: str) -> np.ndarray:
+    """Distinct character 3-grams as integers, three code points each; a shorter text is its own only gram."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return np.array([sum(int(x) << 21 * i for i, x in enumerate(c))], np.int64)
+    return np.unique(c[:-2] | c[1:-1] << 21 | c[2:] << 42)
+
+
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def gram_order(units: DataFrame) -> np.ndarray:
+    """How often the grams of each bucket occur in at most about ORDER_UNITS rows of ``unit``.
+
+    Rare grams come first in a prefix. Any order finds the same units; only the time depends on it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            for u in b.column(0).to_pylist():
+                total[_bucket(grams(u))] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+
+    share = min(1.0, ORDER_UNITS / max(1, units.count()))
+    rows = units.select("unit").sample(share, 6).mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[rows.column("b").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+_PREFIXED = T.StructType([*_LABELLED.fields, T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+
+def _prefixed(units: DataFrame, order: np.ndarray) -> DataFrame:
+    """``units`` with the size of the gram set and its prefix, the rarest grams first.
+
+    Sets at similarity SIMILAR share at least that part of the grams of either, so their prefixes of
+    n - least + 1 grams meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, prefixes = [], []
+            for u in b.column(1).to_pylist():
+                g = grams(u)
+                sizes.append(len(g))
+                least = math.ceil(SIMILAR * len(g) - 1e-6)
+                prefixes.append(g[np.argsort(order[_bucket(g)], kind="stable")][: len(g) - least + 1])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], _PREFIXED.names)
+
+    return units.select("uid", "unit", "kind").mapInArrow(run, _PREFIXED)
 
 
 @arrow(T.DoubleType())
@@ -103,28 +157,29 @@ def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def _tables(units: DataFrame) -> DataFrame:
-    block = lambda c, i: F.shiftrightunsigned(c, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
-    keys = F.array(*[block(c, i) + F.lit((n * BLOCKS + i) << WIDTH) for n, c in enumerate(("bits", "bits2")) for i in range(BLOCKS)])
-    return units.select("uid", "bits", F.explode(keys).alias("v"))
+def _tokens(units: DataFrame, uid: str, n: str, at: str) -> DataFrame:
+    return units.select(F.col("uid").alias(uid), F.col("n").alias(n), F.posexplode("prefix").alias(at, "v"))
 
 
-def residue_units(units: DataFrame) -> DataFrame:
+def residue_units(units: DataFrame, order: np.ndarray | None = None) -> DataFrame:
     """(uid, kind) of units that carry a residue label after propagation.
 
-    ``units`` holds (uid, unit, kind, bits, bits2) once per uid. Only links that touch a labelled unit
-    are looked for, so equal or similar content never makes pairs with itself; a block value very many
-    units share is split by Spark's skew join. Units the rules call trusted content never take a label.
+    ``units`` holds (uid, unit, kind) once per uid; ``order`` is its gram_order. Only links that touch
+    a labelled unit are looked for, so equal or similar content never makes pairs with itself; a gram
+    very many units share is split by Spark's skew join. Units the rules call trusted content never
+    take a label. Every unit at SIMILAR or more to a labelled one is found: prefixes that don't meet,
+    sizes too far apart, or too few grams after the first common one rule that similarity out.
     """
-    labelled = units.where("kind in ('placeholder', 'filler', 'message')").select("uid", "unit", "kind", "bits", "bits2")
-    pool = units.where("kind is null").select("uid", "unit", "bits", "bits2")
+    every = materialize(_prefixed(units.where("kind is null or kind in ('placeholder', 'filler', 'message')"), gram_order(units) if order is None else order), "residue-prefixed")
+    labelled, pool = every.where("kind is not null"), every.where("kind is null").drop("kind")
     found, frontier = labelled.select("uid", "kind"), labelled
+    room = F.least(F.col("n") - F.col("at"), F.col("seed_n") - F.col("seed_at"))
     while True:
-        ours = _tables(frontier).select("v", F.col("uid").alias("seed"), F.col("bits").alias("seed_bits"))
-        near = _tables(pool).join(ours, "v").where(F.bit_count(F.col("bits").bitwiseXOR(F.col("seed_bits"))) <= HAMMING).select("uid", "seed").distinct()
+        ours = materialize(_tokens(frontier, "seed", "seed_n", "seed_at"), "residue-tokens")
+        near = _tokens(pool, "uid", "n", "at").join(ours, "v").where(room * (1 + SIMILAR) >= (F.col("n") + F.col("seed_n")) * SIMILAR - 1e-6).select("uid", "seed").distinct()
         seeds = frontier.select(F.col("uid").alias("seed"), F.col("unit").alias("seed_unit"), "kind")
         checked = near.join(pool, "uid").join(seeds, "seed").where(_similarity("unit", "seed_unit") >= SIMILAR)
-        new = materialize(checked.groupBy("uid").agg(F.first("unit").alias("unit"), F.min("kind").alias("kind"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2")), "residue-new")
+        new = materialize(checked.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("unit", "n", "prefix")], F.min("kind").alias("kind")), "residue-new")
         if new.isEmpty():
             return found
         found = found.unionByName(new.select("uid", "kind"))
@@ -139,8 +194,8 @@ def found(rows: DataFrame, key: str, entries: str, whole: str) -> DataFrame:
     repeated rows give one result row; clashing extra columns are ignored.
     """
     occurrences = materialize(_entries(rows.where(F.col(key).isNotNull()).select(key, entries, whole), key, entries, whole), "residue-occurrences")
-    units = materialize(occurrences.select("uid", "unit").distinct().mapInArrow(_label, _LABELLED), "residue-units")
-    labels = residue_units(units)
+    units = occurrences.select("uid", "unit").distinct().mapInArrow(_label, _LABELLED)
+    labels = residue_units(units, gram_order(occurrences))
     met = salted_join(occurrences.select("_key", "para_no", "uid"), labels, ["uid"])
     return met.groupBy(F.col("_key").alias(key), "para_no").agg(F.min("kind").alias("kind"))
 

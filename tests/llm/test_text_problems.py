@@ -55,6 +55,30 @@ def test_labels_spread_through_a_component(spark):
     assert got == want and 3 not in got and len(got) > 1
 
 
+def test_labels_reach_every_near_unit(spark):
+    rnd = random.Random(26)
+    say = lambda n: "".join(rnd.choice("가나다라마바사아자차카타파하거너더러머버 0") for _ in range(n))
+    texts = ["가", "가나", "가나다"]
+    for n in (15, 20, 30, 45, 60, 90, 120):
+        for _ in range(6):
+            base = say(n)
+            texts.append(base)
+            for edits in (1, 1, 2, 3, 4):
+                t = list(base)
+                for _ in range(edits):
+                    t[rnd.choice([0, -1, rnd.randrange(n)])] = say(1)
+                texts.append("".join(t))
+    texts = sorted(set(texts))
+    rows = [(i, t, "message" if i % 5 == 0 else "content" if i % 17 == 0 else None) for i, t in enumerate(texts)]
+    got = {r.uid for r in residue.residue_units(spark.createDataFrame(rows, "uid bigint, unit string, kind string")).collect()}
+    want, frontier = {i for i, _, k in rows if k == "message"}, {i for i, _, k in rows if k == "message"}
+    first = len(want)
+    while frontier:
+        frontier = {i for i, t, k in rows if k is None and i not in want and any(residue.similarity(t, texts[s]) >= residue.SIMILAR for s in frontier)}
+        want |= frontier
+    assert got == want and len(want) > first + 40
+
+
 def test_profiles():
     p = prose.nearest
     assert p(["회사는 새 공장을 지어 생산 능력을 늘렸습니다."]) == ["prose_ko"] and p(["The company sold more noodles this year because many schools came to the shop."]) == ["prose_en"]
