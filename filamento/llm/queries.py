@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filamento.llm import leakage, level, markup, nearsets, packing, prose, residue, survivors
-from filamento.plans.runtime import materialize, salted_join, table
+from filamento.plans.runtime import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,11 +50,10 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sections that are mostly no prose; those with residue (judged on these sections) are left out."""
+    """Sections that are mostly no prose; those with residue, judged on all sections as in p6_found, are left out."""
     sections = table(spark, d, "section_contents")
     flagged = materialize(prose.not_prose(sections, "section_key", "paragraphs").select("section_key").distinct(), "no-prose")
-    rows = salted_join(sections.select("section_key", "paragraphs", "text"), flagged, ["section_key"], "left_semi")
-    with_residue = residue.found(rows, "section_key", "paragraphs", "text")
+    with_residue = residue.found(sections, "section_key", "paragraphs", "text")
     return flagged.join(with_residue.select("section_key"), "section_key", "left_anti")
 
 

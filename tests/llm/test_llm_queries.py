@@ -35,3 +35,16 @@ def test_query(spark, name):
         cursor = c.execute(book.oracle_sql()[name])
         names = [x[0] for x in cursor.description]
         assert {tuple(r[n] for n in names) for r in rows} == set(cursor.fetchall())
+
+
+def test_residue_of_unflagged_sections_counts(spark, tmp_path):
+    seed = "Please enable JavaScript in your browser to continue."
+    near = "Please enable JvaScript in your browser to continue"
+    prose = ["회사는 새 공장을 지어 생산 능력을 늘렸습니다.", "매출이 전기보다 크게 늘어 이익도 함께 늘었습니다."] * 4
+    rows = [(1, [*prose, seed], None), (2, ["합계", "1,234", "- 황산", near], None), (3, ["합계", "1,234", "- 황산"], None)]
+    spark.createDataFrame(rows, "section_key bigint, paragraphs array<string>, text string").write.parquet(str(tmp_path / "section_contents.parquet"))
+    q = book.queries()
+    residue = {r.section_key for r in q["p6_found"](spark, str(tmp_path)).collect()}
+    flagged = {r.section_key for r in book.prose.not_prose(spark.read.parquet(str(tmp_path / "section_contents.parquet")), "section_key", "paragraphs").collect()}
+    assert 2 in residue and {2, 3} <= flagged and 1 not in flagged
+    assert {r.section_key for r in q["p7_found"](spark, str(tmp_path)).collect()} == {3}
