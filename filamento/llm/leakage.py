@@ -72,13 +72,15 @@ class Items:
                     self.owner.append(k)
         self.owner = np.array(self.owner, np.int64)
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, np.ndarray, str]]]:
-        """Number of passages of a text, and those that could hold a run: (start, known n-grams, text)."""
+    def passages(self, text: str | None, least: int = HITS) -> tuple[int, list[tuple[int, np.ndarray, str]]]:
+        """Number of passages of a text, and those with ``least`` known n-grams: (start, known n-grams, text).
+
+        One that holds a run has HITS of them; a paraphrase may have any number."""
         x = normal(text)
         h = grams(x)
         count = max(1, -(-max(0, len(x) - WINDOW) // STRIDE) + 1) if x else 0
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(44)).astype(np.int64)])
-        if len(at) < HITS:
+        if len(at) < least:
             return count, []
         where = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
         known = np.full(len(h), -1)
@@ -88,14 +90,14 @@ class Items:
         for s in range(0, len(h), STRIDE):
             w = known[s : s + WINDOW - N + 1]
             w = w[w >= 0]
-            if len(w) >= HITS:
+            if len(w) >= least:
                 out.append((s, w, x[s : s + WINDOW]))
         return count, out
 
 
 _PASSAGE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("known", T.ArrayType(T.IntegerType())), T.StructField("passage", T.StringType())])
 _BLOCK = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("sums", T.BinaryType())])
-_PAIR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item", T.IntegerType()), T.StructField("cosine", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("run", T.IntegerType())])
+_PAIR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item", T.IntegerType()), T.StructField("cosine", T.DoubleType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("run", T.IntegerType())])
 BLOCKS = 16
 
 
@@ -108,14 +110,14 @@ def weighted(windows: list[np.ndarray], idf: np.ndarray, column: np.ndarray) ->
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
-def _passages(documents: DataFrame, items: Items) -> DataFrame:
-    """Passages with enough known n-grams, and rows without a doc_id that count all passages."""
+def _passages(documents: DataFrame, items: Items, least: int) -> DataFrame:
+    """Passages with ``least`` known n-grams, and rows without a doc_id that count all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, starts, known, texts, total = [], [], [], [], 0
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n, found = items.passages(t)
+                n, found = items.passages(t, least)
                 total += n
                 for s, w, passage in found:
                     ids.append(d)
@@ -165,11 +167,12 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, column: np.ndarray) -> np
     return np.ascontiguousarray(right[:, :RANK], np.float32)
 
 
-def _candidates(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) -> DataFrame:
-    """(doc_id, item, cosine, start, run) of passages whose latent cosine with an item's window is enough.
+def _candidates(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, paraphrases: bool) -> DataFrame:
+    """(doc_id, item, cosine, starts, run) of passages whose latent cosine with an item's window is enough.
 
     ``run`` is the longest common run of the passage and the item if it reaches RUN, else 0. A run of
-    RUN characters of the document lies whole in one of its passages.
+    RUN characters of the document lies whole in one of its passages. With ``paraphrases`` the runs
+    are left to the whole texts, and ``starts`` are those of all such passages, else empty.
 
     Where the latent space holds too little of a passage, the greatest cosine its parts outside could
     give is added, so that a rare item is never lost to the truncation.
@@ -178,13 +181,16 @@ def _candidates(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.nd
     ql = q @ basis
     q_in = np.maximum(np.linalg.norm(ql, axis=1), 1e-6)
     q_out = np.sqrt(np.maximum(0, 1 - q_in**2))
-    owner, column, runs = items.owner, items.column, Runs(items.texts)
+    # an item's windows are neighbours: the greatest cosine of each item is a maximum over a slice
+    present, first = np.unique(items.owner, return_index=True)
+    column, runs = items.column, Runs(items.texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, starts, known = b.column(0).to_pylist(), b.column(1).to_pylist(), [np.array(k) for k in b.column(2).to_pylist()]
             passage = b.column(3).to_pylist()
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            best: dict[tuple[int, int], float] = {}
+            at: dict[tuple[int, int], list[int]] = {}
             longest: dict[tuple[int, int], int] = {}
             for i in range(0, len(known), 256):
                 x = weighted(known[i : i + 256], idf, column) @ basis
@@ -194,19 +200,20 @@ def _candidates(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.nd
                 poor = x_in**2 < CAPTURED
                 if poor.any():
                     cos[poor] = np.maximum(cos[poor], dot[poor] + np.sqrt(np.maximum(0, 1 - x_in[poor] ** 2))[:, None] * q_out[None])
-                for r in range(len(cos)):
-                    near: dict[int, float] = {}
-                    for c in np.flatnonzero(cos[r] >= COSINE).tolist():
-                        near[int(owner[c])] = max(near.get(int(owner[c]), 0.0), float(cos[r, c]))
-                    for k, n in runs.longest(passage[i + r], set(near)).items():
+                top = np.maximum.reduceat(cos, first, axis=1)
+                for r in range(len(top)):
+                    at_least = np.flatnonzero(top[r] >= COSINE)
+                    near = dict(zip(present[at_least].tolist(), top[r, at_least].tolist()))
+                    for k, n in ({} if paraphrases else runs.longest(passage[i + r], set(near))).items():
                         longest[ids[i + r], k] = max(longest.get((ids[i + r], k), 0), n)
                     for k, v in near.items():
-                        if v > best.get((ids[i + r], k), (0.0, 0))[0]:
-                            best[ids[i + r], k] = (v, starts[i + r])
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best], pa.int64()), pa.array([k for _, k in best], pa.int32()), pa.array([v[0] for v in best.values()], pa.float64()), pa.array([v[1] for v in best.values()], pa.int64()), pa.array([longest.get(p, 0) for p in best], pa.int32())], _PAIR.names)
+                        best[ids[i + r], k] = max(best.get((ids[i + r], k), 0.0), v)
+                        if paraphrases:
+                            at.setdefault((ids[i + r], k), []).append(starts[i + r])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best], pa.int64()), pa.array([k for _, k in best], pa.int32()), pa.array(list(best.values()), pa.float64()), pa.array([at.get(p, []) for p in best], pa.list_(pa.int64())), pa.array([longest.get(p, 0) for p in best], pa.int32())], _PAIR.names)
 
     found = passages.where("doc_id is not null").select("doc_id", "start", "known", "passage").mapInArrow(run, _PAIR)
-    return found.groupBy("doc_id", "item").agg(F.max("cosine").alias("cosine"), F.max_by("start", "cosine").alias("start"), F.max("run").alias("run"))
+    return found.groupBy("doc_id", "item").agg(F.max("cosine").alias("cosine"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.max("run").alias("run"))
 
 
 class Runs:
@@ -266,8 +273,9 @@ def leaks(documents: DataFrame, items: DataFrame, paraphrases: bool = True) -> D
     ``run`` is the longest common run of letters and digits if it reaches RUN, else 0: the pairs with
     a run are leaks. Without ``paraphrases`` runs are measured within passages, so none is longer than
     WINDOW, and the corpus is read once. For the rest, ``common_share`` (longest common subsequence by the shorter of the
-    item and the passage around the candidate) and ``numbers_kept`` (the numbers of the item all
-    occur there) tell paraphrases; they are null where ``paraphrases`` is off. Null texts and ids
+    item and the passage around a candidate) and ``numbers_kept`` (the numbers of the item all
+    occur there) tell paraphrases. Every candidate passage of a pair is looked at: the greatest share of
+    those that keep the numbers is told, and none where no passage keeps them. They are null where ``paraphrases`` is off. Null texts and ids
     have no pairs; an item shorter than RUN can have no run. Repeated rows give one row.
     """
     rows = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text")).limit(MAX_ITEMS + 1).collect()
@@ -276,20 +284,21 @@ def leaks(documents: DataFrame, items: DataFrame, paraphrases: bool = True) -> D
     held = Items(sorted((r.item_id, r.text) for r in rows))
     if not held.windows:
         return documents.sparkSession.createDataFrame([], _LEAK)
-    passages = materialize(_passages(documents, held), "leak-passages")
+    passages = materialize(_passages(documents, held, 1 if paraphrases else HITS), "leak-passages")
     total = passages.where("doc_id is null").agg(F.coalesce(F.sum("start"), F.lit(0)).alias("n")).collect()[0].n
     df = np.zeros(len(held.vocabulary))
     counted = passages.where("doc_id is not null").select(F.explode(F.array_distinct("known")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).toArrow()
     df[counted.column("v").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((total + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-    pairs = _candidates(passages, held, idf, latent_basis(passages, idf, held.column))
+    pairs = _candidates(passages, held, idf, latent_basis(passages, idf, held.column), paraphrases)
     if not paraphrases:
         names = F.array(*[F.lit(i) for i in held.ids])
         told = [F.lit(None).cast("double").alias("common_share"), F.lit(None).cast("boolean").alias("numbers_kept")]
         return pairs.select("doc_id", F.element_at(names, F.col("item") + 1).cast("bigint").alias("item_id"), "cosine", "run", *told)
-    per_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item", "cosine", "start")).alias("pairs"))
+    per_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item", "cosine", "starts")).alias("pairs"))
     texts = documents.where("doc_id is not null").select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "pairs")
     ids, item_texts, runs = held.ids, held.texts, Runs(held.texts)
+    numerals = [re.findall(r"\d+", y) for y in held.texts]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,9 +310,11 @@ def leaks(documents: DataFrame, items: DataFrame, paraphrases: bool = True) -> D
                     y = item_texts[p["item"]]
                     run, share, numbers = longest.get(p["item"], 0), None, None
                     if not run:
-                        around = x[max(0, p["start"] - len(y)) : p["start"] + WINDOW + len(y)]
-                        share = subsequence(around, y) / max(1, min(len(y), len(around)))
-                        numbers = all(n in around for n in re.findall(r"\d+", y))
+                        numbers = False
+                        for s in p["starts"]:
+                            around = x[max(0, s - len(y)) : s + WINDOW + len(y)]
+                            if all(n in around for n in numerals[p["item"]]):
+                                numbers, share = True, max(share or 0.0, subsequence(around, y) / max(1, min(len(y), len(around))))
                     out.append((d, ids[p["item"]], p["cosine"], run, share, numbers))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()))], _LEAK.names)
 

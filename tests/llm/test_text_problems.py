@@ -215,6 +215,24 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(spark.createDataFrame(docs, DOCS), none).isEmpty()
 
 
+def test_paraphrases_with_few_known_grams(spark):
+    rnd = random.Random(3)
+    say = lambda n: "".join(rnd.choice("가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호") for _ in range(n))
+    items = [(i, say(90) + str(100 + i) + say(90)) for i in range(8)]
+    docs = []
+    for d in range(24):
+        t = list(items[d % 8][1])
+        for k in range(7, len(t), 15):
+            if not t[k].isdigit():
+                t[k] = "뷁"
+        # a verbatim scrap of 30 characters, more like the item's windows than any passage of the paraphrase
+        docs.append((d, say(400) + "".join(t) + say(700) + items[d % 8][1][20:50] + say(600), "x"))
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+    rows = leakage.leaks(*frames).where("common_share >= 0.6 and numbers_kept").collect()
+    got = {(r.doc_id, r.item_id): r.common_share for r in rows}
+    assert set(got) == {(d, d % 8) for d in range(24)} and min(got.values()) > 0.9 and not any(r.run for r in rows)
+
+
 def test_too_many_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MAX_ITEMS", 1)
     with pytest.raises(ValueError):
