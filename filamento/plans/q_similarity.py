@@ -183,6 +183,12 @@ def _matches(spark, d):
     return M.match_names(names, choices, key="key", name="name", choice="choice")
 
 
+@q("m15_matched_names")
+def m15_matched(spark, d):
+    """Every name of the filings index with its listing, exact or misspelt."""
+    return _matches(spark, d).select("name", "choice", "match_type", "score")
+
+
 @q("m15_fuzzy_names")
 def m15_fuzzy(spark, d):
     """Names with a legal form or a spelling of their own, matched to the universe's."""

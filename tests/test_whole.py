@@ -83,3 +83,11 @@ def test_levenshtein_of_whole_texts(spark, folder):
     for k, c in enumerate((11, 12, 13)):
         a, b = "가나다라 2020", f"마바사아 2020{'자' * k}"
         assert got[f"{c:08d}"] == pytest.approx(1 - distance(a, b) / max(len(a), len(b)), abs=1e-6) and got[f"{c:08d}"] < 0.6
+
+
+def test_misspelt_filers_meet_their_listing(spark, tmp_path):
+    filers, listed = ["주식회사 한빛에너지솔루션홀딩스", "한빛에너지솔류션홀딩스제일", "무관한 이름", None], ["한빛에너지솔루션홀딩스", "한빛에너지솔루션홀딩스제일", "다른 상장사", None]
+    spark.createDataFrame([(n,) for n in filers], "corp_name string").write.parquet(str(tmp_path / "filings_index.parquet"))
+    spark.createDataFrame([(n,) for n in listed], "name string").write.parquet(str(tmp_path / "universe.parquet"))
+    got = {(r.name, r.choice, r.match_type) for r in rows(spark, str(tmp_path), "m15_matched_names")}
+    assert got == {(filers[0], listed[0], "exact"), (filers[1], listed[1], "fuzzy")}
