@@ -265,3 +265,18 @@ def test_levels_learn_from_graded_text(spark):
     got = {r.doc_id: r.level for r in level.levels(d, lab).collect()}
     assert len(got) == 243 and sum((got[i] == 5) == (i % 2 == 0) for i in range(160, 240)) >= 78 and got[902] < 5
     assert {r.level for r in level.levels(d, lab.limit(0)).collect()} == {3}
+
+
+def test_word_grades_are_over_all_graded_documents(spark):
+    words = ["빵", "모자", "우발대가", "손상차손", "가게", "법인"]
+    d = spark.createDataFrame([(i, " ".join([words[i % 6], words[i % 5], f"말{'가나다라마'[i % 5]}"])) for i in range(60)], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, "A", 1 + i % 5) for i in range(50)], "doc_id bigint, rater string, level int")
+    few, every = (level.train(d, lab, n)[0] for n in (8, 1000))
+    n, s = collections.Counter(), collections.Counter()
+    for i, text in ((r.doc_id, r.text) for r in d.collect() if r.doc_id < 50):
+        for b in set(level.buckets(text, level._Words()).tolist()):
+            n[b] += 1
+            s[b] += 1 + i % 5
+    for t in (few, every):
+        assert {b: t["graded_n"][b] for b in np.flatnonzero(t["graded_n"])} == n and {b: t["graded_s"][b] for b in np.flatnonzero(t["graded_s"])} == s
+        assert t["mean"] == pytest.approx(3.0)
