@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filamento.functions.unicode import drop_invisible, nfkc
+from filamento.functions.unicode import INVISIBLE, drop_invisible, nfkc
 
 # Patterns of editor residue, footnote marks, numbering and names in filings.
-SPACE_LIKE = r"[   -   　\t]+"
+SPACE_LIKE = r"[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\t]+"
 EDITOR_LABEL = r"(?iU)◆\s*click\s*◆\s*(?:『[^』]{0,60}』)?\s*(?:삽입|추가)?"
 TEMPLATE_FILE = r"(?iU)\d{4,6}\s*#\s*\*?\s*_\S+?\.dsl"
 BREAK_ENTITY = r"(?i)&cr(?![A-Za-z0-9]);?"
@@ -59,6 +62,25 @@ def clean_text(col: Column, remove_artifacts: bool = True) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"\n{3,}", "\n\n"))
 
 
+def _python(pattern: str) -> re.Pattern:
+    """A pattern of this module for Python, whose classes are those of Unicode anyway."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    body = pattern[flags.end() :] if flags else pattern
+    return re.compile(body, sum(getattr(re, f.upper()) for f in (flags[1] if flags else "") if f != "U"))
+
+
+_CLEANING = [(_python(p), " ") for p in (SPACE_LIKE, EDITOR_LABEL, TEMPLATE_FILE, BREAK_ENTITY, FOOTNOTE)]
+_CLEANING += [(re.compile(r"(?m)^[^\S\n]+|[^\S\n]+$"), ""), (re.compile(" {2,}"), " "), (re.compile(r"\n{3,}"), "\n\n")]
+
+
+def plain_clean(value: str | None) -> str:
+    """``clean_text`` of one Python string, for texts that are made inside an Arrow step."""
+    t = unicodedata.normalize("NFKC", value or "").translate(dict.fromkeys(map(ord, INVISIBLE)))
+    for pattern, to in _CLEANING:
+        t = pattern.sub(to, t)
+    return t.strip()
+
+
 def artifact_counts(col: Column) -> dict[str, Column]:
     return {"n_label": F.regexp_count(col, F.lit(EDITOR_LABEL)), "n_file": F.regexp_count(col, F.lit(TEMPLATE_FILE)), "n_entity": F.regexp_count(col, F.lit(BREAK_ENTITY))}
 

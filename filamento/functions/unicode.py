@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from filamento.functions.udf import arrow
 
 #: Zero-width characters and joiners, word joiner, BOM and soft hyphen.
-INVISIBLE = "​‌‍⁠﻿­‎‏᠎"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f\u180e"
 #: Characters NFKC never changes and never composes: ASCII, Hangul syllables, plain CJK and common marks.
 STABLE = "^[\\x00-\\x7E\\uAC00-\\uD7A3\\u4E00-\\u9FFF\\u25A0-\\u25FF\\u2605\\u2606\\u3008-\\u3011\\u201C\\u201D\\u2018\\u2019\\u00B7\\u200B-\\u200F\\u2060\\u00AD\\uFEFF]*$"
 
