@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record of every group, its fields filled from the whole group."""
+    """The surviving record of every group with all its fields."""
     return survivors.survivors(table(spark, d, "filings_index"))
 
 
@@ -98,6 +98,24 @@ _WIDE, _PLAIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) f
 _LETTERS = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_PLAIN}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
+#: Filings with their groups, places and counts.
+_FILINGS = """
+WITH r AS (SELECT trim(rcept_no) AS rno, regexp_replace(corp_code,'[^0-9]','','g') AS c, regexp_replace(stock_code,'[^0-9]','','g') AS s, fy, is_correction AS flag,
+  replace(translate(regexp_replace(report_nm,'[\\s　]','','g'),'（）［］／．','()[]/.'),' ','') AS nm, regexp_replace(rcept_dt,'[^0-9]','','g') AS dt, period_month, collected_at, nullif(trim(report_nm),'') AS a1, nullif(trim(rcept_time),'') AS a2, nullif(trim(orig_rcept_no),'') AS a3, nullif(trim(flr_nm),'') AS a4, nullif(trim(corp_name),'') AS b1, nullif(trim(market),'') AS b2 FROM filings_index WHERE rcept_no IS NOT NULL),
+n AS (SELECT rno, period_month, collected_at, a1, a2, a3, a4, b1, b2, CASE WHEN length(c)>0 THEN lpad(c,8,'0') END AS corp, CASE WHEN length(s)>0 THEN lpad(s,6,'0') END AS stock, fy, flag,
+  regexp_extract(nm,'^((\\[[^\\]]*\\])+)',1) AS br, regexp_replace(nm,'^(\\[[^\\]]*\\])+','') AS bare, nm IS NULL AS noname, CASE WHEN length(dt)>=8 THEN substr(dt,1,8) END AS day FROM r),
+k AS (SELECT *, CASE WHEN br='' OR br IS NULL THEN NULL WHEN contains(br,'첨부') THEN 1 ELSE 2 END AS kind, TRY_CAST(nullif(regexp_extract(bare,'\\(([12][0-9]{3})[./-]?[0-9]{0,2}\\)',1),'') AS BIGINT) AS py,
+  CASE WHEN NOT noname THEN regexp_matches(bare,'^사업보고서(\\(|$)') END AS annual FROM n),
+o AS (SELECT rno, count(*) AS cnt, max(period_month) AS period_month, max(corp) AS corp, max(stock) AS stock, coalesce(max(py),max(fy)) AS y, coalesce(bool_or(annual),true) AS annual,
+  coalesce(max(kind), CASE WHEN bool_or(coalesce(flag,false)) THEN 2 ELSE 0 END) AS kind, coalesce(min(day), substr(rno,1,8)) AS day FROM k GROUP BY rno),
+m AS (SELECT stock, corp AS mc FROM (SELECT stock, corp, row_number() OVER (PARTITION BY stock ORDER BY count(*) DESC, corp) AS rn FROM o WHERE stock IS NOT NULL AND corp IS NOT NULL GROUP BY stock, corp) WHERE rn=1),
+x AS (SELECT rno, a1, a2, a3, a4, row_number() OVER (PARTITION BY rno ORDER BY (a1 IS NOT NULL)::INT+(a2 IS NOT NULL)::INT+(a3 IS NOT NULL)::INT+(a4 IS NOT NULL)::INT DESC, collected_at DESC NULLS LAST, a1 DESC NULLS LAST, a2 DESC NULLS LAST, a3 DESC NULLS LAST, a4 DESC NULLS LAST) AS rn FROM k),
+z AS (SELECT rno, b1, b2, row_number() OVER (PARTITION BY rno ORDER BY (b1 IS NOT NULL)::INT+(b2 IS NOT NULL)::INT DESC, collected_at DESC NULLS LAST, b1 DESC NULLS LAST, b2 DESC NULLS LAST) AS rn FROM k),
+f AS (SELECT coalesce(o.corp, m.mc) AS corp_code, CAST(y AS BIGINT) AS fy, o.rno AS rcept_no, kind, day, cnt, o.stock, period_month, a1 AS report_nm, a2 AS rcept_time, a3 AS orig_rcept_no, a4 AS flr_nm, b1 AS corp_name, b2 AS market FROM o LEFT JOIN m USING (stock) JOIN x ON x.rno=o.rno AND x.rn=1 JOIN z ON z.rno=o.rno AND z.rn=1 WHERE annual),
+g AS (SELECT *, row_number() OVER (PARTITION BY corp_code, fy ORDER BY kind, day, rcept_no) AS rn, sum(cnt) OVER (PARTITION BY corp_code, fy)::BIGINT AS tot, bool_or(kind=2) OVER (PARTITION BY corp_code, fy) AS corrected FROM f WHERE corp_code IS NOT NULL AND fy IS NOT NULL)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p9_found": f"""
@@ -110,17 +128,14 @@ t AS (SELECT section_key, regexp_replace(unnest(p), '[\\s\\x0b\\x1c-\\x1f\\x{85}
 g AS (SELECT DISTINCT section_key, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM t), n AS (SELECT section_key, count(*) AS n FROM g GROUP BY 1),
 x AS (SELECT a.section_key AS a, b.section_key AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.section_key < b.section_key GROUP BY ALL)
 SELECT a AS section_key_a, b AS section_key_b FROM x JOIN n na ON na.section_key = a JOIN n nb ON nb.section_key = b WHERE c >= 0.7 * (na.n + nb.n - c)""",
-        "p1_found": """
-WITH r AS (SELECT trim(rcept_no) AS rno, regexp_replace(corp_code,'[^0-9]','','g') AS c, regexp_replace(stock_code,'[^0-9]','','g') AS s, fy, is_correction AS flag,
-  replace(translate(regexp_replace(report_nm,'[\\s　]','','g'),'（）［］／．','()[]/.'),' ','') AS nm, regexp_replace(rcept_dt,'[^0-9]','','g') AS dt FROM filings_index WHERE rcept_no IS NOT NULL),
-n AS (SELECT rno, CASE WHEN length(c)>0 THEN lpad(c,8,'0') END AS corp, CASE WHEN length(s)>0 THEN lpad(s,6,'0') END AS stock, fy, flag,
-  regexp_extract(nm,'^((\\[[^\\]]*\\])+)',1) AS br, regexp_replace(nm,'^(\\[[^\\]]*\\])+','') AS bare, nm IS NULL AS noname, CASE WHEN length(dt)>=8 THEN substr(dt,1,8) END AS day FROM r),
-k AS (SELECT *, CASE WHEN br='' OR br IS NULL THEN NULL WHEN contains(br,'첨부') THEN 1 ELSE 2 END AS kind, TRY_CAST(nullif(regexp_extract(bare,'\\(([12][0-9]{3})[./-]?[0-9]{0,2}\\)',1),'') AS BIGINT) AS py,
-  CASE WHEN NOT noname THEN regexp_matches(bare,'^사업보고서(\\(|$)') END AS annual FROM n),
-o AS (SELECT rno, count(*) AS cnt, max(corp) AS corp, max(stock) AS stock, coalesce(max(py),max(fy)) AS y, coalesce(bool_or(annual),true) AS annual,
-  coalesce(max(kind), CASE WHEN bool_or(coalesce(flag,false)) THEN 2 ELSE 0 END) AS kind, coalesce(min(day), substr(rno,1,8)) AS day FROM k GROUP BY rno),
-m AS (SELECT stock, corp AS mc FROM (SELECT stock, corp, row_number() OVER (PARTITION BY stock ORDER BY count(*) DESC, corp) AS rn FROM o WHERE stock IS NOT NULL AND corp IS NOT NULL GROUP BY stock, corp) WHERE rn=1),
-f AS (SELECT coalesce(o.corp, m.mc) AS corp_code, CAST(y AS BIGINT) AS fy, rno, kind, day, cnt FROM o LEFT JOIN m USING (stock) WHERE annual)
-SELECT corp_code, fy, rcept_no FROM (SELECT corp_code, fy, rno AS rcept_no, row_number() OVER (PARTITION BY corp_code, fy ORDER BY kind, day, rno) AS rn, sum(cnt) OVER (PARTITION BY corp_code, fy) AS tot
-  FROM f WHERE corp_code IS NOT NULL AND fy IS NOT NULL) WHERE rn=1 AND tot>=2"""
+        "p1_found": _FILINGS + """
+SELECT corp_code, fy, rcept_no FROM g WHERE rn=1 AND tot>=2""",
+        "p1_survivors": _FILINGS + """
+, s AS (SELECT * FROM g WHERE rn=1 AND tot>=2),
+firm AS (SELECT corp_code, fy, stock, corp_name, market, (stock IS NOT NULL)::INT+(corp_name IS NOT NULL)::INT+(market IS NOT NULL)::INT+sum(cnt)/(any_value(tot)+1) AS t FROM g GROUP BY corp_code, fy, stock, corp_name, market),
+bf AS (SELECT s.corp_code, s.fy, firm.stock, firm.corp_name, firm.market, row_number() OVER (PARTITION BY s.corp_code, s.fy ORDER BY t DESC, firm.stock NULLS LAST, firm.corp_name NULLS LAST, firm.market NULLS LAST) AS rn FROM s JOIN firm ON firm.corp_code=s.corp_code AND firm.fy=s.fy AND (s.stock IS NULL OR firm.stock IS NULL OR firm.stock=s.stock)),
+month AS (SELECT corp_code, fy, period_month, sum(cnt) AS n FROM g WHERE period_month IS NOT NULL GROUP BY ALL),
+bm AS (SELECT s.corp_code, s.fy, month.period_month, row_number() OVER (PARTITION BY s.corp_code, s.fy ORDER BY n DESC, month.period_month) AS rn FROM s JOIN month ON month.corp_code=s.corp_code AND month.fy=s.fy AND (s.period_month IS NULL OR s.period_month=month.period_month))
+SELECT s.corp_code, s.fy, s.tot AS n, s.corrected, s.rcept_no, s.day AS rcept_dt, s.report_nm, s.rcept_time, s.orig_rcept_no, s.flr_nm, bf.stock AS stock_code, bf.corp_name, bf.market, s.kind=2 AS is_correction, bm.period_month
+FROM s JOIN bf ON bf.corp_code=s.corp_code AND bf.fy=s.fy AND bf.rn=1 LEFT JOIN bm ON bm.corp_code=s.corp_code AND bm.fy=s.fy AND bm.rn=1"""
     }

@@ -10,11 +10,11 @@ pytest.importorskip("filamento.llm")
 from filamento.llm import marks, markup, survivors  # noqa: E402
 from filamento.llm.cart import Tree  # noqa: E402
 
-F = "corp_code string, stock_code string, corp_name string, market string, fy int, rcept_no string, report_nm string, rcept_dt string, rcept_time string, is_correction boolean, flr_nm string, period_month int, collected_at timestamp, trust string"
+F = "corp_code string, stock_code string, corp_name string, market string, fy int, rcept_no string, report_nm string, rcept_dt string, rcept_time string, is_correction boolean, orig_rcept_no string, flr_nm string, period_month int, collected_at timestamp, trust string"
 
 
 def row(no, name, corp="00000001", stock="000001", fy=2020, dt=None, flag=None, month=12):
-    return (corp, stock, None, None, fy, no, name, dt, None, flag, None, month, None, "extra")
+    return (corp, stock, None, None, fy, no, name, dt, None, flag, None, None, month, None, "extra")
 
 
 def survive(spark, rows):
@@ -39,19 +39,37 @@ def test_flag_and_days(spark):
     assert survive(spark, [row(None, "사업보고서 (2020.12)"), row("2", "사업보고서", corp=None, stock=None), row("3", "사업보고서", fy=None)]) == {}
 
 
+def test_the_order_of_filings_beats_any_number_of_rows(spark):
+    early, late = row("20200301000001", "사업보고서 (2019.12)", stock="000001", fy=2019, dt="20200301"), row("20200401000001", "사업보고서 (2019.12)", stock="000002", fy=2019, dt="20200401")
+    got = survivors.survivors(spark.createDataFrame([early, *[late] * 5], F)).collect()
+    assert [(r.rcept_no, r.stock_code, r.n) for r in got] == [("20200301000001", "000001", 6)]
+
+
+def test_fields_come_in_whole_bundles(spark):
+    names = F.split(", ")
+    make = lambda no, **more: tuple({"corp_code": "1", "fy": 2019, "rcept_no": no, "report_nm": "사업보고서 (2019.12)", **more}.get(n.split()[0]) for n in names)
+    rows = [make("20200301000001", rcept_time=" "), make("20200301000001", flr_nm="갑", rcept_time="09:00"), make("20200402000001", report_nm="[기재정정]사업보고서 (2019.12)", stock_code="7", corp_name="갑", market="KOSPI", period_month=12)]
+    rows += [make("20200403000001", stock_code="8", corp_name="을"), make("20200404000001", stock_code="8", corp_name="을")]
+    (got,) = survivors.survivors(spark.createDataFrame(rows, F)).collect()
+    assert (got.rcept_no, got.rcept_dt, got.rcept_time, got.flr_nm, got.is_correction, got.corrected) == ("20200301000001", "20200301", "09:00", "갑", False, True)
+    # the firm told in full beats the one told more often, and its name and market are its own
+    assert (got.stock_code, got.corp_name, got.market, got.period_month, got.n) == ("000007", "갑", "KOSPI", 12, 5)
+
+
 def test_branch_and_bound_against_all_choices():
     rnd = random.Random(4)
+    total = lambda cs: tuple(sum(c["trust"][level] for c in cs) for level in (0, 1))
     for _ in range(200):
         bundles = []
         for b in range(rnd.randint(1, 3)):
-            c = [{"id": f"{b}{i}", "trust": float(rnd.randint(0, 9)), "tie": f"{i}", "firm": rnd.choice([None, "x", "y"]), "month": rnd.choice([None, 6, 12])} for i in range(rnd.randint(1, 5))]
-            bundles.append(sorted(c, key=lambda x: (-x["trust"], x["tie"])))
+            c = [{"id": f"{b}{i}", "trust": (float(rnd.randint(0, 2)), float(rnd.randint(0, 9))), "tie": f"{i}", "firm": rnd.choice([None, "x", "y"]), "month": rnd.choice([None, 6, 12])} for i in range(rnd.randint(1, 5))]
+            bundles.append(sorted(c, key=lambda x: (-x["trust"][0], -x["trust"][1], x["tie"])))
         ok = lambda cs: all(a[f] is None or b[f] is None or a[f] == b[f] for a, b in itertools.combinations(cs, 2) for f in ("firm", "month"))
         fits = [cs for cs in itertools.product(*bundles) if ok(cs)]
         got = survivors.choose(bundles)
         assert (got is None) == (not fits)
         if fits:
-            assert ok(got) and sum(c["trust"] for c in got) == max(sum(c["trust"] for c in cs) for cs in fits)
+            assert ok(got) and total(got) == max(map(total, fits))
 
 
 RESIDUE = ["<b>굵게</b> 본문", "본문&nbsp;", "본문&cr 끝", "**굵게** 본문", "# 제목", "== 제목 ==", "[[문서|이름]] 본문", "'''굵게''' 본문", "\\textbf{가} 본문", "$\\frac{a}{b}$ 본문", "`코드` 본문", "~~취소~~ 본문", "![그림](a.png)", "<!-- 주석 -->", "본문</p>", "{| class=\"wikitable\"", "| a | b |"]
