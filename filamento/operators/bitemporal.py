@@ -2,7 +2,7 @@
 
 Versions of an entity live in a plane of valid time (when an attribute holds) and recorded time
 (when it became available). The plane is split into disjoint rectangles, each with one current
-version; rectangles are indexed by a grid of time cells and every event is located in its cell.
+version; rectangles are indexed by a grid of cells on both axes and every event is located in its cell.
 """
 
 from __future__ import annotations
@@ -15,28 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filamento.functions.udf import arrow
-from filamento.plans.runtime import salted_join
+from filamento.plans.runtime import key_counts, materialize, salted_join
 
-FOREVER = 2_000_000
 RECT = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("v_lo", "v_hi", "r_lo", "r_hi")), T.StructField("version", T.LongType()), T.StructField("latest", T.LongType())]))
 
 
-def sweep(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+def sweep(points: list[tuple[int, int, int]]) -> list[tuple[int, int | None, int, int | None, int]]:
     """Disjoint current-version rectangles of (valid from, recorded from, version) points.
 
     Recorded time is swept upwards. The open steps cover the valid axis; a new version opens the
     step from its valid day to the next open one and closes what it replaces. Each version closes
-    at most one step and opens at most two, so there are at most 2n rectangles. Within a day,
-    points come in ascending preference.
+    at most one step and opens at most two, so there are at most 2n rectangles; upper ends that
+    stay open are None. Within a day, points come in ascending preference.
     """
     starts: list[int] = []
     step: list[tuple[int, int]] = []  # (recorded from, version) of the step that begins at starts[i]
     out = []
 
-    def close(i: int, r: int) -> None:
+    def close(i: int, r: int | None) -> None:
         since, version = step[i]
-        if since < r:
-            out.append((starts[i], starts[i + 1] if i + 1 < len(starts) else FOREVER, since, r, version))
+        if r is None or since < r:
+            out.append((starts[i], starts[i + 1] if i + 1 < len(starts) else None, since, r, version))
 
     for v, r, version in sorted(points, key=lambda p: (p[1], p[0])):
         i = bisect.bisect_left(starts, v)
@@ -50,7 +49,7 @@ def sweep(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
         starts.insert(i, v)
         step.insert(i, (r, version))
     for i in range(len(starts)):
-        close(i, FOREVER)
+        close(i, None)
     return out
 
 
@@ -66,7 +65,7 @@ def _rectangles(versions: pa.Array) -> pa.Array:
 
 
 def rectangles(versions: DataFrame, entity: str, valid_from: str, known_at: str, version: str) -> DataFrame:
-    """(entity, v_lo, v_hi, r_lo, r_hi, version, latest); days since 1970, upper ends exclusive.
+    """(entity, v_lo, v_hi, r_lo, r_hi, version, latest); days since 1970, upper ends exclusive and null where open.
 
     ``latest`` is the version that comes last of all. Rows with a null entity, valid day, recording
     time or id are no versions. A version recorded on a day counts from the next day on. Before the
@@ -81,19 +80,30 @@ def rectangles(versions: DataFrame, entity: str, valid_from: str, known_at: str,
     return grouped.select(entity, F.explode(_rectangles("g")).alias("x")).select(entity, "x.*")
 
 
-def known_version(events: DataFrame, versions: DataFrame, *, entity: str, event_id: str, at: str, valid_from: str, known_at: str, version: str, cell_days: int = 180) -> DataFrame:
-    """(event_id, version, latest) of every event with a version known when it happened.
+def located(events: DataFrame, rects: DataFrame, *, entity: str, event_id: str, valid_at: str, recorded_at: str | None = None, cell_days: int = 180) -> DataFrame:
+    """(event_id, version, latest, further columns of ``rects``) of every event that lies in a rectangle.
 
-    An event at day d is the point (d, d). Rectangles are entered in every time cell their stretch
-    of the diagonal crosses; an event meets only the rectangles of its own entity and cell. Hot
-    entities are salted. Events with a null entity or time, or before any version, are left out;
-    repeated events give one row; extra columns of either side are ignored.
+    An event is the point (day of ``valid_at``, day of ``recorded_at``), the latter the same column
+    unless named: what was known at its recorded day of its valid day. The plane is cut into square
+    cells; rectangles are entered in the cells that hold events, however far they reach, and an event
+    meets only those of its own entity and cell. Counting the events of each cell finds those cells and
+    the hot ones, which are salted. Events with a null entity or time, or in no rectangle, are left
+    out; repeated events give one row; other columns of the events are ignored. Any date will do.
     """
+    carried = [c for c in rects.columns if c not in (entity, "v_lo", "v_hi", "r_lo", "r_hi")]
+    cell = lambda day: F.floor(F.col(day) / cell_days).cast("int")
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    points = events.select(F.col(event_id).alias("_event"), entity, day(valid_at).alias("_v"), day(recorded_at or valid_at).alias("_r")).where(F.col(entity).isNotNull() & F.col("_v").isNotNull() & F.col("_r").isNotNull())
+    points = points.withColumns({"_vc": cell("_v"), "_rc": cell("_r")})
+    held = materialize(key_counts(points, [entity, "_vc", "_rc"]), "event-cells")
+    meets = lambda c, lo, hi: (F.col(lo) < (F.col(c) + 1) * cell_days) & (F.col(hi).isNull() | (F.col(hi) > F.col(c) * cell_days))
+    grid = rects.join(held.drop("_n"), entity).where(meets("_vc", "v_lo", "v_hi") & meets("_rc", "r_lo", "r_hi"))
+    inside = lambda p, lo, hi: (F.col(lo) <= F.col(p)) & (F.col(hi).isNull() | (F.col(p) < F.col(hi)))
+    met = salted_join(points, grid, [entity, "_vc", "_rc"], counts=held).where(inside("_v", "v_lo", "v_hi") & inside("_r", "r_lo", "r_hi"))
+    return met.select(F.col("_event").alias(event_id), *carried).distinct()
+
+
+def known_version(events: DataFrame, versions: DataFrame, *, entity: str, event_id: str, at: str, valid_from: str, known_at: str, version: str, recorded_at: str | None = None, cell_days: int = 180) -> DataFrame:
+    """(event_id, version, latest) of every event with a version known when it happened (or at ``recorded_at``)."""
     rects = rectangles(versions, entity, valid_from, known_at, version)
-    lo, hi = F.greatest("v_lo", "r_lo"), F.least("v_hi", "r_hi")
-    last_cell = F.lit(60_000 // cell_days)
-    indexed = rects.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi").select(entity, "_lo", "_hi", "version", "latest", F.explode(F.sequence((F.col("_lo") / cell_days).cast("int"), F.least((F.col("_hi") - 1) / cell_days, last_cell).cast("int"))).alias("_cell"))
-    days = F.unix_date(F.col(at).cast("date"))
-    points = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(event_id).alias("_event"), entity, days.alias("_day")).distinct().withColumn("_cell", (F.col("_day") / cell_days).cast("int"))
-    met = salted_join(points, indexed, [entity, "_cell"]).where("_lo <= _day and _day < _hi")
-    return met.select(F.col("_event").alias(event_id), "version", "latest").distinct()
+    return located(events, rects, entity=entity, event_id=event_id, valid_at=at, recorded_at=recorded_at, cell_days=cell_days)

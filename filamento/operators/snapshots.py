@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filamento.plans.runtime import salted_join
+from filamento.plans.runtime import materialize, salted_join
 
 
 def row_hash(*values: Column) -> Column:
@@ -24,20 +27,18 @@ def snapshot_changes(rows: DataFrame, *, series: list[str], period: str, key: st
     Rows with a null series column or period belong to no snapshot. A null key still makes a
     snapshot, but is no record. Order of rows means nothing; an empty table gives no rows.
 
-    Both sides hold each key once, so the full outer join has no hot key; the only skewed join,
-    rows to the calendar of their series, is salted.
+    Both sides hold each key once, so the full outer join has no hot key. The rows are read and hashed
+    once; counting the rows of each snapshot gives the calendar of its series and the hot snapshots
+    that are salted when rows meet that calendar.
     """
-    present = F.col(period).isNotNull()
-    for s in series:
-        present = present & F.col(s).isNotNull()
-    state = (
-        rows.where(present)
-        .groupBy(*series, period, key)
-        .agg(F.max_by(row_hash(content), F.struct(F.col(loaded_at), row_hash(content))).alias("_hash"))
-    )
-    periods = state.groupBy(*series).agg(F.sort_array(F.collect_set(period)).alias("_all"))
-    calendar = periods.select(*series, F.posexplode("_all").alias("_i", period), "_all").select(*series, period, F.expr("try_element_at(_all, _i + 2)").alias("_next"), (F.col("_i") == 0).alias("_first"))
-    known = salted_join(state.where(F.col(key).isNotNull()), calendar, [*series, period])
+    present = reduce(and_, [F.col(c).isNotNull() for c in (*series, period)])
+    hashed = rows.where(present).select(*series, period, key, F.col(loaded_at).alias("_at"), row_hash(content).alias("_hash"))
+    latest = hashed.groupBy(*series, period, key).agg(F.max(F.struct("_at", "_hash")).alias("_m"))
+    state = materialize(latest.select(*series, period, key, F.col("_m._hash").alias("_hash")), "snapshots")
+    sizes = materialize(state.groupBy(*series, period).agg(F.count(F.lit(1)).alias("_n")), "snapshot-sizes")
+    order = Window.partitionBy(*series).orderBy(period)
+    calendar = sizes.select(*series, period, F.lead(period).over(order).alias("_next"), F.lag(period).over(order).isNull().alias("_first"))
+    known = salted_join(state.where(F.col(key).isNotNull()), calendar, [*series, period], counts=sizes)
     before = known.where(F.col("_next").isNotNull()).select(*series, F.col("_next").alias(period), key, F.col("_hash").alias("_old"))
     after = known.where(~F.col("_first")).select(*series, period, key, F.col("_hash").alias("_new"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "modified")

@@ -7,38 +7,40 @@ from pyspark.sql import functions as F
 
 from filamento.functions.codes import corp_code, stock_code
 from filamento.functions.unicode import canonical
-from filamento.operators.bitemporal import known_version
+from filamento.operators.bitemporal import located, rectangles
 from filamento.operators.snapshots import snapshot_changes
-from filamento.plans.runtime import salted_join, table
+from filamento.plans.runtime import table
 
 
-def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+_STATE = ("is_delisted_later", "delist_date")
+
+
+def _rectangles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Price events, rectangles of the universe's versions, and the attributes of each version."""
     versions = table(spark, d, "universe").withColumn("stock_code", stock_code(F.col("stock_code")))
     events = table(spark, d, "panel").withColumn("stock_code", stock_code(F.col("stock_code")))
-    return events, versions
+    attributes = versions.groupBy(F.col("universe_id").alias("version")).agg(F.max(F.struct("snapshot_date", *_STATE, "rank_mcap")).alias("now"))
+    return events, rectangles(versions, "stock_code", "snapshot_date", "known_at", "universe_id"), attributes
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """(event_id, universe_id): events whose known version differs from the final one of the stock."""
-    events, versions = _located(spark, d)
-    located = known_version(events, versions, entity="stock_code", event_id="event_id", at="date", valid_from="snapshot_date", known_at="known_at", version="universe_id")
-    state = versions.groupBy("universe_id").agg(F.max(F.struct(F.col("is_delisted_later"), F.col("delist_date"))).alias("s"))
-    pairs = located.select("version", "latest").distinct()
-    old = pairs.join(state.select(F.col("universe_id").alias("version"), F.col("s").alias("a")), "version")
-    both = old.join(state.select(F.col("universe_id").alias("latest"), F.col("s").alias("b")), "latest")
-    differs = both.where(~(F.col("a.is_delisted_later").eqNullSafe(F.col("b.is_delisted_later")) & F.col("a.delist_date").eqNullSafe(F.col("b.delist_date")))).select("version", "latest")
-    return salted_join(located, differs, ["version", "latest"], "left_semi").select("event_id", F.col("version").alias("universe_id")).distinct()
+    """(event_id, universe_id): events whose known version differs from the final one of the stock.
+
+    Rectangles are compared with the final version first; events are located in those that differ."""
+    events, rects, attributes = _rectangles(spark, d)
+    final = attributes.select(F.col("version").alias("latest"), F.col("now").alias("last"))
+    same = [F.col(f"now.{c}").eqNullSafe(F.col(f"last.{c}")) for c in _STATE]
+    differing = rects.join(attributes, "version").join(final, "latest").where(~(same[0] & same[1])).select(*rects.columns)
+    return located(events, differing, entity="stock_code", event_id="event_id", valid_at="date").select("event_id", F.col("version").alias("universe_id"))
 
 
 def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
     """Every price event with the universe attributes known when it happened (null before any)."""
-    events, versions = _located(spark, d)
-    located = known_version(events, versions, entity="stock_code", event_id="event_id", at="date", valid_from="snapshot_date", known_at="known_at", version="universe_id").select("event_id", F.col("version").alias("universe_id"))
-    attrs = versions.groupBy("universe_id").agg(F.max(F.struct("snapshot_date", "is_delisted_later", "delist_date", "rank_mcap")).alias("s")).select("universe_id", "s.*")
+    events, rects, attributes = _rectangles(spark, d)
+    known = located(events, rects.join(attributes, "version"), entity="stock_code", event_id="event_id", valid_at="date")
     priced = events.groupBy("event_id", "stock_code", "date").agg(F.max("px").alias("px"))
-    with_version = priced.join(located, "event_id", "left")
-    day = lambda c: F.col(c).cast("string").alias(c)
-    return salted_join(with_version, attrs, ["universe_id"], "left").select("event_id", "stock_code", day("date"), "px", "universe_id", day("snapshot_date"), "is_delisted_later", day("delist_date"), "rank_mcap")
+    day = lambda c: F.col(c).cast("string").alias(c.rpartition(".")[2])
+    return priced.join(known, "event_id", "left").select("event_id", "stock_code", day("date"), "px", F.col("version").alias("universe_id"), day("now.snapshot_date"), "now.is_delisted_later", day("now.delist_date"), "now.rank_mcap")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

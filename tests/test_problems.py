@@ -39,6 +39,20 @@ def test_known_versions_against_brute_force(spark):
     assert got == want
 
 
+def test_points_off_the_diagonal_and_far_dates(spark):
+    rnd = random.Random(15)
+    vs = [(rnd.choice("AAB"), day(rnd.randrange(400)), dt.datetime(2020, 1, 1) + dt.timedelta(rnd.randrange(500), rnd.choice([0, 7200])), i) for i in range(90)]
+    es = [(i, rnd.choice("AB"), day(rnd.randrange(500)), day(rnd.randrange(600))) for i in range(200)] + [(900, "A", dt.date(9999, 12, 31), dt.date(9999, 12, 31)), (901, "A", dt.date(1850, 1, 1), dt.date(9999, 12, 31)), (902, "A", day(3), None)]
+    events = spark.createDataFrame(es, "e bigint, s string, d date, seen date")
+    got = {(r.e, r.version) for r in known_version(events, versions(spark, vs), **OPTS, recorded_at="seen", cell_days=50).collect()}
+    want = set()
+    for e, s, d, seen in es:
+        known = [(v[1], v[2], v[3]) for v in vs if seen and v[0] == s and v[1] <= d and v[2] < dt.datetime.combine(seen, dt.time())]
+        if known:
+            want.add((e, max(known)[2]))
+    assert got == want and 900 in {e for e, _ in got} and len(got) > 100
+
+
 def test_rectangles_are_disjoint_and_few():
     rnd = random.Random(9)
     points = [(rnd.randrange(20), rnd.randrange(20), i) for i in range(60)]
@@ -49,7 +63,7 @@ def test_rectangles_are_disjoint_and_few():
     assert len(rects) <= 2 * len(best)
     for v in range(22):
         for r in range(22):
-            inside = [x for x in rects if x[0] <= v < x[1] and x[2] <= r < x[3]]
+            inside = [x for x in rects if x[0] <= v and (x[1] is None or v < x[1]) and x[2] <= r and (x[3] is None or r < x[3])]
             known = [(a, b, i) for (a, b), i in best.items() if a <= v and b <= r]
             assert [x[4] for x in inside] == ([max(known)[2]] if known else [])
 
