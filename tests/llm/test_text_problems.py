@@ -36,18 +36,24 @@ def test_residue(spark):
     rows = [(1, ["본문입니다.", None, "", "본문입니다. " + RESIDUE[0]], None), (1, ["본문입니다.", None, "", "본문입니다. " + RESIDUE[0]], None), (2, None, RESIDUE[1]), (3, [], "본문입니다."), (4, CONTENT, RESIDUE[0]), (5, None, None), (None, [RESIDUE[0]], None), (6, ["가" * 100000], "")]
     df = sections(spark, rows)
     assert {(r.k, r.para_no) for r in residue.found(df, "k", "p", "t").collect()} == {(1, 4), (2, 0)}
-    kept = {r.k: r.p for r in residue.cleaned(df, "k", "p", "t").collect()}
-    assert kept[1] == ["본문입니다.", None, ""] and len(kept[4]) == len(CONTENT) and 2 not in kept
+    kept = {r.k: (r.p, r.t) for r in residue.cleaned(df, "k", "p", "t").collect()}
+    assert kept[1] == (["본문입니다.", None, ""], None) and kept[4] == (CONTENT, RESIDUE[0]) and 2 not in kept
+    assert kept[3] == ([], "본문입니다.") and kept[5] == (None, None)
+    more = [(1, [RESIDUE[0], None], f"{RESIDUE[0]}\n"), (2, [RESIDUE[0], "본문입니다."], f" {RESIDUE[0]}\n본문입니다."), (3, None, "본문입니다.")]
+    assert {r.k: (r.p, r.t) for r in residue.cleaned(sections(spark, more), "k", "p", "t").collect()} == {2: (["본문입니다."], "본문입니다."), 3: (None, "본문입니다.")}
     assert residue.found(df.limit(0), "k", "p", "t").isEmpty()
 
 
+def units(spark, rows):
+    hashes = residue.simhash([t for _, t, _ in rows])
+    return spark.createDataFrame([(*r, int(a), int(b)) for r, (a, b) in zip(rows, hashes)], "uid bigint, unit string, kind string, h0 bigint, h1 bigint")
+
+
 def test_labels_spread_through_a_component(spark):
     base = "이 문서는 관리자가 아직 올리지 않았으니 담당 부서로 연락한 뒤에 다시 열람하여 주시기를 부탁드립니다 감사합니다"
     chain = [base, base + " 네", base + " 네네", "전혀 다른 본문 문장이 여기에 있습니다"]
-    bits = residue.simhash(["".join(t.split()) for t in chain])
-    rows = [(i, t, "message" if i == 0 else None, int(b), int(c)) for i, (t, b, c) in enumerate(zip(chain, bits, residue.interleaved(bits)))]
-    got = {r.uid for r in residue.residue_units(spark.createDataFrame(rows, "uid bigint, unit string, kind string, bits bigint, bits2 bigint")).collect()}
-    near = lambda a, b: bin(int(bits[a]) ^ int(bits[b]) & (2**64 - 1)).count("1") <= residue.HAMMING and residue.similarity(chain[a], chain[b]) >= residue.SIMILAR
+    got = {r.uid for r in residue.residue_units(units(spark, [(i, t, "message" if i == 0 else None) for i, t in enumerate(chain)])).collect()}
+    near = lambda a, b: residue.similarity(chain[a], chain[b]) >= residue.SIMILAR
     want, grew = {0}, True
     while grew:
         more = {b for a in want for b in range(4) if near(a, b)} - want
@@ -55,7 +61,7 @@ def test_labels_spread_through_a_component(spark):
     assert got == want and 3 not in got and len(got) > 1
 
 
-def test_labels_reach_every_near_unit(spark):
+def test_labels_reach_near_units(spark):
     rnd = random.Random(26)
     say = lambda n: "".join(rnd.choice("가나다라마바사아자차카타파하거너더러머버 0") for _ in range(n))
     texts = ["가", "가나", "가나다"]
@@ -70,13 +76,39 @@ def test_labels_reach_every_near_unit(spark):
                 texts.append("".join(t))
     texts = sorted(set(texts))
     rows = [(i, t, "message" if i % 5 == 0 else "content" if i % 17 == 0 else None) for i, t in enumerate(texts)]
-    got = {r.uid for r in residue.residue_units(spark.createDataFrame(rows, "uid bigint, unit string, kind string")).collect()}
+    got = {r.uid for r in residue.residue_units(units(spark, rows)).collect()}
     want, frontier = {i for i, _, k in rows if k == "message"}, {i for i, _, k in rows if k == "message"}
     first = len(want)
     while frontier:
         frontier = {i for i, t, k in rows if k is None and i not in want and any(residue.similarity(t, texts[s]) >= residue.SIMILAR for s in frontier)}
         want |= frontier
-    assert got == want and len(want) > first + 40
+    assert got <= want and len(got) >= first + 0.9 * (len(want) - first) and len(want) > first + 40
+
+
+def test_recall_of_the_simhash_tables():
+    rnd = random.Random(27)
+    say = lambda n: " ".join("".join(rnd.choice("가나다라마바사아자차카타파하고노도로모보소오조초코토포호") for _ in range(rnd.randint(1, 5))) for _ in range(n))
+    pairs = []
+    while len(pairs) < 3000:
+        a = say(rnd.randint(4, 20))
+        words = a.split()
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            words[rnd.randrange(len(words))] = say(1)
+        if residue.SIMILAR <= residue.similarity(a, " ".join(words)) < 1:
+            pairs.append((a, " ".join(words)))
+    x, y = (residue.simhash([p[i] for p in pairs]) for i in (0, 1))
+    meet = (residue.table_keys(x) == residue.table_keys(y)).any(1)
+    close = np.array([sum((int(v) & (2**64 - 1)).bit_count() for v in row) for row in x ^ y]) <= residue.HAMMING
+    assert (meet & close).mean() >= 0.95
+
+
+def test_altered_residue_is_found_by_its_neighbours(spark):
+    altered = ["브라우저의 스크립트 기능이 꺼져 있어 이 표를 표시할 수 없습니다.", "이 문서를 보려면 먼저 자바스크립트를 사용하도록 설정해야 합니다.", "비정상적인 접근이 감지되어 곧 연결을 차단하였습니다.", "동시 접속자가 많아 지금 요청을 처리할 수 없습니다.", "An unexpected error occurred while processing this request."]
+    assert not any(rules.kinds(altered))  # the labels alone find none
+    rows = [(i, ["회사는 제품을 팝니다.", t], None) for i, t in enumerate(altered)]
+    got = {(r.k, r.para_no) for r in residue.found(sections(spark, rows), "k", "p", "t").collect()}
+    want = {(i, 2) for i, t in enumerate(altered) if max(residue.similarity(t, s) for s in rules.TABLE) >= residue.SIMILAR}
+    assert got == want and len(want) >= 3
 
 
 def test_profiles():
