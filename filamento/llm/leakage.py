@@ -1,10 +1,10 @@
 """Evaluation passages inside a training corpus.
 
 Corpus texts are cut into overlapping passages and weighted by TF-IDF over the character n-grams of
-the evaluation items (a fixed set). A randomised SVD, computed over all passages in distributed
-passes, gives a latent space in which passages and item windows are compared by cosine. Candidate
-pairs are then checked by their longest common run, and by longest common subsequence and numbers
-for paraphrases.
+the evaluation items. A randomised SVD, computed over all passages in distributed passes, gives a
+latent space in which a coarse index of the items' windows is searched by cosine. Candidates are then
+checked against the whole text: by their longest common run, and by longest common subsequence and
+numbers for paraphrases.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from pyspark.sql import types as T
 
 from filamento.plans.runtime import materialize
 
-N = 8  # characters of an n-gram
+N = 6  # characters of an n-gram
 RUN = 40  # characters of a leaking run
 WINDOW, STRIDE = 60, 20  # any run of RUN characters lies in one window
-HITS = RUN - N + 1  # n-grams of such a run
+SPAN = WINDOW - N + 1  # n-grams of a window
 FEATURES = 8192  # n-grams are hashed to so many columns
 RANK, EXTRA = 256, 16  # of the latent space, and columns beyond it while it is sought
-COSINE = 0.3
-CAPTURED = 0.3  # passages with a smaller share of their weight in the latent space are compared by a bound
-MAX_ITEMS = 10_000  # the evaluation set is held in memory; more items are refused, not cut
+COSINE = 0.25
+CAPTURED = 0.5  # passages with a smaller share of their weight in the latent space are compared exactly
+PROBES = 12  # cells of the coarse index a passage looks into
+SHARE = 0.6  # of an item's characters in common order, from which a passage that keeps its numbers is a paraphrase
+BLOCK_ITEMS = 10_000  # items held in memory at once; more are taken in blocks
 
 _OTHER = re.compile(r"[\W_]+")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -52,6 +54,36 @@ def grams(text: str, n: int = N) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Rows:
+    """Sparse rows: the distinct known n-grams of each (as places in the vocabulary), and how many unknown it has."""
+
+    def __init__(self, parts: list[np.ndarray], unknown: list[int]):
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+        self.flat = np.concatenate(parts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+        self.unknown = np.array(unknown, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def weights(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of every entry in unit rows, and each row's share that is known: unknown n-grams
+        weigh as the mean of the vocabulary and are orthogonal to every item."""
+        w = idf[self.flat]
+        known = np.add.reduceat(w * w, self.starts) if len(self) else np.zeros(0, np.float32)
+        other = self.unknown * np.float32(np.mean(idf) ** 2 if len(idf) else 0)
+        return w / np.repeat(np.sqrt(known), self.sizes), np.sqrt(known / (known + other))
+
+    def times(self, w: np.ndarray, column: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rows (entries weighing ``w``, each in its hashed column) times a dense matrix."""
+        out = np.empty((len(self), right.shape[1]), np.float32)
+        for i in range(0, len(self), 512):
+            j = min(i + 512, len(self))
+            a, b = self.starts[i], self.starts[j - 1] + self.sizes[j - 1]
+            out[i:j] = np.add.reduceat(right[column[self.flat[a:b]]] * w[a:b, None], self.starts[i:j] - a)
+        return out
+
+
 class Items:
     """The evaluation items, their n-gram vocabulary and their windows."""
 
@@ -60,90 +92,169 @@ class Items:
         self.texts = [normal(t) for _, t in rows]
         hashed = [grams(t) for t in self.texts]
         self.vocabulary = np.unique(np.concatenate([*hashed, np.zeros(0, np.uint64)]))
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        self.bitmap = np.zeros(1 << 22, bool)
+        self.bitmap[(self.vocabulary >> np.uint64(42)).astype(np.int64)] = True
         self.column = ((self.vocabulary * _MIX2) >> np.uint64(51)).astype(np.int64)
-        self.windows, self.owner = [], []
+        windows, owner = [], []
         for k, h in enumerate(hashed):
             at = np.searchsorted(self.vocabulary, h)
-            for s in range(0, max(1, len(h) - HITS + 1), STRIDE):
-                if len(at[s : s + WINDOW - N + 1]):
-                    self.windows.append(at[s : s + WINDOW - N + 1])
-                    self.owner.append(k)
-        self.owner = np.array(self.owner, np.int64)
-
-    def passages(self, text: str | None, least: int = HITS) -> tuple[int, list[tuple[int, np.ndarray, str]]]:
-        """Number of passages of a text, and those with ``least`` known n-grams: (start, known n-grams, text).
-
-        One that holds a run has HITS of them; a paraphrase may have any number."""
-        x = normal(text)
+            for s in range(0, max(1, len(h) - (RUN - N)), STRIDE):
+                if len(at[s : s + SPAN]):
+                    windows.append(np.unique(at[s : s + SPAN]))
+                    owner.append(k)
+        self.windows, self.owner = Rows(windows, [0] * len(windows)), np.array(owner, np.int64)
+
+    def passages(self, x: str) -> tuple[int, list[int], list[np.ndarray], list[int]]:
+        """Of a normal text: the number of its passages, and of those with a known n-gram (all others
+        are zero rows) where they start, their distinct known n-grams and how many unknown they have."""
         h = grams(x)
         count = max(1, -(-max(0, len(x) - WINDOW) // STRIDE) + 1) if x else 0
-        at = np.flatnonzero(self.bitmap[(h >> np.uint64(44)).astype(np.int64)])
-        if len(at) < least:
-            return count, []
+        at = np.flatnonzero(self.bitmap[(h >> np.uint64(42)).astype(np.int64)])
+        if not len(at):
+            return count, [], [], []
         where = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
-        known = np.full(len(h), -1)
         same = self.vocabulary[where] == h[at]
-        known[at[same]] = where[same]
-        out = []
-        for s in range(0, len(h), STRIDE):
-            w = known[s : s + WINDOW - N + 1]
-            w = w[w >= 0]
-            if len(w) >= least:
-                out.append((s, w, x[s : s + WINDOW]))
-        return count, out
-
-
-_PASSAGE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("known", T.ArrayType(T.IntegerType())), T.StructField("passage", T.StringType())])
+        at, where = at[same], where[same]
+        starts = np.arange(0, len(h), STRIDE)
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + SPAN)
+        held = np.flatnonzero(hi > lo)
+        unknown = np.minimum(SPAN, len(h) - starts[held]) - (hi - lo)[held]
+        return count, starts[held].tolist(), [np.unique(where[lo[k] : hi[k]]) for k in held], unknown.tolist()
+
+
+class Index:
+    """Windows of the items in the latent space, in cells around about as many centres as each cell has
+    windows; and the windows that hold each n-gram."""
+
+    def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
+        w, _ = items.windows.weights(idf)
+        q = items.windows.times(w, items.column, basis)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-6)
+        rng = np.random.default_rng(11)
+        self.centres = q[rng.choice(len(q), max(1, round(len(q) ** 0.5)), replace=False)]
+        for _ in range(6):
+            cell = self._nearest(q)
+            order = np.argsort(cell, kind="stable")
+            held, first = np.unique(cell[order], return_index=True)
+            self.centres[held] = np.add.reduceat(q[order], first)
+            self.centres /= np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-6)
+        cell = self._nearest(q)
+        self.order = np.argsort(cell, kind="stable")
+        self.bounds = np.searchsorted(cell[self.order], np.arange(len(self.centres) + 1))
+        self.vectors = q[self.order]
+        # postings: of every n-gram, the windows that hold it and its weight there
+        window = np.repeat(np.arange(len(q)), items.windows.sizes)
+        by_gram = np.argsort(items.windows.flat, kind="stable")
+        self.post_window, self.post_weight = window[by_gram], w[by_gram]
+        self.post_bounds = np.searchsorted(items.windows.flat[by_gram], np.arange(len(items.vocabulary) + 1))
+
+    def _nearest(self, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([(q[i : i + 4096] @ self.centres.T).argmax(1) for i in range(0, len(q), 4096)])
+
+    def near(self, x: np.ndarray, least: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, window, cosine) of unit rows ``x`` and windows of their nearest cells, at ``least`` or more by row."""
+        probes = min(probes, len(self.centres))
+        cells = np.argpartition(-(x @ self.centres.T), probes - 1, axis=1)[:, :probes] if len(x) else np.zeros((0, probes), np.int64)
+        rows, flat = np.repeat(np.arange(len(x)), probes), cells.ravel()
+        order = np.argsort(flat, kind="stable")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for c, mine in zip(*_runs(flat[order], rows[order])):
+            a, b = self.bounds[c], self.bounds[c + 1]
+            cos = x[mine] @ self.vectors[a:b].T
+            r, w = np.nonzero(cos >= least[mine, None])
+            out.append((mine[r], self.order[a + w], cos[r, w]))
+        return tuple(np.concatenate(p) for p in zip(*out))
+
+    def exact(self, rows: Rows, w: np.ndarray, chosen: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for ``chosen`` rows by their own weights, over all windows that share an n-gram."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for r in chosen.tolist():
+            a, b = rows.starts[r], rows.starts[r] + rows.sizes[r]
+            g, weight = rows.flat[a:b], w[a:b]
+            spans = [slice(self.post_bounds[k], self.post_bounds[k + 1]) for k in g]
+            windows = np.concatenate([self.post_window[s] for s in spans])
+            parts = np.concatenate([self.post_weight[s] * v for s, v in zip(spans, weight)])
+            found, at = np.unique(windows, return_inverse=True)
+            cos = np.bincount(at, parts)
+            keep = cos >= least[r]
+            out.append((np.full(int(keep.sum()), r), found[keep], cos[keep].astype(np.float32)))
+        return tuple(np.concatenate(p) for p in zip(*out))
+
+    def candidates(self, items: Items, rows: Rows, idf: np.ndarray, basis: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, cosine) at COSINE or more. A row's unknown share scales all its cosines, so rows
+        that know too little can't reach it and are left out; of the rest, those the latent space
+        holds too little of are compared exactly."""
+        w, share = rows.weights(idf)
+        least = (COSINE / np.maximum(share, 1e-6)).astype(np.float32)
+        able = np.flatnonzero(share >= COSINE)
+        part = Rows([rows.flat[rows.starts[r] : rows.starts[r] + rows.sizes[r]] for r in able], rows.unknown[able])
+        wp, _ = part.weights(idf)
+        x = part.times(wp, items.column, basis)
+        held = np.linalg.norm(x, axis=1)
+        rich = held**2 >= CAPTURED
+        r1, w1, c1 = self.near(x[rich] / held[rich, None], least[able[rich]], probes)
+        r2, w2, c2 = self.exact(part, wp, np.flatnonzero(~rich), least[able])
+        row = np.concatenate([able[np.flatnonzero(rich)[r1]], able[r2]])
+        item, cos = items.owner[np.concatenate([w1, w2])], np.concatenate([c1, c2]) * share[row]
+        order = np.lexsort((-cos, item, row))
+        row, item, cos = row[order], item[order], cos[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        return row[first], item[first], cos[first]
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct sorted keys and the values of each."""
+    found, first = np.unique(keys, return_index=True)
+    return found.tolist(), np.split(values, first[1:]) if len(found) else []
+
+
+_PASSAGE = T.StructType([T.StructField("known", T.ArrayType(T.IntegerType())), T.StructField("n", T.LongType())])
 _BLOCK = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("sums", T.BinaryType())])
-_PAIR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item", T.IntegerType()), T.StructField("cosine", T.DoubleType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("run", T.IntegerType())])
 BLOCKS = 16
 
 
-def weighted(windows: list[np.ndarray], idf: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows over the hashed columns; a window without weight stays zero."""
-    m = np.zeros((len(windows), FEATURES), np.float32)
-    rows = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
-    flat = np.concatenate(windows) if windows else np.zeros(0, np.int64)
-    np.add.at(m, (rows, column[flat]), idf[flat])
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-
-
-def _passages(documents: DataFrame, items: Items, least: int) -> DataFrame:
-    """Passages with ``least`` known n-grams, and rows without a doc_id that count all passages."""
+def _passages(documents: DataFrame, shared) -> DataFrame:
+    """Known n-grams and number of unknown ones of passages; rows without known ones count all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
         for b in batches:
-            ids, starts, known, texts, total = [], [], [], [], 0
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n, found = items.passages(t, least)
+            known, sizes, total = [], [], 0
+            for t in b.column(0).to_pylist():
+                n, _, k, s = items.passages(normal(t))
                 total += n
-                for s, w, passage in found:
-                    ids.append(d)
-                    starts.append(s)
-                    known.append(w.astype(np.int32))
-                    texts.append(passage)
-            yield pa.RecordBatch.from_arrays([pa.array([*ids, None], pa.int64()), pa.array([*starts, total], pa.int64()), pa.array([*known, np.zeros(0, np.int32)], pa.list_(pa.int32())), pa.array([*texts, None], pa.string())], _PASSAGE.names)
+                known += k
+                sizes += s
+            yield pa.RecordBatch.from_arrays([pa.array([*(k.astype(np.int32) for k in known), None], pa.list_(pa.int32())), pa.array([*sizes, total], pa.int64())], _PASSAGE.names)
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _PASSAGE)
+    return documents.where("doc_id is not null and text is not null").select("text").mapInArrow(run, _PASSAGE)
 
 
-def _product(passages: DataFrame, idf: np.ndarray, column: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _product(passages: DataFrame, shared, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Xᵀ X right over all passages X: each task sums its own, and blocks of rows are summed by key.
 
     What comes back has the fixed size FEATURES x columns. A block's sums are added as they stream in.
     """
-    width = right.shape[1]
+    width, size = right.shape[1], FEATURES // BLOCKS
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = shared.value.column
         total = np.zeros((FEATURES, width), np.float32)
         for b in batches:
-            known = [np.array(k) for k in b.column(0).to_pylist()]
-            for i in range(0, len(known), 256):
-                x = weighted(known[i : i + 256], idf, column)
-                total += x.T @ (x @ right)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in np.split(total, BLOCKS)], pa.binary())], ["block", "sums"])
+            rows = Rows([np.array(k) for k in b.column(0).to_pylist()], b.column(1).to_numpy())
+            w, share = rows.weights(idf)
+            w = w * np.repeat(share, rows.sizes)
+            y = rows.times(w, column, right)
+            at = column[rows.flat]
+            order = np.argsort(at, kind="stable")
+            row = np.repeat(np.arange(len(rows)), rows.sizes)[order]
+            for i in range(0, len(order), 1 << 15):
+                cols, first = np.unique(at[order[i : i + (1 << 15)]], return_index=True)
+                part = y[row[i : i + (1 << 15)]] * w[order[i : i + (1 << 15)], None]
+                total[cols] += np.add.reduceat(part, first)
+        full = [k for k in range(BLOCKS) if total[k * size : (k + 1) * size].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in full], pa.binary())], ["block", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -152,70 +263,21 @@ def _product(passages: DataFrame, idf: np.ndarray, column: np.ndarray, right: np
                 sums[k] = sums.get(k, 0) + np.frombuffer(v, np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
-    rows = passages.where("doc_id is not null").select("known").mapInArrow(local, _BLOCK).repartition(BLOCKS, "block").mapInArrow(add, _BLOCK).toArrow()
-    out = np.zeros((BLOCKS, FEATURES // BLOCKS, width), np.float32)
+    rows = passages.where("known is not null").mapInArrow(local, _BLOCK).repartition(BLOCKS, "block").mapInArrow(add, _BLOCK).toArrow()
+    out = np.zeros((BLOCKS, size, width), np.float32)
     for k, v in zip(rows.column("block").to_pylist(), rows.column("sums").to_pylist()):
         out[k] += np.frombuffer(v, np.float32).reshape(-1, width)
     return out.reshape(FEATURES, width)
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, column: np.ndarray) -> np.ndarray:
+def latent_basis(passages: DataFrame, shared, idf: np.ndarray) -> np.ndarray:
     """Orthonormal basis of the leading right singular vectors, by two randomised passes."""
     right = np.random.default_rng(20).standard_normal((FEATURES, RANK + EXTRA)).astype(np.float32)
     for _ in range(2):
-        right, _ = np.linalg.qr(_product(passages, idf, column, right))
+        right, _ = np.linalg.qr(_product(passages, shared, idf, right))
     return np.ascontiguousarray(right[:, :RANK], np.float32)
 
 
-def _candidates(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, paraphrases: bool) -> DataFrame:
-    """(doc_id, item, cosine, starts, run) of passages whose latent cosine with an item's window is enough.
-
-    ``run`` is the longest common run of the passage and the item if it reaches RUN, else 0. A run of
-    RUN characters of the document lies whole in one of its passages. With ``paraphrases`` the runs
-    are left to the whole texts, and ``starts`` are those of all such passages, else empty.
-
-    Where the latent space holds too little of a passage, the greatest cosine its parts outside could
-    give is added, so that a rare item is never lost to the truncation.
-    """
-    q = weighted(items.windows, idf, items.column)
-    ql = q @ basis
-    q_in = np.maximum(np.linalg.norm(ql, axis=1), 1e-6)
-    q_out = np.sqrt(np.maximum(0, 1 - q_in**2))
-    # an item's windows are neighbours: the greatest cosine of each item is a maximum over a slice
-    present, first = np.unique(items.owner, return_index=True)
-    column, runs = items.column, Runs(items.texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, starts, known = b.column(0).to_pylist(), b.column(1).to_pylist(), [np.array(k) for k in b.column(2).to_pylist()]
-            passage = b.column(3).to_pylist()
-            best: dict[tuple[int, int], float] = {}
-            at: dict[tuple[int, int], list[int]] = {}
-            longest: dict[tuple[int, int], int] = {}
-            for i in range(0, len(known), 256):
-                x = weighted(known[i : i + 256], idf, column) @ basis
-                x_in = np.maximum(np.linalg.norm(x, axis=1), 1e-6)
-                dot = x @ ql.T
-                cos = dot / x_in[:, None] / q_in[None]
-                poor = x_in**2 < CAPTURED
-                if poor.any():
-                    cos[poor] = np.maximum(cos[poor], dot[poor] + np.sqrt(np.maximum(0, 1 - x_in[poor] ** 2))[:, None] * q_out[None])
-                top = np.maximum.reduceat(cos, first, axis=1)
-                for r in range(len(top)):
-                    at_least = np.flatnonzero(top[r] >= COSINE)
-                    near = dict(zip(present[at_least].tolist(), top[r, at_least].tolist()))
-                    for k, n in ({} if paraphrases else runs.longest(passage[i + r], set(near))).items():
-                        longest[ids[i + r], k] = max(longest.get((ids[i + r], k), 0), n)
-                    for k, v in near.items():
-                        best[ids[i + r], k] = max(best.get((ids[i + r], k), 0.0), v)
-                        if paraphrases:
-                            at.setdefault((ids[i + r], k), []).append(starts[i + r])
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in best], pa.int64()), pa.array([k for _, k in best], pa.int32()), pa.array(list(best.values()), pa.float64()), pa.array([at.get(p, []) for p in best], pa.list_(pa.int64())), pa.array([longest.get(p, 0) for p in best], pa.int32())], _PAIR.names)
-
-    found = passages.where("doc_id is not null").select("doc_id", "start", "known", "passage").mapInArrow(run, _PAIR)
-    return found.groupBy("doc_id", "item").agg(F.max("cosine").alias("cosine"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.max("run").alias("run"))
-
-
 class Runs:
     """Longest common runs of one text with chosen items, by one look-up of the text's RUN-grams."""
 
@@ -264,58 +326,105 @@ def subsequence(x: str, y: str) -> int:
     return len(y) - v.bit_count()
 
 
+def share_in_order(around: str, item: str, piece: int = RUN) -> float:
+    """Share of an item's characters that a text holds in the same order: over the whole item, or, for
+    parts that changed places, over its pieces, each where most of its 4-grams are."""
+    whole = subsequence(around, item) / max(1, min(len(item), len(around)))
+    if whole >= SHARE or len(item) < 2 * piece:
+        return whole
+    places: dict[str, list[int]] = {}
+    for i in range(len(around) - 3):
+        places.setdefault(around[i : i + 4], []).append(i)
+    held = 0
+    for s in range(0, len(item), piece):
+        part = item[s : s + piece]
+        votes: dict[int, int] = {}
+        for j in range(len(part) - 3):
+            for i in places.get(part[j : j + 4], ()):
+                votes[(i - j) // 8] = votes.get((i - j) // 8, 0) + 1
+        if votes:
+            at = 8 * max(votes, key=lambda v: (votes[v], -v))
+            held += subsequence(around[max(0, at - 12) : at + len(part) + 20], part)
+    return max(whole, held / len(item))
+
+
 _LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("run", T.IntegerType()), T.StructField("common_share", T.DoubleType()), T.StructField("numbers_kept", T.BooleanType())])
+_LEAK_ARROW = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_())
 
 
-def leaks(documents: DataFrame, items: DataFrame, paraphrases: bool = True) -> DataFrame:
-    """(doc_id, item_id, cosine, run, common_share, numbers_kept) of candidate pairs.
+def _checked(documents: DataFrame, shared, idf: np.ndarray, index) -> DataFrame:
+    """Candidates of every document and what the checks of its whole text say of them."""
 
-    ``run`` is the longest common run of letters and digits if it reaches RUN, else 0: the pairs with
-    a run are leaks. Without ``paraphrases`` runs are measured within passages, so none is longer than
-    WINDOW, and the corpus is read once. For the rest, ``common_share`` (longest common subsequence by the shorter of the
-    item and the passage around a candidate) and ``numbers_kept`` (the numbers of the item all
-    occur there) tell paraphrases. Every candidate passage of a pair is looked at: the greatest share of
-    those that keep the numbers is told, and none where no passage keeps them. They are null where ``paraphrases`` is off. Null texts and ids
-    have no pairs; an item shorter than RUN can have no run. Repeated rows give one row.
-    """
-    rows = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text")).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items")
-    held = Items(sorted((r.item_id, r.text) for r in rows))
-    if not held.windows:
-        return documents.sparkSession.createDataFrame([], _LEAK)
-    passages = materialize(_passages(documents, held, 1 if paraphrases else HITS), "leak-passages")
-    total = passages.where("doc_id is null").agg(F.coalesce(F.sum("start"), F.lit(0)).alias("n")).collect()[0].n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, (windows, basis) = shared.value, index.value
+        runs = Runs(items.texts)
+        numerals = [re.findall(r"\d+", y) for y in items.texts]
+        for b in batches:
+            texts = [normal(t) for t in b.column(1).to_pylist()]
+            doc, start, known, sizes = [], [], [], []
+            for d, x in enumerate(texts):
+                _, s, k, n = items.passages(x)
+                doc += [d] * len(s)
+                start += s
+                known += k
+                sizes += n
+            near: dict[int, dict[int, list[tuple[float, int]]]] = {}
+            for r, item, cos in zip(*(v.tolist() for v in windows.candidates(items, Rows(known, sizes), idf, basis))):
+                near.setdefault(doc[r], {}).setdefault(item, []).append((cos, start[r]))
+            out, ids = [], b.column(0).to_pylist()
+            for d, found in near.items():
+                x = texts[d]
+                longest = runs.longest(x, set(found))
+                for item, at in found.items():
+                    y, n, share, kept = items.texts[item], longest.get(item, 0), None, None
+                    if not n:
+                        kept, checked = False, -1
+                        for s in sorted({s for _, s in at}):
+                            if s < checked:  # the stretch looked at last holds this passage and an item's length around it
+                                continue
+                            checked = s + WINDOW
+                            around = x[max(0, s - len(y)) : s + 2 * WINDOW + len(y)]
+                            if all(v in around for v in numerals[item]):
+                                kept, share = True, max(share or 0.0, share_in_order(around, y))
+                    out.append((ids[d], items.ids[item], max(c for c, _ in at), n, share, kept))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, _LEAK_ARROW)], _LEAK.names)
+
+    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _LEAK)
+
+
+def _block(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
+    held = Items(sorted(rows))
+    if not len(held.windows):
+        return None
+    context = documents.sparkSession.sparkContext
+    shared = context.broadcast(held)  # bounded by BLOCK_ITEMS
+    passages = materialize(_passages(documents, shared), "leak-passages")
+    total = passages.where("known is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     df = np.zeros(len(held.vocabulary))
-    counted = passages.where("doc_id is not null").select(F.explode(F.array_distinct("known")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counted = passages.where("known is not null").select(F.explode("known").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).toArrow()
     df[counted.column("v").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((total + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-    pairs = _candidates(passages, held, idf, latent_basis(passages, idf, held.column), paraphrases)
-    if not paraphrases:
-        names = F.array(*[F.lit(i) for i in held.ids])
-        told = [F.lit(None).cast("double").alias("common_share"), F.lit(None).cast("boolean").alias("numbers_kept")]
-        return pairs.select("doc_id", F.element_at(names, F.col("item") + 1).cast("bigint").alias("item_id"), "cosine", "run", *told)
-    per_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item", "cosine", "starts")).alias("pairs"))
-    texts = documents.where("doc_id is not null").select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", "pairs")
-    ids, item_texts, runs = held.ids, held.texts, Runs(held.texts)
-    numerals = [re.findall(r"\d+", y) for y in held.texts]
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for d, text, found in zip(*(c.to_pylist() for c in b.columns)):
-                x = normal(text)
-                longest = runs.longest(x, {p["item"] for p in found})
-                for p in found:
-                    y = item_texts[p["item"]]
-                    run, share, numbers = longest.get(p["item"], 0), None, None
-                    if not run:
-                        numbers = False
-                        for s in p["starts"]:
-                            around = x[max(0, s - len(y)) : s + WINDOW + len(y)]
-                            if all(n in around for n in numerals[p["item"]]):
-                                numbers, share = True, max(share or 0.0, subsequence(around, y) / max(1, min(len(y), len(around))))
-                    out.append((d, ids[p["item"]], p["cosine"], run, share, numbers))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()))], _LEAK.names)
-
-    return texts.mapInArrow(check, _LEAK).groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in _LEAK.names[2:]))
+    basis = latent_basis(passages, shared, idf)
+    return _checked(documents, shared, idf, context.broadcast((Index(held, idf, basis), basis)))
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, cosine, run, common_share, numbers_kept) of candidate pairs.
+
+    ``run`` is the longest common run of letters and digits if it reaches RUN, else 0: the pairs with
+    a run are leaks. For the rest, ``common_share`` (the share of the item's characters found in the same
+    order around a candidate passage, or of its pieces where those changed places) and
+    ``numbers_kept`` (the numbers of the item all occur there) tell paraphrases. Every candidate
+    passage of a pair is looked at: the greatest share of those that keep the numbers is told, and
+    none where no passage keeps them. Null texts and ids have no pairs; an item shorter than RUN can
+    have no run. Repeated rows give one row. The corpus is read twice for every BLOCK_ITEMS items, and
+    no text of it is shuffled.
+    """
+    told = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text"))
+    blocks = -(-told.count() // BLOCK_ITEMS)
+    out = documents.sparkSession.createDataFrame([], _LEAK)
+    for b in range(blocks):
+        mine = told.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+        found = _block(documents, [(r.item_id, r.text) for r in mine])
+        out = out if found is None else out.unionByName(found)
+    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in _LEAK.names[2:]))

@@ -74,11 +74,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=False).where("run > 0").select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("run > 0").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("run > 0 or (common_share >= 0.6 and numbers_kept)")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where(f"run > 0 or (common_share >= {leakage.SHARE} and numbers_kept)")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
