@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filamento.functions.udf import arrow
-from filamento.plans.runtime import materialize, salted_join
+from filamento.plans.runtime import HOT_SHARE, key_counts, materialize, salted_join
 
 SIMILAR = 0.7
 LEAST_CHARS = 300
 ORDERS, SIZE, SUBSETS = 256, 7, 112  # random orders; n-grams of a subset; subsets of a light set
 SKETCH = 128  # orders whose first n-gram is kept in four bits, for a cheap estimate before verifying
 LIST_BUCKETS = 1 << 17  # n-grams are hashed to so many counters of list length
-# Costs in microseconds: a set's subsets, an n-gram under all orders, a posting met in a scan.
-COST_SUBSETS, COST_GRAM, COST_POSTING = 170.0, 0.33, 0.3
+SALTS = 24  # tasks over which a subset very many sets enumerate is split
+# Costs in microseconds, rounded from runs: a set's subsets and their rows in the join, an n-gram under all
+# orders, a posting sent, a posting met and counted.
+COST_SUBSETS, COST_GRAM, COST_SENT, COST_POSTING = 230.0, 0.33, 0.5, 0.3
 
 _SPACE = re.compile(r"\s+")
 _RNG = np.random.default_rng(7)
@@ -115,13 +117,16 @@ def boundary(sizes: list[tuple[int, int]], rare_list: float, n_sets: int, simila
     """Greatest light size: the one with the least cost of enumerating below and scanning above it.
 
     ``sizes`` is a histogram (size, sets) of bounded length; ``rare_list`` the mean list length of
-    the n-grams in prefixes. A heavy set scans the part of its lists that sets near its size hold.
+    the n-grams in prefixes. A heavy set scans the part of its lists that sets near its size hold, and
+    all sets that may be near a heavy one send their prefixes.
     """
     sizes = sorted(sizes)
+    prefix = lambda n: (1 - similar) * n + 1
     near = [sum(c for m, c in sizes if similar * n <= m <= n / similar) for n, _ in sizes]
     light = [c * (COST_SUBSETS + COST_GRAM * n) for n, c in sizes]
-    heavy = [c * COST_POSTING * ((1 - similar) * n + 1) * rare_list * w / max(1, n_sets) for (n, c), w in zip(sizes, near)]
-    costs = [sum(light[:i]) + sum(heavy[i:]) for i in range(len(sizes) + 1)]
+    heavy = [c * COST_POSTING * prefix(n) * rare_list * w / max(1, n_sets) for (n, c), w in zip(sizes, near)]
+    sent = [sum(c * COST_SENT * prefix(n) for n, c in sizes if n >= similar * first) for first, _ in sizes] + [0.0]
+    costs = [sum(light[:i]) + sum(heavy[i:]) + sent[i] for i in range(len(sizes) + 1)]
     best = min(range(len(costs)), key=lambda i: (costs[i], -i))
     return sizes[best - 1][0] if best else 0
 
@@ -150,11 +155,25 @@ def similar_pairs(rows: DataFrame, key: str, entries: str, similar: float = SIMI
     lists[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     if light_size is None:
         light_size = _boundary(reps, lists, similar)
-    light = reps.where(F.col("n") <= light_size).select("rep", F.explode("subsets").alias("s"))
-    pairs = light.alias("x").join(light.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    near = _sketched(_light(reps.where(F.col("n") <= light_size)), reps, similar)
     if not reps.where(F.col("n") > light_size).isEmpty():
-        pairs = pairs.unionByName(_heavy(rows, key, entries, reps, lists, light_size, similar)).distinct()
-    return _verified(pairs, rows, key, entries, reps, similar), members
+        near = near.unionByName(_heavy(rows, key, entries, reps, lists, light_size, similar))
+    return _verified(near, rows, key, entries, similar), members
+
+
+def _light(sets: DataFrame) -> DataFrame:
+    """Pairs of sets that enumerate an equal subset. A subset that 1/HOT_SHARE of the sets enumerate is
+    split over tasks; one that a single set enumerates meets nothing and is dropped before the join."""
+    light = sets.select("rep", F.explode("subsets").alias("s"))
+    counts = key_counts(light, ["s"]).where("_n > 1")
+    shared = materialize(light.join(counts, "s").select("s", "rep", "_n"), "near-subsets")
+    total = sets.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # every set counts once for each of its subsets
+    hot = F.col("_n") * HOT_SHARE >= total
+    salt = F.when(hot, F.pmod(F.col("rep"), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = shared.select("s", F.col("rep").alias("a"), salt.alias("salt"))
+    right = shared.select("s", F.col("rep").alias("b"), F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return left.join(right, ["s", "salt"]).where("a < b").select("a", "b").distinct()
 
 
 def _boundary(reps: DataFrame, lists: np.ndarray, similar: float) -> int:
@@ -172,7 +191,10 @@ _POSTING = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n",
 
 
 def _heavy(rows: DataFrame, key: str, entries: str, reps: DataFrame, lists: np.ndarray, light_size: int, similar: float) -> DataFrame:
-    """Pairs with a heavy set that share one of the rarest n-grams of both (prefix filter: exact)."""
+    """Pairs with a heavy set that share one of the rarest n-grams of both (prefix filter: exact).
+
+    A pair is proposed if it shares enough of them: all sets order their n-grams alike, so what is common
+    beyond the prefix that ends first lies in the rest of that set. The count is exact, no estimate."""
     least = int(np.ceil(similar * (light_size + 1) - 1e-9))
     wanted = reps.where(F.col("n") >= least).select(F.col("rep").alias(key), "n")
     texts = wanted.join(rows.select(key, entries), key).groupBy(key).agg(F.first(entries).alias(entries))
@@ -193,8 +215,14 @@ def _heavy(rows: DataFrame, key: str, entries: str, reps: DataFrame, lists: np.n
     scanned = materialize(texts.mapInArrow(postings, _POSTING), "near-postings")
     big = scanned.where(F.col("n") > light_size)
     other = scanned.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), "gram")
-    met = salted_join(other, big, ["gram"]).where((F.col("rep") != F.col("rep2")) & (F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9))
-    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    # two heavy sets meet once
+    once = (F.col("n2") <= light_size) | (F.col("rep") < F.col("rep2"))
+    near = F.least("n", "n2") >= similar * F.greatest("n", "n2") - 1e-9
+    met = salted_join(other, big, ["gram"]).where(once & near & (F.col("rep") != F.col("rep2")))
+    rest = lambda n: F.ceil(similar * F.col(n) - 1e-9) - 1
+    enough = F.col("common") >= similar / (1 + similar) * (F.col("n") + F.col("n2")) - F.greatest(rest("n"), rest("n2")) - 1e-6
+    shared = met.groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("n2").alias("n2")).where(enough)
+    return shared.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
 
 
 @arrow(T.DoubleType())
@@ -207,30 +235,42 @@ def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 @arrow(T.DoubleType())
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+def _similarity(a: pa.Array, x: pa.Array, b: pa.Array, y: pa.Array) -> pa.Array:
+    """Exact similarity of records ``a`` and ``b`` with entries ``x`` and ``y``; a record's set is made once a batch."""
+    sets: dict[int, np.ndarray] = {}
+    for keys, values in ((a, x), (b, y)):
+        ids = keys.to_numpy()
+        found, first = np.unique(ids, return_index=True)
+        new = [k not in sets for k in found.tolist()]
+        for k, entries in zip(found[new].tolist(), values.take(pa.array(first[new])).to_pylist()):
+            sets[k] = gram_set(entries)
     out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        x, y = gram_set(x), gram_set(y)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / (len(x) + len(y) - both))
+    for p, q in zip(a.to_pylist(), b.to_pylist()):
+        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        out.append(both / (len(sets[p]) + len(sets[q]) - both))
     return pa.array(out, pa.float64())
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, key: str, entries: str, reps: DataFrame, similar: float) -> DataFrame:
-    """Pairs whose exact similarity is reached; a four-bit sketch drops hopeless ones first.
+def _sketched(pairs: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+    """Light pairs that a four-bit sketch does not rule out.
 
     The sketch's estimate has a standard deviation below 0.044; pairs 4.5 of them under the
-    threshold are dropped.
+    threshold are dropped, so it loses less than the subsets do. Heavy pairs don't pass here.
     """
     s = reps.select("rep", "n", "sketch")
     at = lambda c: s.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     rough = pairs.join(at("a"), "a").join(at("b"), "b").where(F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9)
     expected = similar + (1 - similar) / 16
-    near = materialize(rough.where(_estimate("s_a", "s_b") >= expected - 4.5 * 0.042).select("a", "b"), "near-pairs")
+    return rough.where(_estimate("s_a", "s_b") >= expected - 4.5 * 0.042).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, key: str, entries: str, similar: float) -> DataFrame:
+    """Pairs whose exact similarity is reached."""
+    near = materialize(pairs, "near-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     texts = materialize(wanted.join(rows.select(F.col(key).cast("bigint").alias(key), entries), key).groupBy(key).agg(F.first(entries).alias(entries)), "near-texts")
     of = lambda c: texts.select(F.col(key).alias(c), F.col(entries).alias(f"e_{c}"))
-    exact = near.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", _similarity("e_a", "e_b"))
+    exact = near.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", _similarity("a", "e_a", "b", "e_b"))
     return exact.where(F.col("similarity") >= similar - 1e-12).select("a", "b", "similarity")
 
 
@@ -240,7 +280,7 @@ def expanded(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     across = salted_join(salted_join(left, pairs.select("a", "b"), ["a"]), right, ["b"]).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
     copied = members.where("key <> rep").select("rep").distinct()
     alike = members.join(copied, "rep", "left_semi")
-    within = alike.join(alike.select("rep", F.col("key").alias("other")), "rep").where("key < other").select(F.col("key").alias(f"{key}_a"), F.col("other").alias(f"{key}_b"))
+    within = salted_join(alike, alike.select("rep", F.col("key").alias("other")), ["rep"]).where("key < other").select(F.col("key").alias(f"{key}_a"), F.col("other").alias(f"{key}_b"))
     return across.unionByName(within)
 
 
