@@ -28,7 +28,7 @@ MARKDOWN = re.compile(
 WIKI = re.compile(r"(?m)'''?(?=\S)[^'\n]+?'''?|^\s*={2,6}[ \t]*[^=\n]+?[ \t]*={2,6}\s*$|\[\[[^\[\]\n]+\]\]|^\s*\{\||^\s*\|\}|^\s*\|-|^\s*![^!\n]+!!|\[https?://\S+ [^\]\n]+\]|\{\{[^{}\n]*\|[^{}\n]*\}\}|^\s*\*{2,} |^h[1-6]\. |<ref\b|__[A-Z]{3,}__")
 LATEX = re.compile(r"\\(?:[a-zA-Z]{2,}\*?(?=[\s{\\\[\^_()$.,;:!~]|$|[^\x00-\x7f])|[%&#_{}$])|\\\(|\\\)|\\\[|\\\]|\$\$|(?<![\w$\\])\$(?=[^\s$\d])[^$\n]{1,200}?(?<=\S)\$(?!\d)|(?<![\w$\\])\$\d[^$\n]{0,60}[\\^_][^$\n]{0,60}\$")
 #: Characters without which none of the patterns can match: the cheapest test.
-SIGNS = re.compile(r"[<>&*_~`#\[\]|'={}\\$]|-{3}|^h[1-6]\. ", re.M)
+SIGNS = re.compile(r"[<>&*_~`#\[\]|'={}\\$]|-{3}|!!|^h[1-6]\. ", re.M)
 
 
 def entity(text: str) -> bool:
@@ -38,6 +38,15 @@ def entity(text: str) -> bool:
     return False
 
 
+def counts(text: str) -> tuple[int, int, int, int]:
+    """Signs of HTML, Markdown, wiki and LaTeX in a text, form placeholders left out of account."""
+    if not text or not SIGNS.search(text):
+        return 0, 0, 0, 0
+    t = FORM.sub(" ", text)
+    html_ = len(TAG.findall(t)) + (sum(m[1] is None or m[1] in NAMED for m in ENTITY.finditer(t)) if "&" in t else 0)
+    return html_, len(MARKDOWN.findall(t)), len(WIKI.findall(t)), len(LATEX.findall(t)) if "\\" in t or "$" in t else 0
+
+
 def kinds(text: str) -> list[str]:
     """Names of the markup languages found in a text, form placeholders left out of account."""
     if not text or not SIGNS.search(text):

@@ -1,12 +1,15 @@
 """Markup residue and clean text with its structure kept.
 
-A value is cut into flat text blocks. Each block has a word count, a link density and a density of
-markup signs, and so have its neighbours; a decision tree trained on a small labelled table calls it
-content, residue or boilerplate. Blocks called residue are then checked exactly.
+A value is cut into flat text blocks. Each block has a word count, a link density and counts of markup
+signs by language, and knows those of its neighbours; a decision tree trained on a small labelled table
+calls it content, residue or boilerplate. The tree alone decides: values with a block that is no content
+are the cases, residue blocks are rendered, boilerplate blocks (nothing but links) are left out of clean
+texts, and content blocks stay as they are.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,8 +23,7 @@ from filamento.functions.udf import arrow
 from filamento.llm import marks
 from filamento.llm.cart import Tree
 
-LINK = re.compile(r"<a\b[^>]*>(.{0,400}?)</a>|!?\[([^\[\]\n]*)\]\([^()\n]*\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]|https?://\S+", re.I | re.S)
-SIGN = re.compile(r"[<>&*_~`#\[\]|'={}\\$!]|(?<=-)-")
+LINK = re.compile(r"<a\b[^>]*>(.{0,400}?)</a>|!?\[([^\[\]\n]*)\]\([^()\n]*\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", re.I | re.S)
 
 # The labelled table, one block a line: label, a bar, the block. Invented lines; neighbours are the lines around.
 LABELLED = r"""
@@ -46,7 +48,7 @@ content|합계
 content|12,345
 content|(주1)
 residue|```
-residue|x = 3 * y
+content|x = 3 * y
 residue|```
 content|표 <3>의 금액은 별도 기준입니다.
 residue|<!-- 표 시작 -->표의 금액은 별도 기준입니다.
@@ -72,6 +74,10 @@ content|값은 90 < 95 입니다.
 boilerplate|<a href="/">처음</a> <a href="/b">다음</a>
 boilerplate|<a href="/c">목록</a>
 boilerplate|<a href="/d">위로</a> <a href="/e">아래로</a> <a href="/f">끝</a>
+boilerplate|<a href="/x">이전</a> | <a href="/y">다음</a> | <a href="/z">인쇄</a>
+boilerplate|[처음](/a) [목록](/b) [다음](/c)
+residue|<a href="/r">회사가 지난해에 새로 지은 공장의 생산 능력과 가동률을 설명한 긴 글입니다.</a>
+residue|[회사가 지난해에 새로 지은 공장의 생산 능력과 가동률을 설명한 긴 글입니다.](/s)
 residue|자료는 <a href="/g">여기</a>에 실린 긴 본문을 보십시오.
 content|매입단가는 톤당 981원이며 판매 계획은 다음 해에 다시 정합니다.
 residue|매입단가는 <i>톤당</i> 981원이며 판매 계획은&middot; 다시 정합니다.
@@ -80,29 +86,27 @@ content|매출총이익 34
 """
 
 
-#: Signs counted on their own, each with what makes it a sign of markup rather than of writing.
-COUNTED = (
-    re.compile(r"<[A-Za-z/!]"),
-    re.compile(r"&(?:#|[A-Za-z]{2,8};|cr)"),
-    re.compile(r"\*\*|~~|`|''|__|(?<!\w)\*(?=[^\s\d*])"),
-    re.compile(r"\[\[|\]\(|\[x?\] |\{\{|\[http"),
-    re.compile(r"\\|\$[^\s\d]|\$\$|\$\d[^$]*[\\^_]"),
-    re.compile(r"^\s*(?:#{1,6}[ \t]|=|\||!|\{\||-{3}|>[ \t]|\*|```|h[1-6]\.)|\|\s*$|!!|={2}\s*$"),
-)
+#: In flat blocks of rendered HTML, link texts stand between these.
+LINK_ON, LINK_OFF = "\x01", "\x02"
 
 
 def features(lines: list[str]) -> list[tuple]:
-    """Per block: words, link density, density of signs, six counts of signs, words and links around."""
+    """Per block: words, link density, signs by language; of the block before and the one after, words,
+    link density and all signs."""
     base = []
     for s in lines:
         n = len(s)
-        if not n or not marks.SIGNS.search(s):
-            base.append((s.count(" ") + 1 if n else 0, 0.0, 0.0, 0, 0, 0, 0, 0, 0))
-            continue
-        links = sum(len(m[0]) for m in LINK.finditer(s)) / n if "[" in s or "<" in s or "://" in s else 0.0
-        base.append((s.count(" ") + 1, links, len(SIGN.findall(s)) / n, *(len(c.findall(s)) for c in COUNTED)))
-    none = (0, 0.0)
-    return [(*b, *(base[i - 1][:2] if i else none), *(base[i + 1][:2] if i + 1 < len(base) else none)) for i, b in enumerate(base)]
+        links = 0
+        if LINK_ON in s:
+            links = sum(map(len, re.findall(f"{LINK_ON}([^{LINK_OFF}]*)", s)))
+            s = s.replace(LINK_ON, "").replace(LINK_OFF, "")
+            n = len(s.strip())
+        elif "[" in s or "<" in s:
+            links = sum(len(m[0]) for m in LINK.finditer(marks.FORM.sub(" ", s)))
+        base.append((s.count(" ") + 1 if n else 0, links / n if n else 0.0, *marks.counts(s)))
+    none = (0, 0.0, 0)
+    around = [(b[0], b[1], sum(b[2:])) for b in base]
+    return [(*b, *(around[i - 1] if i else none), *(around[i + 1] if i + 1 < len(base) else none)) for i, b in enumerate(base)]
 
 
 #: A content sentence; every labelled row is also learnt among copies of it, before, after and around.
@@ -110,30 +114,48 @@ LONG = "설비 노후화가 이어지는 가운데 회사는 새 공장을 지
 
 
 def train() -> Tree:
+    """The tree of the labelled table: every row alone, inside longer blocks where its kind may stand
+    there, and next to blocks of every kind and length."""
     rows = [line.split("|", 1) for line in LABELLED.strip().split("\n")]
+    # in rendered HTML a link is no markup any more: it makes boilerplate or nothing
+    shown = [(label, re.sub(r"<a\b[^>]*>(.*?)</a>", rf"{LINK_ON}\1{LINK_OFF}", text)) for label, text in rows]
+    rows += [[label if label == "boilerplate" else "content", text] for label, text in shown if LINK_ON in text]
     x, y = features([r[1] for r in rows]), [r[0] for r in rows]
+    beside = ["", LONG, LONG * 4, *(next(t for lab, t in rows if lab == kind) for kind in ("residue", "boilerplate")), "합계", "# 개요"]
     for i, (label, text) in enumerate(rows):
         inline = label != "boilerplate" and text[:1] not in "#=|!{`>" and not text.startswith("- ")
-        for copies in (1, 2, 5, 9):
-            around = [LONG * (1 + i % 4), rows[i - 1][1]]
-            for block in ([text + " " + LONG * copies, LONG * copies + text, LONG + text + " " + LONG * copies] if inline else [text] if label != "boilerplate" else []):
-                x.append(features([around[copies % 2], block, LONG * copies])[1])
+        blocks = [text]
+        for copies in (1, 2, 5, 9) if inline else ():
+            blocks += [text + " " + LONG * copies, LONG * copies + text, LONG + text + " " + LONG * copies]
+        for k, block in enumerate(blocks):
+            for before in range(len(beside)):
+                x.append(features([beside[before], block, beside[(before + i + k) % len(beside)]])[1])
                 y.append(label)
-            if label == "residue" and not inline and text[:1] in "#=|!":
-                x.append(features([LONG, text + " " + LONG * copies, text])[1])
-                y.append(label)
-    return Tree(max_depth=14).fit(np.array(x), np.array(y))
+    return Tree(max_depth=10, min_leaf=4).fit(np.array(x), np.array(y))
+
+
+class _Trained:
+    """The tree, trained when it is first asked for."""
+
+    def __init__(self):
+        self.tree: Tree | None = None
+
+    def label(self, row: tuple) -> str:
+        self.tree = self.tree or train()
+        return self.tree.label(row)
 
 
-TREE = train()
+TREE = _Trained()
+
+
+def labels(lines: list[str]) -> list[str]:
+    """content, residue or boilerplate for each block of a value."""
+    return [TREE.label(row) for row in features(lines)]
 
 
 def residue(value: str | None) -> bool:
-    """Whether a flat text holds markup: the tree proposes blocks, an exact check decides on those."""
-    if not value:
-        return False
-    lines = value.split("\n")
-    return any(TREE.label(row) != "content" and marks.kinds(line) for line, row in zip(lines, features(lines)))
+    """Whether a flat text holds markup: a block of it is no content."""
+    return bool(value) and any(label != "content" for label in labels(value.split("\n")))
 
 
 def found(rows: DataFrame, key: str, column: str, html: bool, field: str) -> DataFrame:
@@ -156,95 +178,149 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(style|script)\b[^>]*>.*?(?:</\1\s*>|$)|
 
 
 def from_html(source: str) -> str:
-    """Clean text of an HTML value: headings as ``# x``, list items as ``- x``, table rows with bars,
-    preformatted text fenced; links and inline marks leave their text."""
-    out: list[str] = []
+    """Clean text of an HTML value: headings as ``# x``, list items as ``- x``, table rows with bars (rows
+    of nested tables within their cell, behind semicolons), preformatted text fenced; inline marks leave
+    their text. Blocks the tree calls boilerplate are left out, residue in the visible text is rendered."""
+    out: list[tuple[str, str, bool]] = []  # prefix, text, whether it is code
     line: list[str] = []
-    cells = 0
-    pre = False
-
-    def flush(prefix: str = "") -> None:
-        text = re.sub(r"[ \t\r\f\v\xa0]+", " ", "".join(line)).strip() if not pre else "".join(line).strip("\n")
-        if text.strip(" |"):
-            out.append(prefix + text)
+    cells = depth = 0
+    pre, prefix, at = False, "", 0
+
+    def flush() -> None:
+        text = "".join(line)
+        text = text.strip("\n") if pre else re.sub(r"[ \t\r\f\v\xa0]+", " ", text).strip()
+        if text.strip(f" |{LINK_ON}{LINK_OFF}"):
+            out.append((prefix, text, pre))
         line.clear()
 
-    prefix, at = "", 0
     for m in _TOKEN.finditer(source):
-        line.append(marks.unescape_once(source[at : m.start()]) if pre else marks.unescape_once(source[at : m.start()]).replace("\n", " "))
+        text = marks.unescape_once(source[at : m.start()])
+        line.append(text if pre else text.replace("\n", " "))
         at = m.end()
         if not m[2]:
             continue
         tag, closing = m[2].lower(), m[0].startswith("</")
-        if tag in ("td", "th"):
+        if tag == "table":
+            depth += -1 if closing else 1
+            if depth < (0 if closing else 2):
+                flush()
+                cells = depth = max(depth, 0)
+                cells, prefix = 0, ""
+            elif closing and depth == 0:
+                flush()
+                cells = 0
+        elif depth > 1 and tag in ("tr", "td", "th"):
+            line.append("" if closing else "; " if tag == "tr" else " ")
+        elif tag in ("td", "th"):
             if not closing:
-                if cells:
-                    line.append(" | ")
+                line.append(" | " if cells else "")
                 cells += 1
         elif tag == "tr":
-            flush(prefix)
-            cells = 0
+            flush()
+            cells, prefix = 0, ""
         elif tag == "pre":
-            flush(prefix)
-            out.append("```")
+            flush()
             pre, prefix = not closing, ""
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "title"):
-            flush(prefix)
+        elif tag == "a" and not pre:
+            line.append(LINK_OFF if closing else LINK_ON)
+        elif re.fullmatch("h[1-6]|title", tag):
+            flush()
             prefix = "" if closing else "#" * (int(tag[1]) if tag[1].isdigit() else 1) + " "
         elif tag == "li":
-            flush(prefix)
+            flush()
             prefix = "" if closing else "- "
-        elif tag == "br" or tag in marks._BREAKS or tag.startswith("section"):
-            if not cells or tag == "table":
-                flush(prefix)
-                prefix = "" if tag != "br" else prefix
+        elif (tag == "br" or tag in marks._BREAKS or tag.startswith("section")) and not cells:
+            flush()
+            prefix = prefix if tag == "br" else ""
+        elif tag == "br":
+            line.append(" ")
     line.append(marks.unescape_once(source[at:]))
-    flush(prefix)
-    if pre:
-        out.append("```")
-    return "\n".join(out)
+    flush()
+    told = labels([text for _, text, _ in out])
+    lines = []
+    for (prefix, text, code), label in zip(out, told):
+        text = text.replace(LINK_ON, "").replace(LINK_OFF, "")
+        if code:
+            lines += ["```", text, "```"]
+        elif label != "boilerplate":
+            lines.append(prefix + (from_text(text) if label == "residue" else text))
+    return "\n".join(lines)
 
 
 _INLINE = (
     (re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
     (re.compile(r"\[([^\[\]\n]*)\]\((?:[^()\s]+)\)"), r"\1"),
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n(]+)\]\]"), r"\1"),
-    (re.compile(r"\*\*(?=\S)([^*\n]+?)\*\*|__(?=[^\s_])([^_\n]+?)__(?![\w_])|~~(?=\S)([^~\n]+?)~~|'''?(?=\S)([^'\n]+?)'''?"), lambda m: next(g for g in m.groups() if g)),
+    (re.compile(r"\*\*(?=\S)([^*\n]+?)\*\*|__(?=[^\s_])([^_\n]+?)__(?![\w_])|~~(?=\S)([^~\n]+?)~~|\'\'\'?(?=\S)([^\'\n]+?)\'\'\'?"), lambda m: next(g for g in m.groups() if g)),
     (re.compile(r"(?m)^\s*(={2,6})[ \t]*([^=\n]+?)[ \t]*\1\s*$"), lambda m: "#" * len(m[1]) + " " + m[2]),
     (re.compile(r"(?m)^\s*(?:\{\|.*|\|\}|\|-.*|\|?(?:\s*:?-{3,}:?\s*\|)+[-:|\s]*)$\n?"), ""),
     (re.compile(r"(?m)^\s*[|!]\s*(.+?)\s*\|?\s*$"), lambda m: re.sub(r"\s*(?:!!|\|\||\|)\s*", " | ", m[1])),
-    (re.compile(r"\\(?:section|subsection|textbf|textit|emph)\{([^{}]*)\}"), r"\1"),
+    (re.compile(r"\\((?:sub){0,2})section\*?\{([^{}]*)\}[ \t]*\n?"), lambda m: "\n" + "#" * (1 + len(m[1]) // 3) + " " + m[2] + "\n"),
+    (re.compile(r"\\(?:textbf|textit|texttt|emph|underline|caption|url|footnote|paragraph)\{([^{}]*)\}|\\href\{[^{}]*\}\{([^{}]*)\}"), lambda m: m[1] if m[1] is not None else m[2]),
     (re.compile(r"\\item\s*"), "\n- "),
-    (re.compile(r"\\(?:begin|end)\{(?:itemize|enumerate)\}|\\(?:cite|label|ref)\{[^{}]*\}"), ""),
+    (re.compile(r"\\(?:begin|end)\{[a-z]+\*?\}(?:\[[^\]]*\])?|\\(?:cite|label|ref)\{[^{}]*\}"), ""),
     (re.compile(r"\\([%&#_])"), r"\1"),
 )
+_CODE = re.compile(r"```.*?```|~~~.*?~~~", re.S)
+_VERBATIM = re.compile(r"[ \t]*\\begin\{(verbatim|lstlisting)\}(?:\[[^\]\n]*\])?\n?(.*?)\n?[ \t]*\\end\{\1\}", re.S)
+_EQUATION = re.compile(r"[ \t]*\\begin\{(equation|align|gather|multline|displaymath|eqnarray)(\*?)\}(.*?)\\end\{\1\2\}", re.S)
+_TABULAR = re.compile(r"[ \t]*\\begin\{tabular\}(?:\{[^{}]*\})?(.*?)\\end\{tabular\}", re.S)
+_FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\s\d][^$\n]*\$|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
+_HELD = re.compile("\x00(\\d+)\x00")
 
 
 def from_text(value: str) -> str:
-    """Clean text of a flat value: inline marks leave their text; headings, items, code, tables and
-    formulas stay. Form placeholders are kept as they stand."""
+    """Clean text of a flat value. Code (fenced), displayed and inline formulas and form placeholders are
+    kept as they stand; of the other blocks, the tree's residue is rendered (headings as ``# x``, items
+    as ``- x``, table rows with bars, inline marks leave their text), boilerplate is left out and
+    content is not touched."""
     held: list[str] = []
 
-    def hold(m: re.Match) -> str:
-        held.append(m[0])
+    def hold(text: str) -> str:
+        held.append(text)
         return f"\x00{len(held) - 1}\x00"
 
-    t = re.sub(r"```.*?```|\$\$.+?\$\$|\$[^$\s\d][^$\n]*\$|\\\(.+?\\\)", hold, value, flags=re.S)
-    t = marks.FORM.sub(hold, t)
+    t = _CODE.sub(lambda m: hold(m[0]), value.replace("\x00", ""))
+    t = _VERBATIM.sub(lambda m: hold(f"```\n{m[2]}\n```"), t)
+    t = _EQUATION.sub(lambda m: hold(f"$${m[3].strip()}$$"), t)
+    t = _TABULAR.sub(lambda m: hold("\n".join(re.sub(r"\s*(?<!\\)&\s*", " | ", row).strip() for row in re.split(r"\\\\|\\hline", m[1]) if row.strip())), t)
+    lines = t.split("\n")
+    told = labels(lines)
+    out: list[str] = []
+    for wanted, run in itertools.groupby(zip(told, lines), key=lambda x: x[0]):
+        if wanted == "content":
+            out += [line for _, line in run]
+        elif wanted == "residue":
+            out.append(_rendered("\n".join(line for _, line in run), hold))
+    t = "\n".join(out)
+    while _HELD.search(t):
+        t = _HELD.sub(lambda m: held[int(m[1])], t)
+    return t
+
+
+def _rendered(t: str, hold) -> str:
+    t = _FORMULA.sub(lambda m: hold(m[0]), t)
+    t = marks.FORM.sub(lambda m: hold(m[0]), t)
     t = re.sub(r"`([^`\n]+)`", r"\1", t)
     for pattern, to in _INLINE:
         t = pattern.sub(to, t)
+    t = re.sub(r"\n{2,}", "\n", t).strip("\n")
     if marks.TAG.search(t):
-        t = "\n".join(from_html(x) if marks.TAG.search(x) else marks.unescape_once(x) for x in t.split("\n"))
-    elif "&" in t:
-        t = marks.ENTITY.sub(lambda m: "\n" if m[0].startswith("&cr") else marks.html.unescape(m[0]), t)
-    return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], t)
+        return "\n".join(_untagged(x) if marks.TAG.search(x) else marks.unescape_once(x) for x in t.split("\n"))
+    return marks.ENTITY.sub(lambda m: "\n" if m[0].startswith("&cr") else marks.html.unescape(m[0]), t) if "&" in t else t
+
+
+def _untagged(line: str) -> str:
+    """A line of a flat text without its tags: line breaks at blocks, bars between cells."""
+    cell = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", " | ", line, flags=re.I)
+    return re.sub(r"\n{2,}", "\n", marks.visible(cell)).strip("\n")
 
 
 def clean(rows: DataFrame, key: str, column: str, html: bool, field: str) -> DataFrame:
     """(field, rec_id, part, clean_text): one row per value, ``part`` counting an array's values from 1.
 
-    Null values give null, empty ones empty text; repeated rows give one row.
+    Null values give null, empty ones empty text; of rows with one key the greatest value counts, and
+    rows without a key are left out.
     """
     render = from_html if html else from_text
 
@@ -252,8 +328,11 @@ def clean(rows: DataFrame, key: str, column: str, html: bool, field: str) -> Dat
     def cleaned(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else render(v) for v in values.to_pylist()], pa.string())
 
+    keyed = rows.select(F.col(key).cast("bigint").alias("rec_id"), F.col(column).alias("_v"))
+    # repeated rows meet before their texts are rendered
+    one = keyed.where("rec_id is not null").groupBy("rec_id").agg(F.max("_v").alias("_v"))
     if dict(rows.dtypes)[column].startswith("array"):
-        parts = rows.select(F.col(key).cast("bigint").alias("rec_id"), F.posexplode(column).alias("_p", "_v")).withColumn("part", F.col("_p") + 1)
+        parts = one.select("rec_id", F.posexplode("_v").alias("_p", "_v")).withColumn("part", F.col("_p") + 1)
     else:
-        parts = rows.select(F.col(key).cast("bigint").alias("rec_id"), F.col(column).alias("_v"), F.lit(1).alias("part"))
+        parts = one.withColumn("part", F.lit(1))
     return parts.select(F.lit(field).alias("field"), "rec_id", "part", cleaned("_v").alias("clean_text"))

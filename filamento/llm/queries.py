@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     sections, blocks = table(spark, d, "section_contents"), table(spark, d, "blocks")
     parts = [markup.clean(sections, "section_key", "text", False, "text"), markup.clean(sections, "section_key", "tables_html", True, "tables_html"), markup.clean(blocks, "block_key", "html", True, "html")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -100,12 +100,36 @@ def test_clean_text_keeps_structure():
     assert markup.from_text("") == "" and markup.from_html("") == ""
 
 
+def test_clean_text_of_latex_and_nested_tables():
+    tex = "\\section{개요} 본문\n\\begin{equation}\na = b\n\\end{equation}\n\\begin{verbatim}\nx_1 = 2\n\\end{verbatim}\n\\begin{itemize}\n\\item 하나\n\\end{itemize}\n\\begin{tabular}{ll}\n가 & 나 \\\\\n다 & 라\n\\end{tabular}"
+    out = markup.from_text(tex)
+    assert "# 개요\n" in out and "$$a = b$$" in out and "```\nx_1 = 2\n```" in out and "- 하나" in out and "가 | 나" in out and "다 | 라" in out and "\\" not in out
+    html = "<table><tr><td>가</td><td>나<table><tr><td>안</td><td>쪽</td></tr><tr><td>둘째</td></tr></table></td><td>다</td></tr><tr><td>라</td></tr></table>"
+    assert markup.from_html(html).split("\n") == ["가 | 나; 안 쪽; 둘째 | 다", "라"]
+
+
+def test_the_tree_shapes_clean_text(monkeypatch):
+    nav = '<p><a href="/">처음</a> <a href="/b">목록</a> <a href="/c">다음</a></p>'
+    body = '<p>회사는 새 공장을 지어 <a href="/d">생산 능력</a>을 늘렸습니다.</p><p>A등급은 A*에서 B*로 바뀌었습니다.</p>'
+    kept = "회사는 새 공장을 지어 생산 능력을 늘렸습니다.\nA등급은 A*에서 B*로 바뀌었습니다."
+    assert markup.from_html(nav + body) == kept
+    assert markup.from_text("A등급은 A*에서 B*로\n당기 **매출**") == "A등급은 A*에서 B*로\n당기 매출"
+
+    class Content:
+        @staticmethod
+        def label(row):
+            return "content"
+
+    monkeypatch.setattr(markup, "TREE", Content)
+    assert markup.from_html(nav + body) != kept and not markup.residue("당기 **매출**")
+
+
 def test_markup_over_tables(spark):
     rows = [(1, "**가**", ["<p>&lt;b&gt;</p>", None], "x"), (1, "**가**", ["<p>&lt;b&gt;</p>", None], "x"), (2, None, None, None), (3, "", [], ""), (None, "**", None, None), (4, "가" * 200000, ["<td>"], None)]
     df = spark.createDataFrame(rows, "k bigint, t string, h array<string>, field string")
     assert {(r.field, r.rec_id) for r in markup.found(df, "k", "t", False, "text").unionByName(markup.found(df, "k", "h", True, "h")).distinct().collect()} == {("text", 1), ("h", 1)}
     got = {(r.rec_id, r.part): r.clean_text for r in markup.clean(df.where("k is not null"), "k", "h", True, "h").distinct().collect()}
-    assert got == {(1, 1): "<b>", (1, 2): None, (4, 1): ""}
+    assert got == {(1, 1): "", (1, 2): None, (4, 1): ""}
 
 
 def test_tree():
