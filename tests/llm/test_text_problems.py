@@ -117,6 +117,10 @@ def test_profiles():
     assert p(["", "  "]) == ["empty", "empty"]
     for text in ["매출액 1,234 2,345 △345 5.1%", "- 구리 박판 12개", "1. 개요 사업부 ................ 12", "구리 알루미나 재고자산 차입금 매출채권 붕산 황산", "가나 다라 마바 " * 12, "¤ñ¬Ÿ œ±® ®©¥îìž œê¨ï¬ð¨³¤", "Fax 12-3456-7890 / 가나 / Abcd12"]:
         assert p([text])[0] not in prose.PROSE, text
+    # a labelled text is nearest to the profile estimated from the others of its kind
+    rows = [line.split("|", 1) for line in prose.LABELLED.strip().split("\n")]
+    assert sum(p([t])[0] in prose.PROSE for k, t in rows if k in prose.PROSE) == sum(k in prose.PROSE for k, _ in rows)
+    assert all(p([t])[0] not in prose.PROSE for k, t in rows if k not in prose.PROSE)
     d = prose.divergence(prose._P)
     assert (d.argmin(1) == np.arange(len(prose.NAMES))).all() and (d >= -1e-9).all() and d.max() <= 1
 
