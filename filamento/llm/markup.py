@@ -135,13 +135,16 @@ def train() -> Tree:
 
 
 class _Trained:
-    """The tree, trained when it is first asked for."""
+    """The tree, trained once when it is first asked for; it travels with the functions that use it."""
 
     def __init__(self):
         self.tree: Tree | None = None
 
-    def label(self, row: tuple) -> str:
+    def ready(self) -> None:
         self.tree = self.tree or train()
+
+    def label(self, row: tuple) -> str:
+        self.ready()
         return self.tree.label(row)
 
 
@@ -160,6 +163,7 @@ def residue(value: str | None) -> bool:
 
 def found(rows: DataFrame, key: str, column: str, html: bool, field: str) -> DataFrame:
     """(field, rec_id) of records whose ``column`` (text, or an array of HTML values) holds markup."""
+    TREE.ready()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,6 +326,7 @@ def clean(rows: DataFrame, key: str, column: str, html: bool, field: str) -> Dat
     Null values give null, empty ones empty text; of rows with one key the greatest value counts, and
     rows without a key are left out.
     """
+    TREE.ready()
     render = from_html if html else from_text
 
     @arrow(T.StringType())
