@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filamento.plans.runtime import materialize
+
 #: Buckets of the word tables.
 BUCKETS = 1 << 17
 #: The model is fitted on at most this many graded documents, chosen by the hash of their id.
@@ -140,17 +142,17 @@ def train(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED)
     documents and word grades over all graded ones; only the fit uses the bounded sample of these."""
     grades = labels.where(F.col("level").between(1, LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id", "rater").agg(F.max("level").alias("level")).groupBy("doc_id").agg(F.avg("level").alias("level"))
     sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_graded)
-    with_grade = lambda g: documents.where("text is not null").select("doc_id", "text").join(g, "doc_id").select("doc_id", "text", "level")
+    graded = materialize(documents.where("text is not null").select("doc_id", "text").join(grades, "doc_id").select("doc_id", "text", "level"), "graded")
     tables = {"rarity": np.zeros(BUCKETS), "graded_n": np.zeros(BUCKETS), "graded_s": np.zeros(BUCKETS), "mean": 3.0}
     counts = documents.select("text").mapInArrow(_counts, T.StructType([T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())])).groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS)
     n[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
     tables["rarity"] = np.log((n.sum() + 1) / (n + 1)).astype(np.float32)
     gs = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("s", T.DoubleType())])
-    told = with_grade(grades).mapInArrow(_graded, gs).groupBy("b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
+    told = graded.mapInArrow(_graded, gs).groupBy("b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
     tables["graded_n"][told.column("b").to_numpy()] = told.column("n").to_numpy()
     tables["graded_s"][told.column("b").to_numpy()] = told.column("s").to_numpy()
-    tables["mean"] = float(np.average([r["level"] for r in grades.agg(F.coalesce(F.avg("level"), F.lit(3.0)).alias("level")).collect()]))
+    tables["mean"] = grades.agg(F.coalesce(F.avg("level"), F.lit(3.0)).alias("level")).first().level
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -158,7 +160,7 @@ def train(documents: DataFrame, labels: DataFrame, max_graded: int = MAX_GRADED)
             levels = b.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t, tables, words, v) for t, v in zip(b.column(1).to_pylist(), levels)], pa.list_(pa.float64())), pa.array(levels, pa.float64())], ["doc_id", "x", "level"])
 
-    rows = with_grade(F.broadcast(sample)).mapInArrow(vectors, _FEATURES).toArrow()
+    rows = graded.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(vectors, _FEATURES).toArrow()
     x, y = np.array(rows.column("x").to_pylist()), np.array(rows.column("level").to_pylist())
     if not len(y):
         x, y = np.zeros((1, len(features("", tables, _Words())))), np.array([3.0])
