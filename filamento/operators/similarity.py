@@ -15,7 +15,7 @@ from filamento.functions import text as X
 from filamento.functions.udf import arrow
 from filamento.operators import minhash as M
 from filamento.operators.sections import indel_ratio
-from filamento.plans.runtime import materialize, spread
+from filamento.plans.runtime import key_counts, materialize, salted_join, spread
 
 #: difflib is quadratic: texts longer than this have no ratio (null).
 DIFF_CHARS = 20_000
@@ -157,7 +157,9 @@ def near_texts(texts: DataFrame, text: str, threshold: float = 0.8, within: list
     t = materialize(texts.where(F.col(text).isNotNull()).select(*within, F.col(text).alias("_t")).distinct().withColumn("uid", F.xxhash64(*within, "_t")), "near-texts")
     bands = t.select("uid", "_t").mapInArrow(_band_rows, _SIG).select("uid", F.explode("bands").alias("band"))
     keyed = bands.join(t.select("uid", *within), "uid")
-    pairs = keyed.alias("x").join(keyed.alias("y"), [*within, "band"]).where("x.uid < y.uid").select(F.col("x.uid").alias("u"), F.col("y.uid").alias("v")).distinct()
+    counts = key_counts(keyed, [*within, "band"]).where("_n > 1")
+    shared = materialize(keyed.join(counts.drop("_n"), [*within, "band"], "left_semi"), "near-bands")
+    pairs = salted_join(shared, shared.withColumnRenamed("uid", "v"), [*within, "band"], counts=key_counts(shared, [*within, "band"])).where("uid < v").select(F.col("uid").alias("u"), "v").distinct()
     of = lambda u, c, *more: t.select(F.col("uid").alias(u), F.col("_t").alias(c), *more)
     met = pairs.join(of("u", "_a", *within), "u").join(of("v", "_b"), "v").withColumn("similarity", gram_jaccard("_a", "_b")).where(F.col("similarity") >= threshold)
     return met.select(*within, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "similarity")
@@ -182,19 +184,138 @@ def common_paragraphs(changed: DataFrame, *, entity: str, scope: list[str], text
 
 
 def partner_counts(pairs: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, entity, text, n_partners): distinct other entities that share a paragraph's like."""
+    """(scope, entity, text, n_partners) of listed pairs: distinct other entities that share a paragraph's like."""
     sides = pairs.select(*scope, F.col("a_entity").alias("entity"), F.col("a").alias("text"), F.col("b_entity").alias("other")).unionByName(pairs.select(*scope, F.col("b_entity").alias("entity"), F.col("b").alias("text"), F.col("a_entity").alias("other")))
     return sides.groupBy(*scope, "entity", "text").agg(F.countDistinct("other").alias("n_partners"))
 
 
+class TextClasses:
+    """Pairs of entities that share like paragraphs, counted from classes: texts x entities.
+
+    ``rows`` are changed paragraphs, repeated ones counting in ``raw`` figures; a text and the
+    entities that have it are a class. Texts alike by ``threshold`` (near_texts) are linked. No pair
+    of entities is ever formed: what an equal or like text of k entities contributes follows from
+    the sizes of classes and of the overlap of linked ones, which takes one row per entity.
+    Everything is within one ``scope``.
+    """
+
+    def __init__(self, rows: DataFrame, *, entity: str, scope: list[str], text: str, threshold: float = 0.8):
+        self.scope = scope
+        told = rows.select(*scope, F.col(entity).alias("entity"), F.col(text).alias("text")).where("entity is not null and text is not null")
+        self.rows = materialize(told.groupBy(*scope, "entity", "text").agg(F.count(F.lit(1)).alias("w")), "class-rows")
+        size = [F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_ww")]
+        self.classes = materialize(self.rows.groupBy(*scope, "text").agg(*size), "classes")
+        links = near_texts(self.classes.select(*scope, "text"), "text", threshold, scope)
+        left = self.rows.select(*scope, F.col("text").alias("a"), "entity", F.col("w").alias("wa"))
+        right = self.rows.select(*scope, F.col("text").alias("b"), "entity", F.col("w").alias("wb"))
+        links = materialize(links, "class-links")
+        both = links.select(*scope, "a", "b").join(left, [*scope, "a"]).join(right, [*scope, "b", "entity"]).groupBy(*scope, "a", "b").agg(F.count(F.lit(1)).alias("same"), F.sum(F.col("wa") * F.col("wb")).alias("same_ww"))
+        of = lambda c: self.classes.select(*scope, F.col("text").alias(c), F.col("n").alias(f"n_{c}"), F.col("sum_w").alias(f"w_{c}"))
+        sized = links.join(both, [*scope, "a", "b"], "left").join(of("a"), [*scope, "a"]).join(of("b"), [*scope, "b"]).na.fill(0, ["same", "same_ww"])
+        self.links = materialize(sized, "class-links")
+
+    def pairs(self) -> DataFrame:
+        """(scope, a, b, similarity, n_pairs, n_raw): how many pairs of different entities a pair of
+        texts stands for, equal texts among them; ``n_raw`` counts repeated paragraphs each time."""
+        keep = [*self.scope, "a", "b", "similarity"]
+        linked = self.links.select(*keep, (F.col("n_a") * F.col("n_b") - F.col("same")).alias("n_pairs"), (F.col("w_a") * F.col("w_b") - F.col("same_ww")).alias("n_raw"))
+        half = lambda total, own: ((total - own) / 2).cast("bigint")
+        equal = self.classes.where("n > 1").select(*self.scope, F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("similarity"), half(F.col("n") * F.col("n"), F.col("n")).alias("n_pairs"), half(F.col("sum_w") * F.col("sum_w"), F.col("sum_ww")).alias("n_raw"))
+        return linked.unionByName(equal).where("n_pairs > 0")
+
+    def _neighbours(self) -> DataFrame:
+        """(scope, text, other) of linked texts, both ways."""
+        ab = self.links.select(*self.scope, F.col("a").alias("text"), F.col("b").alias("other"))
+        return ab.unionByName(ab.select(*self.scope, F.col("other").alias("text"), F.col("text").alias("other")))
+
+    def partners(self) -> DataFrame:
+        """(scope, entity, text, n_partners): distinct other entities that have the text or one like it.
+
+        An entity is among those of its own text, so this is one less than the entities around the text."""
+        around = self._neighbours().join(self.rows.select(*self.scope, F.col("text").alias("other"), "entity"), [*self.scope, "other"]).select(*self.scope, "text", "entity")
+        near = around.unionByName(self.rows.select(*self.scope, "text", "entity")).groupBy(*self.scope, "text").agg((F.countDistinct("entity") - 1).alias("n_partners"))
+        return self.rows.select(*self.scope, "entity", "text").join(near.where("n_partners > 0"), [*self.scope, "text"]).select(*self.scope, "entity", "text", "n_partners")
+
+    def appearances(self) -> DataFrame:
+        """(scope, entity, n_appearances, share): pairs an entity is a side of, and their share of all sides."""
+        own = self.rows.join(self.classes.select(*self.scope, "text", "n"), [*self.scope, "text"]).groupBy(*self.scope, "entity").agg(F.sum(F.col("n") - 1).alias("c"))
+        others = self._neighbours().join(self.classes.select(*self.scope, F.col("text").alias("other"), "n"), [*self.scope, "other"]).groupBy(*self.scope, "text").agg(F.sum("n").alias("c"))
+        linked = self.rows.select(*self.scope, "entity", "text").join(others, [*self.scope, "text"]).groupBy(*self.scope, "entity").agg(F.sum("c").alias("c"))
+        itself = self._neighbours().join(self.rows.select(*self.scope, "text", "entity"), [*self.scope, "text"]).join(self.rows.select(*self.scope, F.col("text").alias("other"), "entity"), [*self.scope, "other", "entity"]).groupBy(*self.scope, "entity").agg((-F.count(F.lit(1))).alias("c"))
+        n = own.unionByName(linked).unionByName(itself).groupBy(*self.scope, "entity").agg(F.sum("c").alias("n_appearances")).where("n_appearances > 0")
+        return n.withColumn("share", F.col("n_appearances") / F.sum("n_appearances").over(Window.partitionBy(*self.scope)))
+
+    def labelled(self, label: Column) -> DataFrame:
+        """(scope, label, n): pairs by the ``label`` (of column ``text``) of the side whose entity comes first.
+
+        Only links between texts of different labels need the order of entities: a running count over
+        the entities of both."""
+        of = lambda c: self.classes.select(*self.scope, F.col("text").alias(c), label.alias(f"label_{c}"))
+        told = materialize(self.pairs().join(of("a"), [*self.scope, "a"]).join(of("b"), [*self.scope, "b"]), "pair-labels")
+        same = told.where(F.col("label_a").eqNullSafe(F.col("label_b"))).select(*self.scope, F.col("label_a").alias("label"), F.col("n_pairs").alias("n"))
+        mixed = told.where(~F.col("label_a").eqNullSafe(F.col("label_b")))
+        side = lambda c, of_a: mixed.select(*self.scope, "a", "b").join(self.rows.select(*self.scope, F.col("text").alias(c), "entity"), [*self.scope, c]).select(*self.scope, "a", "b", "entity", F.lit(of_a).alias("of_a"))
+        ahead = Window.partitionBy(*self.scope, "a", "b").orderBy("entity").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        ordered = side("a", 1).unionByName(side("b", 0)).withColumn("_a_before", F.sum("of_a").over(ahead)).groupBy(*self.scope, "a", "b", "entity").agg(F.max("of_a").alias("in_a"), F.count_if(F.col("of_a") == 0).alias("in_b"), F.max("_a_before").alias("before"))
+        first = ordered.groupBy(*self.scope, "a", "b").agg(F.sum(F.when(F.col("in_b") > 0, F.col("before") - F.col("in_a")).otherwise(0)).alias("a_first"))
+        split = mixed.join(first, [*self.scope, "a", "b"])
+        parts = split.select(*self.scope, F.col("label_a").alias("label"), F.col("a_first").alias("n")).unionByName(split.select(*self.scope, F.col("label_b").alias("label"), (F.col("n_pairs") - F.col("a_first")).alias("n")))
+        return same.unionByName(parts).groupBy(*self.scope, "label").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def top(self, most: int) -> DataFrame:
+        """(scope, a_entity, b_entity, a, b, similarity): the ``most`` most similar pairs of each scope.
+
+        Ties go by texts, then entities. Text pairs are taken until they stand for ``most`` pairs, and of
+        the entities of each only the first ``most`` + 1 can be in them, so a hot text stays bounded."""
+        order = Window.partitionBy(*self.scope).orderBy(F.desc("similarity"), "a", "b")
+        enough = self.pairs().withColumn("_before", F.sum("n_pairs").over(order) - F.col("n_pairs")).where(F.col("_before") < most)
+        rank = F.row_number().over(Window.partitionBy(*self.scope, "text").orderBy("entity"))
+        firsts = self.rows.select(*self.scope, "text", "entity").withColumn("_r", rank).where(F.col("_r") <= most + 1).drop("_r")
+        of = lambda c, e: firsts.select(*self.scope, F.col("text").alias(c), F.col("entity").alias(e))
+        met = enough.join(of("a", "x"), [*self.scope, "a"]).join(of("b", "y"), [*self.scope, "b"]).where((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & (F.col("a") != F.col("b"))))
+        ahead = F.col("x") < F.col("y")
+        sided = met.select(*self.scope, F.least("x", "y").alias("a_entity"), F.greatest("x", "y").alias("b_entity"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("_a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("_b"), "similarity", "a", "b")
+        best = F.row_number().over(Window.partitionBy(*self.scope).orderBy(F.desc("similarity"), "a", "b", "a_entity", "b_entity", "_a"))
+        return sided.withColumn("_r", best).where(F.col("_r") <= most).select(*self.scope, "a_entity", "b_entity", F.col("_a").alias("a"), F.col("_b").alias("b"), "similarity")
+
+
+#: Notes to accounts that do not belong in a section, by section; ``default`` for the rest.
+MARKERS = {
+    "default": ("기대신용손실", "공정가치 서열체계", "금융상품의 범주", "이연법인세자산", "리스부채", "재무제표 작성기준", "한국채택국제회계기준", "손상차손", "유효이자율"),
+    "S2": ("기대신용손실", "공정가치 서열체계", "금융상품의 범주", "유효이자율"),
+}
+
+
+def markers_for(section: Column, markers: dict[str, tuple[str, ...]] = MARKERS) -> Column:
+    """Markers of a section; the default ones where it has none of its own."""
+    listed = lambda names: F.array(*map(F.lit, names))
+    own = F.create_map(*[c for k, v in markers.items() if k != "default" for c in (F.lit(k), listed(v))]) if len(markers) > 1 else None
+    default = listed(markers["default"])
+    return default if own is None else F.coalesce(F.try_element_at(own, section), default)
+
+
 def contamination(paras: DataFrame, doc: list[str], text: str, markers: list[str] | Column) -> DataFrame:
-    """Marker hits and shares of dirty characters and paragraphs of each document."""
+    """Markers looked for, hits, distinct and found ones, and shares of dirty characters and paragraphs of each document."""
     listed = F.array(*map(F.lit, markers)) if isinstance(markers, list) else markers
     hit = F.filter(listed, lambda m: F.contains(F.col(text), m))
-    p = paras.select(*doc, F.length(text).alias("_len"), hit.alias("_hit"))
+    p = paras.select(*doc, F.length(text).alias("_len"), hit.alias("_hit"), F.size(listed).alias("_used"))
     dirty = F.size("_hit") > 0
-    g = p.groupBy(*doc).agg(F.sum(F.size("_hit")).alias("n_marker_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_hit")))).alias("_found"), F.count_if(dirty).alias("n_dirty"), F.sum(F.when(dirty, F.col("_len")).otherwise(0)).alias("dirty_chars"), F.sum("_len").alias("total_chars"), F.count(F.lit(1)).alias("_n"))
-    return g.select(*doc, "n_marker_hits", F.array_join("_found", ", ").alias("markers_found"), "n_dirty", "dirty_chars", "total_chars", F.round(F.coalesce(F.try_divide("dirty_chars", "total_chars"), F.lit(0.0)), 4).alias("share_chars"), F.round(F.col("n_dirty") / F.col("_n"), 4).alias("share_paras"))
+    found = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_hit"))))
+    sums = [F.max("_used").alias("n_markers_used"), F.sum(F.size("_hit")).alias("n_marker_hits"), found.alias("_found"), F.count_if(dirty).alias("n_dirty"), F.sum(F.when(dirty, F.col("_len")).otherwise(0)).alias("dirty_chars"), F.sum("_len").alias("total_chars"), F.count(F.lit(1)).alias("_n")]
+    share = F.round(F.coalesce(F.try_divide("dirty_chars", "total_chars"), F.lit(0.0)), 4)
+    return p.groupBy(*doc).agg(*sums).select(*doc, "n_markers_used", "n_marker_hits", F.size("_found").alias("n_distinct_markers"), F.array_join("_found", ", ").alias("markers_found"), "n_dirty", "dirty_chars", "total_chars", share.alias("share_chars"), F.round(F.col("n_dirty") / F.col("_n"), 4).alias("share_paras"))
+
+
+ARTIFACTS = {"label": X.EDITOR_LABEL, "file": X.TEMPLATE_FILE, "entity": X.BREAK_ENTITY}
+
+
+def artifact_coverage(units: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by, artifact, n_units, n_hit, coverage, occurrences, removed_chars, mean_per_hit, share): how far each
+    kind of editor residue reaches, and how many characters its removal takes."""
+    each = units.select(*by, F.length(text).alias("_n"), F.explode(F.array(*[F.struct(F.lit(k).alias("artifact"), F.regexp_count(F.col(text), F.lit(p)).alias("n"), (F.length(text) - F.length(F.regexp_replace(text, p, ""))).alias("cut")) for k, p in ARTIFACTS.items()])).alias("x"))
+    hit = F.col("x.n") > 0
+    g = each.groupBy(*by, "x.artifact").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(hit).alias("n_hit"), F.sum("x.n").cast("bigint").alias("occurrences"), F.sum("x.cut").cast("bigint").alias("removed_chars"), F.avg(F.when(hit, F.col("x.cut"))).alias("mean_per_hit"), F.sum("_n").alias("_chars"))
+    return g.select(*by, "artifact", "n_units", "n_hit", F.round(F.col("n_hit") / F.col("n_units"), 4).alias("coverage"), "occurrences", "removed_chars", F.round("mean_per_hit", 1).alias("mean_per_hit"), F.round(F.try_divide(F.col("removed_chars"), F.col("_chars")), 6).alias("share"))
 
 
 def match_names(names: DataFrame, choices: DataFrame, *, key: str, name: str, choice: str, threshold: float = 92.0) -> DataFrame:

@@ -8,7 +8,8 @@ from filamento.functions import text as X
 from filamento.functions.codes import corp_code
 from filamento.operators import similarity as M
 from filamento.plans.base import Book
-from filamento.plans.runtime import table
+from filamento.plans.q_text import _ARTIFACTS, _CLASS_SQL, _STRIP
+from filamento.plans.runtime import materialize, table
 
 book = Book()
 q = book.query
@@ -78,6 +79,22 @@ def paras(spark, d, plain=True):
     return s.where((F.length("p") >= 30) & (F.col("p").rlike("^[ -~가-힣]*$") | F.lit(not plain))).withColumn("p", X.mask_numbers(F.col("p"))).distinct()
 
 
+def repeated(spark, d, plain=True):
+    """The changed paragraphs as often as their sections hold them."""
+    s = table(spark, d, "section_contents").where("corp_code is not null").select("section_key", corp_code(F.col("corp_code")).alias("corp"), F.upper("section_id").alias("sid"), "fy", "paragraphs").distinct()
+    p = s.select("corp", "sid", "fy", F.explode("paragraphs").alias("p"))
+    p = p.where((F.length("p") >= 30) & (F.col("p").rlike("^[ -~가-힣]*$") | F.lit(not plain))).withColumn("p", X.mask_numbers(F.col("p")))
+    return p.join(changed(spark, d, plain=plain), ["corp", "sid", "fy", "p"], "left_semi")
+
+
+def classes(spark, d, plain=True, threshold=0.8, clean=False):
+    """Text classes of the changed paragraphs, without those that hold a marker where ``clean``."""
+    rows = repeated(spark, d, plain)
+    if clean:
+        rows = rows.where(~F.exists(M.markers_for(F.col("sid"), MARKERS), lambda m: F.contains(F.col("p"), m)))
+    return M.TextClasses(rows, entity="corp", scope=["sid", "fy"], text="p", threshold=threshold)
+
+
 def changed(spark, d, removed=False, plain=True):
     return M.set_changes(paras(spark, d, plain), entity="corp", section="sid", period="fy", text="p", removed=removed)
 
@@ -112,34 +129,47 @@ def m08(spark, d):
 
 @q("m09_common_paragraphs", _COMMON + " SELECT sid, fy, count(*) AS n_pairs, (SELECT count(DISTINCT e) FROM (SELECT sid AS s, fy AS f, a_entity AS e FROM pairs WHERE sim >= 0.8 - 1e-12 UNION SELECT sid, fy, b_entity FROM pairs WHERE sim >= 0.8 - 1e-12) WHERE s = p.sid AND f = p.fy) AS n_corps FROM pairs p WHERE sim >= 0.8 - 1e-12 GROUP BY sid, fy")
 def m09(spark, d, plain=True):
-    from filamento.plans.runtime import materialize
+    c = classes(spark, d, plain)
+    who = c.appearances().groupBy("sid", "fy").agg(F.count(F.lit(1)).alias("n_corps"))
+    return c.pairs().groupBy("sid", "fy").agg(F.sum("n_pairs").alias("n_pairs")).join(who, ["sid", "fy"])
 
-    p = materialize(common(spark, d, plain), "common")
-    who = p.select("sid", "fy", F.explode(F.array("a_entity", "b_entity")).alias("e")).groupBy("sid", "fy").agg(F.countDistinct("e").alias("n_corps"))
-    return p.groupBy("sid", "fy").agg(F.count(F.lit(1)).alias("n_pairs")).join(who, ["sid", "fy"])
 
+@q("m09_stored_pairs", _COMMON + " SELECT sid, fy, a_entity, b_entity, a, b, round(sim, 6) AS similarity FROM pairs WHERE sim >= 0.8 - 1e-12 QUALIFY row_number() OVER (PARTITION BY sid, fy ORDER BY sim DESC, least(a, b), greatest(a, b), a_entity, b_entity, a) <= 500")
+def m09_stored(spark, d, plain=True):
+    """The 500 most similar pairs of every section and year."""
+    return classes(spark, d, plain).top(500).withColumn("similarity", F.round("similarity", 6))
 
-MARKERS = ["감사지원팀", "재고자산", "차입금"]
-_HAS = " OR ".join(f"contains({{0}}, '{m}')" for m in MARKERS)
 
+#: Words of the test tables that stand for notes to accounts, by section, with the fixed ones.
+MARKERS = {"default": ("감사지원팀", "재고자산", "차입금", *M.MARKERS["default"]), "S2": ("감사지원팀", "차입금", *M.MARKERS["S2"])}
+_LISTED = {k: "['" + "', '".join(v) + "']" for k, v in MARKERS.items()}
+_MARKERS_SQL = f"CASE WHEN sid = 'S2' THEN {_LISTED['S2']} ELSE {_LISTED['default']} END"
+_DIRTY = f"len(list_filter({_MARKERS_SQL}, lambda m: contains({{}}, m))) > 0"
+_RAW = f"raw AS (SELECT {_CORP} AS corp, upper(section_id) AS sid, fy, regexp_replace(p, '[0-9][0-9,.]*', '<NUM>', 'g') AS p FROM (SELECT corp_code, section_id, fy, unnest(paragraphs) AS p FROM (SELECT DISTINCT section_key, corp_code, section_id, fy, paragraphs FROM section_contents) WHERE corp_code IS NOT NULL) WHERE length(p) >= 30 AND regexp_matches(p, '^[ -~가-힣]*$')), w AS (SELECT corp, sid, fy, p, count(*) AS w FROM raw GROUP BY ALL)"
 
-@q("m10_recounted_pairs", _COMMON + f" SELECT sid, fy, count(*) AS n_pairs, count(*) FILTER (WHERE NOT ({_HAS.format('a')}) AND NOT ({_HAS.format('b')})) AS n_clean, round(1 - count(*) FILTER (WHERE NOT ({_HAS.format('a')}) AND NOT ({_HAS.format('b')})) / count(*), 6) AS reduction FROM pairs WHERE sim >= 0.8 - 1e-12 GROUP BY sid, fy")
+
+@q("m10_recounted_pairs", _COMMON + f", {_RAW} SELECT x.sid, x.fy, CAST(sum(wa.w * wb.w) AS BIGINT) AS n_raw, count(*) AS n_pairs, count(*) FILTER (WHERE NOT ({_DIRTY.format('a').replace('sid', 'x.sid')}) AND NOT ({_DIRTY.format('b').replace('sid', 'x.sid')})) AS n_clean, round(1 - count(*) / sum(wa.w * wb.w), 6) AS reduction FROM pairs x JOIN w wa ON wa.corp = x.a_entity AND wa.sid = x.sid AND wa.fy = x.fy AND wa.p = x.a JOIN w wb ON wb.corp = x.b_entity AND wb.sid = x.sid AND wb.fy = x.fy AND wb.p = x.b WHERE sim >= 0.8 - 1e-12 GROUP BY x.sid, x.fy")
 def m10(spark, d, plain=True):
-    has = lambda c: F.exists(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(F.col(c), m))
-    clean = F.count_if(~has("a") & ~has("b"))
-    g = common(spark, d, plain).groupBy("sid", "fy").agg(F.count(F.lit(1)).alias("n_pairs"), clean.alias("n_clean"))
-    return g.withColumn("reduction", F.round(1 - F.col("n_clean") / F.col("n_pairs"), 6))
+    """Pairs with repeated paragraphs counted each time, once, and once without those that hold a marker."""
+    has = lambda c: F.exists(M.markers_for(F.col("sid"), MARKERS), lambda m: F.contains(F.col(c), m))
+    g = classes(spark, d, plain).pairs().groupBy("sid", "fy").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_pairs").alias("n_pairs"), F.sum(F.when(~has("a") & ~has("b"), F.col("n_pairs")).otherwise(0)).alias("n_clean"))
+    return g.withColumn("reduction", F.round(1 - F.col("n_pairs") / F.col("n_raw"), 6))
+
+
+@q("m10_firm_appearances", _COMMON + " SELECT sid, fy, entity, count(*) AS n_appearances, round(count(*) / sum(count(*)) OVER (PARTITION BY sid, fy), 4) AS share FROM (SELECT sid, fy, a_entity AS entity FROM pairs WHERE sim >= 0.8 - 1e-12 UNION ALL SELECT sid, fy, b_entity FROM pairs WHERE sim >= 0.8 - 1e-12) GROUP BY sid, fy, entity")
+def m10_firms(spark, d, plain=True):
+    return classes(spark, d, plain).appearances().withColumn("share", F.round("share", 4))
 
 
-@q("m11_pair_taxonomy", _COMMON + " SELECT CASE WHEN regexp_matches(a, '제\\s*\\d+\\s*조|자본시장법|상법|공정거래법|시행령|법률 제|규정 제\\s*\\d+') THEN 'law' ELSE 'other' END AS class, count(*) AS n FROM pairs WHERE sim >= 0.8 - 1e-12 GROUP BY 1")
+@q("m11_pair_taxonomy", _COMMON + f" SELECT sid, {_CLASS_SQL.format('a')} AS label, count(*) AS n FROM pairs WHERE sim >= 0.8 - 1e-12 AND NOT ({_DIRTY.format('a')}) AND NOT ({_DIRTY.format('b')}) GROUP BY ALL")
 def m11(spark, d, plain=True):
-    kind = X.paragraph_class(F.col("a"))
-    return common(spark, d, plain).groupBy(F.when(kind == "law", "law").otherwise("other").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    """Clean pairs by what their first paragraph is."""
+    return classes(spark, d, plain, clean=True).labelled(X.paragraph_class(F.col("text"))).groupBy("sid", "label").agg(F.sum("n").alias("n"))
 
 
 @q("m12_partner_counts", _COMMON + " SELECT sid, fy, entity, text, count(DISTINCT other) AS n_partners FROM (SELECT sid, fy, a_entity AS entity, a AS text, b_entity AS other FROM pairs WHERE sim >= 0.8 - 1e-12 UNION ALL SELECT sid, fy, b_entity, b, a_entity FROM pairs WHERE sim >= 0.8 - 1e-12) GROUP BY ALL")
 def m12(spark, d, plain=True):
-    return M.partner_counts(common(spark, d, plain), ["sid", "fy"])
+    return classes(spark, d, plain).partners()
 
 
 book.sql["j09_cross_group_pairs"] = _COMMON + " SELECT fy, count(*) AS n FROM pairs WHERE sim >= 0.9 - 1e-12 GROUP BY 1"
@@ -147,29 +177,41 @@ book.sql["j09_cross_group_pairs"] = _COMMON + " SELECT fy, count(*) AS n FROM pa
 
 @q("j09_cross_group_pairs")
 def j09(spark, d, plain=True):
-    p = M.common_paragraphs(changed(spark, d, plain=plain), entity="corp", scope=["sid", "fy"], text="p", threshold=0.9)
-    return p.groupBy("fy").agg(F.count(F.lit(1)).alias("n"))
+    return classes(spark, d, plain, threshold=0.9).pairs().groupBy("fy").agg(F.sum("n_pairs").alias("n"))
 
 
-_STRIPPED = "replace(regexp_replace(regexp_replace({}, '&(cr[A-Za-z0-9])', chr(1) || '\\1', 'gi'), '&cr;?', ' ', 'gi'), chr(1), '&')"
+_CLEANED = lambda c: _STRIP.format("regexp_replace(" + _ARTIFACTS.format(c) + ", ' {2,}', ' ', 'g')")
 
 
-@q("m13_artifact_impact", f"""WITH l AS (SELECT corp, sid, prev, cur, 'before' AS variant, {_W.format('a')} AS x, {_W.format('b')} AS y FROM {PAIRS} WHERE prev IS NOT NULL UNION ALL SELECT corp, sid, prev, cur, 'after', {_W.format(_STRIPPED.format('a'))}, {_W.format(_STRIPPED.format('b'))} FROM {PAIRS} WHERE prev IS NOT NULL),
- s AS (SELECT sid, variant, avg(1 - len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0)) AS change FROM l GROUP BY ALL) SELECT sid, round(max(change) FILTER (WHERE variant = 'before'), 6) AS before, round(max(change) FILTER (WHERE variant = 'after'), 6) AS after FROM s GROUP BY 1""")
+@q("m13_artifact_impact", f"""WITH l AS (SELECT sid, cur, 'before' AS variant, {_W.format('a')} AS x, {_W.format('b')} AS y FROM {PAIRS} WHERE prev IS NOT NULL UNION ALL SELECT sid, cur, 'after', {_W.format(_CLEANED('a'))}, {_W.format(_CLEANED('b'))} FROM {PAIRS} WHERE prev IS NOT NULL),
+ s AS (SELECT sid, cur, variant, avg(1 - len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0)) AS change FROM l GROUP BY ALL) SELECT sid, cur, round(max(change) FILTER (WHERE variant = 'before'), 6) AS before, round(max(change) FILTER (WHERE variant = 'after'), 6) AS after, round(max(change) FILTER (WHERE variant = 'after') - max(change) FILTER (WHERE variant = 'before'), 6) AS delta FROM s GROUP BY ALL""")
 def m13(spark, d):
+    """Mean change of word sets with and without editor residue; the other measures are in m13_artifact_impact_whole."""
     p = _pairs(spark, d)
     w = lambda c: F.array_distinct(F.filter(F.split(c, "[ \\n\\t\\r]+"), lambda x: x != ""))
-    clean = lambda c: F.regexp_replace(c, X.BREAK_ENTITY, " ")
-    rows = p.select("sid", F.lit("before").alias("variant"), (1 - M.jaccard(w(F.col("a")), w(F.col("b")))).alias("change")).unionByName(p.select("sid", F.lit("after").alias("variant"), (1 - M.jaccard(w(clean("a")), w(clean("b")))).alias("change")))
-    wide = rows.groupBy("sid").pivot("variant", ["before", "after"]).agg(F.avg("change"))
-    return wide.select("sid", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+    change = lambda f: F.avg(1 - M.jaccard(w(f(F.col("a"))), w(f(F.col("b")))))
+    g = p.groupBy("sid", "cur").agg(change(lambda c: c).alias("before"), change(X.strip_artifacts).alias("after"))
+    return g.select("sid", "cur", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(F.col("after") - F.col("before"), 6).alias("delta"))
 
 
-@q("m14_artifact_coverage", f"""SELECT sid, count(*) AS n_units, count(*) FILTER (WHERE n > 0) AS n_hit, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(length(text) - length(regexp_replace(text, '◆\\s*click\\s*◆\\s*(?:『[^』]{{0,60}}』)?\\s*(?:삽입|추가)?', '', 'gi'))) AS BIGINT) AS removed FROM (SELECT sid, text, len(regexp_extract_all(text, '◆\\s*click\\s*◆', 0, 'i')) AS n FROM {DOCS}) GROUP BY 1""")
+@q("m13_artifact_impact_whole")
+def m13_whole(spark, d):
+    """All four measures of change before and after editor residue is stripped."""
+    x = materialize(docs(spark, d), "docs")
+    measures = ("cosine", "jaccard", "levenshtein", "difflib")
+    of = lambda rows, name: M.change_rates(rows, entity="corp", section="sid", period="fy", text="text").groupBy("sid", "prev", "cur").agg(*[F.avg(f"change_{m}").alias(f"{m}_{name}") for m in measures])
+    both = of(x, "before").join(of(x.withColumn("text", X.strip_artifacts(F.col("text"))), "after"), ["sid", "prev", "cur"])
+    return both.select("sid", "prev", "cur", *[F.round(f"{m}_{v}", 4).alias(f"{m}_{v}") for m in measures for v in ("before", "after")], *[F.round(F.col(f"{m}_after") - F.col(f"{m}_before"), 4).alias(f"delta_{m}") for m in measures])
+
+
+_PROTECTED = "regexp_replace(text, '&(cr[A-Za-z0-9])', chr(1) || '\\1', 'gi')"
+_KINDS = (("label", "text", "◆\\s*click\\s*◆\\s*(?:『[^』]{0,60}』)?\\s*(?:삽입|추가)?"), ("file", "text", "\\d{4,6}\\s*#\\s*\\*?\\s*_\\S+?\\.dsl"), ("entity", _PROTECTED, "&cr;?"))
+_EACH = " UNION ALL ".join(f"SELECT sid, length(text) AS chars, '{k}' AS artifact, len(regexp_extract_all({c}, '{p}', 0, 'i')) AS n, length(text) - length(regexp_replace({c}, '{p}', '', 'gi')) AS cut FROM {DOCS}" for k, c, p in _KINDS)
+
+
+@q("m14_artifact_coverage", f"""SELECT sid, artifact, count(*) AS n_units, count(*) FILTER (WHERE n > 0) AS n_hit, round(count(*) FILTER (WHERE n > 0) / count(*), 4) AS coverage, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(cut) AS BIGINT) AS removed_chars, round(avg(cut) FILTER (WHERE n > 0), 1) AS mean_per_hit, round(sum(cut) / nullif(sum(chars), 0), 6) AS share FROM ({_EACH}) GROUP BY ALL""")
 def m14(spark, d):
-    n = F.regexp_count(F.col("text"), F.lit(X.EDITOR_LABEL))
-    cut = F.length("text") - F.length(F.regexp_replace("text", X.EDITOR_LABEL, ""))
-    return docs(spark, d).groupBy("sid").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(n > 0).alias("n_hit"), F.sum(n).cast("bigint").alias("occurrences"), F.sum(cut).cast("bigint").alias("removed"))
+    return M.artifact_coverage(docs(spark, d), ["sid"], "text")
 
 
 @q("m15_exact_names", "WITH k AS (SELECT DISTINCT name AS choice, upper(regexp_replace(name, '[\\s.,\\-_()\\[\\]<>·ㆍ''\"]+', '', 'g')) AS c FROM universe WHERE name IS NOT NULL) SELECT f.corp_name AS name, min(k.choice) AS choice FROM (SELECT DISTINCT corp_name, upper(regexp_replace(corp_name, '[\\s.,\\-_()\\[\\]<>·ㆍ''\"]+', '', 'g')) AS c FROM filings_index WHERE corp_name IS NOT NULL) f JOIN k USING (c) GROUP BY 1")
@@ -197,16 +239,14 @@ def m15_fuzzy(spark, d):
     return M.match_names(bent.withColumn("key", F.col("name")), bent.select(F.col("long").alias("choice")), key="key", name="name", choice="choice", threshold=88.0)
 
 
-_FLAGS = ", ".join(f"contains(p, '{m}')::INT" for m in MARKERS)
-
-
-@q("m16_contamination", f"""WITH p AS (SELECT section_key, p, length(p) AS n, list_filter(['{"', '".join(MARKERS)}'], lambda m: contains(p, m)) AS hit FROM (SELECT section_key, unnest(paragraphs) AS p FROM (SELECT DISTINCT section_key, paragraphs FROM section_contents)) WHERE p IS NOT NULL)
- SELECT section_key, CAST(sum(len(hit)) AS BIGINT) AS n_marker_hits, count(*) FILTER (WHERE len(hit) > 0) AS n_dirty, CAST(coalesce(sum(n) FILTER (WHERE len(hit) > 0), 0) AS BIGINT) AS dirty_chars, CAST(sum(n) AS BIGINT) AS total_chars, CASE WHEN sum(n) = 0 THEN 0 ELSE round(coalesce(sum(n) FILTER (WHERE len(hit) > 0), 0) / sum(n), 4) END AS share_chars, round(count(*) FILTER (WHERE len(hit) > 0) / count(*), 4) AS share_paras FROM p GROUP BY 1""")
+@q("m16_contamination", f"""WITH p AS (SELECT section_key, sid, p, length(p) AS n, {_MARKERS_SQL} AS used, list_filter({_MARKERS_SQL}, lambda m: contains(p, m)) AS hit FROM (SELECT section_key, sid, unnest(paragraphs) AS p FROM (SELECT DISTINCT section_key, upper(section_id) AS sid, paragraphs FROM section_contents)) WHERE p IS NOT NULL)
+ SELECT section_key, max(len(used)) AS n_markers_used, CAST(sum(len(hit)) AS BIGINT) AS n_marker_hits, len(list_distinct(flatten(list(hit)))) AS n_distinct_markers, coalesce(array_to_string(list_sort(list_distinct(flatten(list(hit)))), ', '), '') AS markers_found, count(*) FILTER (WHERE len(hit) > 0) AS n_dirty, CAST(coalesce(sum(n) FILTER (WHERE len(hit) > 0), 0) AS BIGINT) AS dirty_chars, CAST(sum(n) AS BIGINT) AS total_chars, CASE WHEN sum(n) = 0 THEN 0 ELSE round(coalesce(sum(n) FILTER (WHERE len(hit) > 0), 0) / sum(n), 4) END AS share_chars, round(count(*) FILTER (WHERE len(hit) > 0) / count(*), 4) AS share_paras FROM p GROUP BY 1""")
 def m16(spark, d):
-    p = table(spark, d, "section_contents").select("section_key", "paragraphs").distinct().select("section_key", F.explode("paragraphs").alias("p")).where("p is not null")
-    return M.contamination(p, ["section_key"], "p", MARKERS).drop("markers_found")
+    s = table(spark, d, "section_contents").select("section_key", F.upper("section_id").alias("sid"), "paragraphs").distinct()
+    p = s.select("section_key", "sid", F.explode("paragraphs").alias("p")).where("p is not null")
+    return M.contamination(p, ["section_key"], "p", M.markers_for(F.col("sid"), MARKERS))
 
 
-for _name in ("m03_levenshtein", "m06_set_changes", "m06_set_removals", "m07_near_duplicate_pairs", "m09_common_paragraphs", "m10_recounted_pairs", "m11_pair_taxonomy", "m12_partner_counts", "j09_cross_group_pairs"):
+for _name in ("m03_levenshtein", "m06_set_changes", "m06_set_removals", "m07_near_duplicate_pairs", "m09_common_paragraphs", "m09_stored_pairs", "m10_recounted_pairs", "m10_firm_appearances", "m11_pair_taxonomy", "m12_partner_counts", "j09_cross_group_pairs"):
     book.whole(f"{_name}_whole", _name)
 queries, oracle_sql = book.queries, book.oracle_sql

@@ -1,5 +1,6 @@
 """Similarities, diffs, near-duplicate paragraphs, contamination and name matching."""
 
+import collections
 import itertools
 import random
 
@@ -76,3 +77,35 @@ def test_name_matching(spark):
     choices = spark.createDataFrame([("에코프로비엠(주)",), ("에코프로비엠홀딩스그룹",), (None,)], "c string")
     got = {r.k: (r.choice, r.match_type) for r in M.match_names(names, choices, key="k", name="n", choice="c").collect()}
     assert got == {1: ("에코프로비엠(주)", "exact"), 2: ("에코프로비엠홀딩스그룹", "fuzzy")}
+
+
+def test_text_classes_against_all_pairs(spark):
+    rnd = random.Random(11)
+    bases = ["회사는 새로운 공장을 지어서 생산 능력을 크게 늘렸으며 내년에도 늘릴 계획입니다", "제 12 조에 따라 이사회는 배당을 결의하였고 주주총회의 승인을 받을 예정입니다", "환율이 크게 올라 수입 원료의 값이 뛰었고 그 영향은 다음 해까지 이어질 것입니다"]
+    texts = [b + tail for b in bases for tail in ("", " 네", " 예", "!")]
+    rows = [(rnd.choice("xy"), f"f{rnd.randrange(9)}", rnd.choice(texts)) for _ in range(160)] + [("x", None, texts[0]), ("x", "f1", None)]
+    c = M.TextClasses(spark.createDataFrame(rows, "s string, e string, t string"), entity="e", scope=["s"], text="t")
+    held = collections.Counter(r for r in rows if None not in r)
+    sim = {(a, b): M.M.jaccard(M.M.grams(a), M.M.grams(b)) for a in texts for b in texts}
+    pairs = [(s, e, f, t, u) for (s, e, t) in held for (r, f, u) in held if s == r and e < f and sim[t, u] >= 0.8]
+    count = lambda rows: dict(collections.Counter(rows))
+    got = c.pairs().collect()
+    n, raw = collections.Counter(), collections.Counter()
+    for s, e, f, t, u in pairs:
+        n[s, *sorted((t, u))] += 1
+        raw[s, *sorted((t, u))] += held[s, e, t] * held[s, f, u]
+    assert {(r.s, *sorted((r.a, r.b))): (r.n_pairs, r.n_raw) for r in got} == {k: (n[k], raw[k]) for k in n} and len(n) > 20
+    assert {(r.s, r.entity): r.n_appearances for r in c.appearances().collect()} == count((s, x) for s, e, f, *_ in pairs for x in (e, f))
+    partners = {}
+    for s, e, f, t, u in pairs:
+        partners.setdefault((s, e, t), set()).add(f)
+        partners.setdefault((s, f, u), set()).add(e)
+    assert {(r.s, r.entity, r.text): r.n_partners for r in c.partners().collect()} == {k: len(v) for k, v in partners.items()}
+    label = {t: t[-1] for t in texts}
+    assert {(r.s, r.label): r.n for r in c.labelled(F.right("text", F.lit(1))).collect()} == count((s, label[t]) for s, e, f, t, u in pairs)
+    top = {(r.s, r.a_entity, r.b_entity, r.a, r.b) for r in c.top(7).collect()}
+    want = {x for scope in "xy" for x in sorted((p for p in pairs if p[0] == scope), key=lambda p: (-sim[p[3], p[4]], *sorted(p[3:]), p[1], p[2], p[3]))[:7]}
+    assert top == want
+    assert c.top(10**6).count() == len(pairs)
+    none = M.TextClasses(spark.createDataFrame([], "s string, e string, t string"), entity="e", scope=["s"], text="t")
+    assert none.pairs().isEmpty() and none.partners().isEmpty() and none.appearances().isEmpty() and none.top(3).isEmpty()
