@@ -34,28 +34,34 @@ STANDARD = {
 }
 TARGETS = {"S1": "사업의 내용", "S2": "이사의 경영진단 및 분석의견", "S3": "그 밖에 투자자 보호를 위하여 필요한 사항", "S4": "임원 및 직원 등에 관한 사항"}
 EOF = "EOF"
-_NOISE = str.maketrans("", "", " ·ㆍ・･.,:;-—–_()[]{}<>「」『』\"'’‘“”/|")
+_NOISE = re.compile(X.NAME_NOISE)
 _LEADING = re.compile(X.LEADING_NUMBER.replace("(?U)", ""))
 
 
 def _key(name: str) -> str:
     """The key text.norm_name gives a plain name; its number step may take a first syllable (사업 to 업)."""
-    return _LEADING.sub("", _LEADING.sub("", name)).translate(_NOISE).lower()
+    return _NOISE.sub("", _LEADING.sub("", _LEADING.sub("", name))).lower()
 
 
 KEYS = {_key(v): name for name, variants in STANDARD.items() for v in (name, *variants)}
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: one integer holds a whole row of the table."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    gaps = full
+    for c in a:
+        hits = gaps & places.get(c, 0)
+        gaps = (gaps + hits | gaps - hits) & full
+    return len(b) - gaps.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """Normalised insert-delete similarity in percent: twice the common subsequence by both lengths."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def best_key(key: str | None, threshold: float) -> str | None:
@@ -142,6 +148,14 @@ def captions(blocks: DataFrame, most: int = 120) -> DataFrame:
     return c.where("kind = 'table'").select("doc", "idx", F.when(F.length("_before") <= most, F.col("_before")).alias("caption"))
 
 
+def orphan_captions(sections: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc, section_id, n, orphan_chars): paragraphs left in a section that are captions of the
+    document's tables. ``tables`` holds (doc, caption); null captions are none."""
+    told = tables.where("caption is not null").select("doc", F.col("caption").alias("_p")).distinct()
+    p = sections.select("doc", "section_id", F.explode("paragraphs").alias("_p"))
+    return p.join(told, ["doc", "_p"], "left_semi").groupBy("doc", "section_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_p")).cast("bigint").alias("orphan_chars"))
+
+
 def extract(blocks: DataFrame, targets: dict[str, str] = TARGETS, *, threshold: float | None = 97.0, require_terminator: bool = True, min_chars: int = 10) -> DataFrame:
     """One row per document and target section: the longest of its spans (the first of equals).
 

@@ -9,7 +9,7 @@ from filamento.functions import text as X
 from filamento.operators import html as H
 from filamento.operators import sections as S
 from filamento.operators import tables as TB
-from filamento.plans.base import Book, values
+from filamento.plans.base import Book
 from filamento.plans.q_text import _NUM_RE
 from filamento.plans.runtime import table
 
@@ -132,53 +132,73 @@ def d11(spark, d):
     return _tables(spark, d).select("section_key", "table_index", H.grids("html").alias("grid"))
 
 
-_OFFICERS = "<table><tr><th rowspan=2>성명</th><th rowspan=2>직위</th><th rowspan=2>등기임원여부</th><th rowspan=2>담당업무</th><th colspan=2>소유주식수</th><th rowspan=2>재직기간</th></tr><tr><th>의결권있는 주식</th><th>의결권없는 주식</th></tr><tr><td>가나다</td><td>대표이사</td><td>등기임원</td><td>총괄</td><td>1</td><td>-</td><td>3년 2개월</td></tr><tr><td>라마바</td><td>상무</td><td>미등기</td><td>생산</td><td>-</td><td>-</td><td>12개월</td></tr><tr><td>합계</td><td>-</td><td>-</td><td>-</td><td>-</td><td>-</td><td>-</td></tr></table>"
-_LAWSUITS = "<table><tr><th>사건번호</th><th>원고</th><th>소송가액(억원)</th><th>진행상황</th></tr><tr><td>2020가합1</td><td>가</td><td>50,488</td><td>1심</td></tr><tr><td>사건번호</td><td>원고</td><td>소송가액(억원)</td><td>진행상황</td></tr><tr><td>2021나2</td><td>나</td><td>297,641백만원</td><td>2심</td></tr></table>"
-_NONE = "<table><tr><td>해당사항 없음</td></tr></table>"
+def _planted(rows, key, head, cells):
+    """Tables of up to 50 rows of a relation as HTML under negative section keys: an exact round trip."""
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    one = rows.groupBy((-1 - F.floor(F.col(key) / 50)).cast("bigint").alias("section_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, row.alias("r")))), lambda x: x["r"]), "").alias("body"))
+    return one.select("section_key", F.lit(0).alias("table_index"), F.concat(F.lit("<table>"), head(F.col("section_key")), F.col("body"), F.lit("</table>")).alias("html"))
 
 
-def _with_fixture(spark, d, html):
-    fixture = values(spark, f"(-1L, 0, '{html}')", "section_key, table_index, html")
-    return _tables(spark, d).unionByName(fixture)
+_OFFICER_HEAD = "<tr><th rowspan=2>성명</th><th rowspan=2>직위</th><th rowspan=2>등기임원여부</th><th rowspan=2>담당업무</th><th colspan=2>소유주식수</th><th rowspan=2>재직기간</th></tr><tr><th>의결권있는 주식</th><th>의결권없는 주식</th></tr>"
 
 
-_EXPECT_OFFICERS = "('가나다', '대표이사', true, 38.0), ('라마바', '상무', false, 12.0)"
+def _officers(spark, d):
+    """Every table, and planted ones that make officers of the suppliers."""
+    k = F.col("s_suppkey")
+    position = F.when(k % 3 == 0, "대표이사").when(k % 3 == 1, "상무").otherwise("감사")
+    tenure = F.when(k % 7 == 0, "-").otherwise(F.concat((k % 9).cast("string"), F.lit("년 "), (k % 12).cast("string"), F.lit("개월")))
+    cells = [F.col("s_name"), position, F.when(k % 2 == 0, "등기임원").otherwise("미등기"), F.concat(F.lit("담당 "), (k % 5).cast("string")), F.lit("1"), F.lit("-"), tenure]
+    return _tables(spark, d).unionByName(_planted(table(spark, d, "supplier"), "s_suppkey", lambda _: F.lit(_OFFICER_HEAD), cells))
 
 
-@q("d12_d13_officers", f"SELECT * FROM (VALUES {_EXPECT_OFFICERS}) AS t(name, position, is_registered, tenure_months)")
+@q("d12_d13_officers", "SELECT s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN '대표이사' WHEN 1 THEN '상무' ELSE '감사' END AS position, s_suppkey % 2 = 0 AS is_registered, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 9 * 12 + s_suppkey % 12)::DOUBLE END AS tenure_months FROM supplier")
 def d13(spark, d):
-    """Officers of every table. The counterpart lists the fixture's rows alone: the test tables hold no officer table."""
-    return TB.officer_rows(_with_fixture(spark, d, _OFFICERS), "section_key", "html").select("name", "position", "is_registered", "tenure_months")
+    """Officers of every table; besides the planted ones the test tables hold no officer table."""
+    return TB.officer_rows(_officers(spark, d), "section_key", "html").select("name", "position", "is_registered", "tenure_months")
 
 
 @q("d14_officer_diagnostics")
 def d14(spark, d):
-    t = _with_fixture(spark, d, _OFFICERS)
+    t = _officers(spark, d)
     rows = TB.officer_rows(t, "section_key", "html").groupBy("section_key").agg(F.count(F.lit(1)).alias("n_officers"), F.round(F.avg(F.col("is_registered").isNull().cast("int")), 4).alias("registered_null_rate"))
     per = t.groupBy("section_key").agg(F.count(F.lit(1)).alias("n_tables"), F.bool_or(H.nested_table("html")).alias("has_nested_table"))
     return per.join(rows, "section_key", "left").select("section_key", "n_tables", F.coalesce("n_officers", F.lit(0)).alias("n_officers"), "has_nested_table", "registered_null_rate")
 
 
+def _lawsuits(spark, d):
+    """Every table, and planted ones that make lawsuits of the customers: units in the header or the cell, repeated headers."""
+    k = F.col("c_custkey")
+    unit = lambda group: F.when(group % 2 == 0, "억원").otherwise("원화단위: 백만원")
+    head = lambda group: F.concat(F.lit("<tr><th>사건번호</th><th>원고</th><th>소송가액("), unit(group), F.lit(")</th><th>진행상황</th></tr>"))
+    amount = F.concat(F.abs("c_acctbal").cast("bigint").cast("string"), F.when(k % 5 == 0, "천원").otherwise(""))
+    again = F.when(k % 10 == 0, F.lit("</td></tr><tr><td>사건번호</td><td>원고</td><td>소송가액</td><td>진행상황")).otherwise("")
+    cells = [F.concat(F.lit("2020가합"), k.cast("string")), F.col("c_name"), amount, F.concat(F.lit("1심"), again)]
+    return _tables(spark, d).unionByName(_planted(table(spark, d, "customer"), "c_custkey", head, cells))
+
+
+_AMOUNT = "CAST(trunc(abs(c_acctbal)) AS BIGINT) * CASE WHEN c_custkey % 5 = 0 THEN 1000.0 WHEN (-1 - c_custkey // 50) % 2 = 0 THEN 100000000.0 ELSE 1000000.0 END"
+
+
 @q("d15_lawsuit_tables")
 def d15(spark, d):
-    c = TB.lawsuit_tables(_with_fixture(spark, d, _LAWSUITS), "section_key", "html")
+    c = TB.lawsuit_tables(_lawsuits(spark, d), "section_key", "html")
     return c.select("section_key", "table_index", "info.is_lawsuit", "info.is_sanction", F.size("info.rows").alias("n_rows"))
 
 
-_EXPECT_LAW = "('2020가합1', '가', 5048800000000.0), ('2021나2', '나', 297641000000.0)"
-
-
-@q("d16_lawsuit_rows", f"SELECT * FROM (VALUES {_EXPECT_LAW}) AS t(case_no, plaintiff, amount_krw)")
+@q("d16_lawsuit_rows", f"SELECT '2020가합' || c_custkey AS case_no, c_name AS plaintiff, {_AMOUNT} AS amount_krw FROM customer")
 def d16(spark, d):
-    """Lawsuit rows of every table. The counterpart lists the fixture's rows alone: the test tables hold no lawsuit table."""
-    c = TB.lawsuit_tables(_with_fixture(spark, d, _LAWSUITS), "section_key", "html")
+    """Lawsuit rows of every table; besides the planted ones the test tables hold no lawsuit table."""
+    c = TB.lawsuit_tables(_lawsuits(spark, d), "section_key", "html")
     return TB.lawsuit_rows(c, "section_key").select("case_no", "plaintiff", "amount_krw")
 
 
-@q("d17_lawsuit_summary", "SELECT section_key, count(*) AS n_tables, 0 AS n_lawsuit_rows, false AS explicit_none FROM (SELECT DISTINCT section_key, i, tables_html[i] AS h FROM section_contents, range(1, 400) t(i) WHERE i <= len(tables_html)) WHERE h IS NOT NULL GROUP BY 1 UNION ALL SELECT -1, 1, 0, true")
+@q("d17_lawsuit_summary", "SELECT section_key, count(*) AS n_tables, 0 AS n_lawsuit_tables, 0 AS n_lawsuit_rows, false AS explicit_none FROM (SELECT DISTINCT section_key, i, tables_html[i] AS h FROM section_contents, range(1, 400) t(i) WHERE i <= len(tables_html)) WHERE h IS NOT NULL GROUP BY 1 UNION ALL SELECT -1 - c_custkey // 50, 1, 1, count(*), false FROM customer GROUP BY 1 UNION ALL SELECT -1000000 - n_nationkey, 1, 0, 0, n_nationkey % 2 = 0 FROM nation")
 def d17(spark, d):
-    c = TB.lawsuit_tables(_with_fixture(spark, d, _NONE), "section_key", "html")
-    return TB.lawsuit_summary(c, "section_key").select("section_key", "n_tables", "n_lawsuit_rows", "explicit_none")
+    """Summaries of every section's tables; of planted ones that say nothing applies, or something else."""
+    said = F.when(F.col("n_nationkey") % 2 == 0, "해당사항 없음").otherwise(F.col("n_name"))
+    none = table(spark, d, "nation").select((-1000000 - F.col("n_nationkey")).cast("bigint").alias("section_key"), F.lit(0).alias("table_index"), F.concat(F.lit("<table><tr><td>"), said, F.lit("</td></tr></table>")).alias("html"))
+    c = TB.lawsuit_tables(_lawsuits(spark, d).unionByName(none), "section_key", "html")
+    return TB.lawsuit_summary(c, "section_key").select("section_key", "n_tables", "n_lawsuit_tables", "n_lawsuit_rows", "explicit_none")
 
 
 @q("d18_layout_tables")
@@ -186,21 +206,35 @@ def d18(spark, d):
     return _tables(spark, d).select("section_key", "table_index", H.is_layout(H.grids("html")).alias("is_layout"))
 
 
-@q("d19_orphan_captions", """WITH b AS (SELECT block_key, any_value(rcept_no) AS rcept_no, any_value(block_index) AS i, any_value(kind) AS kind, any_value(text) AS text FROM blocks GROUP BY 1),
- c AS (SELECT DISTINCT rcept_no, prev AS caption FROM (SELECT rcept_no, kind, lag(CASE WHEN kind = 'text' THEN text END) OVER (PARTITION BY rcept_no ORDER BY i, block_key) AS prev FROM b) WHERE kind = 'table' AND length(prev) <= 160)
- SELECT b.rcept_no, count(*) AS n, CAST(sum(length(b.text)) AS BIGINT) AS orphan_chars FROM b JOIN c ON b.rcept_no = c.rcept_no AND b.text = c.caption WHERE b.kind = 'text' GROUP BY 1""")
+_BLOCK_ROWS = "b AS (SELECT block_key, any_value(rcept_no) AS rcept_no, any_value(block_index) AS i, any_value(kind) AS kind, any_value(text) AS text FROM blocks GROUP BY 1)"
+_CAPTIONED = "c AS (SELECT rcept_no, block_key, CASE WHEN length(prev) <= 120 THEN prev END AS caption FROM (SELECT rcept_no, block_key, kind, last_value(CASE WHEN kind = 'text' AND length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY rcept_no ORDER BY i, block_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b) WHERE kind = 'table')"
+
+
+def _blocks(spark, d):
+    return table(spark, d, "blocks").groupBy("block_key").agg(*[F.any_value(c).alias(c) for c in ("rcept_no", "block_index", "kind", "text")])
+
+
+def captioned(spark, d):
+    """(rcept_no, caption) of every table block; null where the text before it is too long for one."""
+    b = _blocks(spark, d).select(F.col("rcept_no").alias("doc"), F.struct("block_index", "block_key").alias("idx"), "kind", "text")
+    return S.captions(b).select(F.col("doc").alias("rcept_no"), "caption")
+
+
+@q("d19_orphan_captions", f"""WITH {_BLOCK_ROWS}, {_CAPTIONED}, u AS (SELECT DISTINCT rcept_no, caption FROM c WHERE caption IS NOT NULL), p AS (SELECT rcept_no, sid, unnest(paragraphs) AS p FROM (SELECT DISTINCT section_key, rcept_no, upper(section_id) AS sid, paragraphs FROM section_contents))
+ SELECT p.rcept_no, p.sid AS section_id, count(*) AS n, CAST(sum(length(p)) AS BIGINT) AS orphan_chars FROM p JOIN u ON p.rcept_no = u.rcept_no AND p.p = u.caption GROUP BY ALL""")
 def d19(spark, d):
-    b = table(spark, d, "blocks").groupBy("block_key").agg(*[F.any_value(c).alias(c) for c in ("rcept_no", "block_index", "kind", "text")])
-    prev = F.lag(F.when(F.col("kind") == "text", F.col("text"))).over(Window.partitionBy("rcept_no").orderBy("block_index", "block_key"))
-    c = b.withColumn("prev", prev).where("kind = 'table' and length(prev) <= 160").select("rcept_no", F.col("prev").alias("text")).distinct()
-    return b.where("kind = 'text'").join(c, ["rcept_no", "text"]).groupBy("rcept_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("orphan_chars"))
+    s = table(spark, d, "section_contents").select("section_key", F.col("rcept_no").alias("doc"), F.upper("section_id").alias("section_id"), "paragraphs").distinct()
+    return S.orphan_captions(s, captioned(spark, d).select(F.col("rcept_no").alias("doc"), "caption")).withColumnRenamed("doc", "rcept_no")
 
 
-@q("d20_table_leak", "SELECT t.block_key, count(*) AS n_bodies, count(*) FILTER (WHERE contains(s.text, substr(t.text, 1, 12))) AS n_leaks FROM (SELECT block_key, any_value(rcept_no) AS rcept_no, any_value(text) AS text FROM blocks WHERE kind = 'table' GROUP BY 1) t JOIN (SELECT DISTINCT section_key, rcept_no, text FROM section_contents WHERE text IS NOT NULL) s USING (rcept_no) WHERE length(t.text) >= 12 GROUP BY 1")
+@q("d20_table_leak", "SELECT t.block_key, count(*) AS n_bodies, count(*) FILTER (WHERE contains(s.text, trim(substr(t.text, 1, 60)))) AS n_leaks FROM (SELECT block_key, any_value(rcept_no) AS rcept_no, any_value(text) AS text FROM blocks WHERE kind = 'table' GROUP BY 1) t JOIN (SELECT DISTINCT section_key, rcept_no, text FROM section_contents WHERE text IS NOT NULL) s USING (rcept_no) WHERE trim(substr(t.text, 1, 60)) <> '' GROUP BY 1")
 def d20(spark, d):
-    t = table(spark, d, "blocks").where("kind = 'table'").groupBy("block_key").agg(F.any_value("rcept_no").alias("rcept_no"), F.any_value("text").alias("head")).where("length(head) >= 12")
+    """Tables whose first 60 characters stand in a section's text. A filing's heads meet each text once, as one array."""
+    t = table(spark, d, "blocks").where("kind = 'table'").groupBy("block_key").agg(F.any_value("rcept_no").alias("rcept_no"), F.trim(F.substring(F.any_value("text"), 1, 60)).alias("head")).where("head <> ''")
+    heads = t.groupBy("rcept_no").agg(F.collect_list(F.struct("block_key", "head")).alias("heads"))
     s = table(spark, d, "section_contents").where("text is not null").select("section_key", "rcept_no", "text").distinct()
-    return t.join(s, "rcept_no").groupBy("block_key").agg(F.count(F.lit(1)).alias("n_bodies"), F.count_if(F.contains("text", F.substring("head", 1, 12))).alias("n_leaks"))
+    told = s.join(heads, "rcept_no").select(F.explode(F.transform("heads", lambda h: F.struct(h["block_key"].alias("block_key"), F.contains(F.col("text"), h["head"]).alias("leak")))).alias("x"))
+    return told.groupBy("x.block_key").agg(F.count(F.lit(1)).alias("n_bodies"), F.count_if("x.leak").alias("n_leaks"))
 
 
 @q("d21_parse_ok", "SELECT rcept_no AS doc, count(*) FILTER (WHERE found AND length(text) > 0) AS n_found, count(*) FILTER (WHERE found AND length(text) > 0) >= 1 AS ok FROM (SELECT DISTINCT section_key, rcept_no, found, text FROM section_contents) GROUP BY 1")
