@@ -199,6 +199,20 @@ def report_type(col: Column) -> Column:
     return F.when(has(MATERIAL_TAGS), "material_amendment").when(has(ATTACHMENT_TAGS), "attachment_added").otherwise("original")
 
 
+def report_reason(col: Column) -> Column:
+    """Why a report has its type: the tags that told it, or that there is none or none known."""
+    tags = bracket_tags(col)
+    among = lambda names: F.filter(tags, lambda t: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(t, n)))
+    told = lambda what, some: F.concat(F.lit(what), F.array_join(some, ", "))
+    kind = report_type(col)
+    return (
+        F.when(F.size(tags) == 0, "no bracket")
+        .when(kind == "material_amendment", told("body amended: ", among(MATERIAL_TAGS)))
+        .when(kind == "attachment_added", told("attachment only: ", among(ATTACHMENT_TAGS)))
+        .otherwise(told("unknown tag, taken as original: ", tags))
+    )
+
+
 def is_body_original(kind: Column) -> Column:
     return kind.isin("original", "attachment_added")
 

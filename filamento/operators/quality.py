@@ -46,12 +46,28 @@ def step_flags(share_up: Column, up: float = 0.75, down: float = 0.25) -> Column
     return F.when(share_up >= up, "up").when(share_up <= down, "down").otherwise("none")
 
 
-def spikes(df: DataFrame, entity: list[str], by: list[str], value: str) -> DataFrame:
-    """Per ``by``: mean, demeaned mean, z (null where an entity doesn't vary) and share above the entity's mean."""
-    w = Window.partitionBy(*entity)
+def spikes(df: DataFrame, entity: str | list[str], by: list[str], value: str, above: float = 0.0) -> DataFrame:
+    """Per ``by``: mean, demeaned mean, z (null where an entity doesn't vary) and share more than ``above`` over the entity's mean."""
+    w = Window.partitionBy(*([entity] if isinstance(entity, str) else entity))
     dev = F.col(value) - F.avg(value).over(w)
     x = df.withColumn("_d", dev).withColumn("_z", dev / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)))
-    return x.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg("_d").alias("demeaned"), F.avg("_z").alias("z"), rate(F.col("_d") > 0).alias("share_positive"))
+    return x.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg("_d").alias("demeaned"), F.avg("_z").alias("z"), rate(F.col("_d") > above).alias("share_positive"))
+
+
+def table_ratios(tables: DataFrame, orphans: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(doc, n_tables, n_captioned, share_captioned, orphan_chars, body_chars, share_orphan) of documents
+    with tables. ``tables`` is (doc, caption), ``orphans`` (doc, orphan_chars), ``bodies`` (doc, body_chars)."""
+    g = tables.groupBy("doc").agg(F.count(F.lit(1)).alias("n_tables"), F.count("caption").alias("n_captioned"))
+    met = g.join(bodies, "doc", "left").join(orphans, "doc", "left").withColumn("orphan_chars", F.coalesce("orphan_chars", F.lit(0)))
+    share = lambda a, b, digits: F.round(F.try_divide(F.col(a), F.col(b)), digits)
+    return met.select("doc", "n_tables", "n_captioned", share("n_captioned", "n_tables", 4).alias("share_captioned"), "orphan_chars", "body_chars", share("orphan_chars", "body_chars", 5).alias("share_orphan"))
+
+
+def layout_ratios(tables: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_tables, n_layout, layout_chars, table_chars and both shares) of (is_layout, n_chars) tables."""
+    chars = F.sum(F.when(F.col("is_layout"), F.col("n_chars")).otherwise(0))
+    g = tables.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tables"), F.count_if("is_layout").alias("n_layout"), chars.alias("layout_chars"), F.sum("n_chars").alias("table_chars"))
+    return g.withColumns({"share_layout": F.round(F.try_divide(F.col("n_layout"), F.col("n_tables")), 4), "share_layout_chars": F.round(F.try_divide(F.col("layout_chars"), F.col("table_chars")), 4)})
 
 
 def dominance(df: DataFrame, scope: list[str], member: str, limit: float) -> DataFrame:

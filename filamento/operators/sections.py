@@ -181,15 +181,28 @@ def extract(blocks: DataFrame, targets: dict[str, str] = TARGETS, *, threshold:
     return out.select("doc", "section_id", F.coalesce(found, F.lit(False)).alias("found"), has_body.alias("has_body"), F.array_join("paragraphs", "\n").alias("text"), "paragraphs", F.coalesce("n_tables", F.lit(0)).alias("n_tables"), F.coalesce("table_chars", F.lit(0)).alias("table_chars"), "start_header", "end_header", F.coalesce("end_reason", F.lit("no start header")).alias("end_reason"))
 
 
-def extract_old(blocks: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
-    """The older rule: any candidate ends a section, similarity of 92 suffices, EOF is no fault."""
-    c = header_candidates(blocks, 92.0)
+def extract_old(blocks: DataFrame, targets: dict[str, str] = TARGETS, *, threshold: float | None = 92.0) -> DataFrame:
+    """The older rule: any candidate ends a section, similarity of 92 suffices, EOF is no fault and
+    short pieces stay. (doc, section_id, found, chars, end_reason, start_header, end_header, paragraphs)."""
+    c = header_candidates(blocks, threshold)
     order = Window.partitionBy("doc").orderBy("idx")
     wanted = F.create_map(*[F.lit(x) for sid, name in targets.items() for x in (name, sid)])
-    c = c.withColumn("end", F.lead("idx").over(order)).withColumn("end_reason", F.coalesce(F.lead("name").over(order), F.lit(EOF))).withColumn("section_id", F.try_element_at(wanted, F.col("name"))).where("section_id is not null")
-    inside = c.select("doc", "section_id", F.col("idx").alias("start"), "end", "end_reason").join(blocks.select("doc", F.col("idx").alias("i"), F.col("text").alias("_text")), "doc").where("i > start and (end is null or i < end)")
-    sums = inside.groupBy("doc", "section_id", "start", "end_reason").agg(F.sum(F.length("_text")).alias("chars"))
-    return sums.groupBy("doc", "section_id").agg(F.max_by(F.struct("chars", "end_reason"), F.struct("chars", -F.col("start"))).alias("b")).select("doc", "section_id", (F.col("b.chars") > 0).alias("found"), "b.chars", "b.end_reason")
+    c = c.withColumns({"end": F.lead("idx").over(order), "end_reason": F.coalesce(F.lead("name").over(order), F.lit(EOF)), "end_header": F.coalesce(F.lead("text").over(order), F.lit(""))}).withColumn("section_id", F.try_element_at(wanted, F.col("name"))).where("section_id is not null")
+    inside = c.select("doc", "section_id", F.col("idx").alias("start"), "end", "end_reason", F.col("text").alias("start_header"), "end_header").join(blocks.select("doc", "kind", F.col("idx").alias("i"), F.col("text").alias("_text")), "doc").where("i > start and (end is null or i < end)")
+    told = F.sort_array(F.collect_list(F.when((F.col("kind") == "text") & (F.length("_text") > 0), F.struct("i", "_text")))).alias("_p")
+    sums = inside.groupBy("doc", "section_id", "start").agg(F.sum(F.length("_text")).alias("chars"), told, *[F.first(x).alias(x) for x in ("end_reason", "start_header", "end_header")])
+    best = F.max_by(F.struct("chars", "end_reason", "start_header", "end_header", "_p"), F.struct("chars", -F.col("start"))).alias("b")
+    lines = F.flatten(F.transform(F.coalesce("b._p", F.array()), lambda x: X.paragraphs(x["_text"])))
+    return sums.groupBy("doc", "section_id").agg(best).select("doc", "section_id", (F.col("b.chars") > 0).alias("found"), "b.chars", "b.end_reason", "b.start_header", "b.end_header", lines.alias("paragraphs"))
+
+
+def variants(blocks: DataFrame, targets: dict[str, str] = TARGETS, *, threshold: float | None = 97.0, old_threshold: float | None = 92.0, min_chars: int = 10) -> DataFrame:
+    """(variant, doc, section_id, found, end_reason, start_header, end_header, paragraphs): the sections with a
+    body under both rules, ``new`` and ``old``, one below the other."""
+    keep = ["doc", "section_id", "found", "end_reason", "start_header", "end_header", "paragraphs"]
+    new = extract(blocks, targets, threshold=threshold, min_chars=min_chars).where("has_body").select(F.lit("new").alias("variant"), *keep)
+    old = extract_old(blocks, targets, threshold=old_threshold).where(F.size("paragraphs") > 0).select(F.lit("old").alias("variant"), *keep)
+    return new.unionByName(old)
 
 
 def derived_clean(paragraphs: Column, min_chars: int = 10) -> Column:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filamento.operators import html as H
 from filamento.operators import quality as Q
+from filamento.operators import sections as S
+from filamento.operators import similarity as M
 from filamento.plans.base import Book
 from filamento.plans.q_panel import _CHARS, section_chars
+from filamento.plans.q_sections import _BLOCK_ROWS, _CAPTIONED, _SPANS, _TARGET, block_sequence, captioned
+from filamento.plans.q_similarity import _LISTED, MARKERS
 from filamento.plans.runtime import table
 
 book = Book()
@@ -100,44 +105,65 @@ def a11(spark, d):
 
 @q("a12_spikes", f"SELECT sid, fy, count(d) AS n, round(avg(d), 6) AS mean, round(avg(dev), 6) AS demeaned, round(avg(dev / nullif(sd, 0)), 5) AS z, round(avg((dev > 1e-12)::INT), 6) AS share_positive FROM (SELECT *, d - avg(d) OVER (PARTITION BY corp) AS dev, stddev_samp(d) OVER (PARTITION BY corp) AS sd FROM {_LOGDIFF} WHERE gap = 1) GROUP BY ALL")
 def a12(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("corp")
-    x = logdiff(spark, d).withColumn("dev", F.col("d") - F.avg("d").over(w)).withColumn("z", F.col("dev") / F.nullif(F.stddev_samp("d").over(w), F.lit(0.0)))
-    g = x.groupBy("sid", "fy").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.avg("dev").alias("demeaned"), F.avg("z").alias("z"), Q.rate(F.col("dev") > 1e-12).alias("share_positive"))
+    g = Q.spikes(logdiff(spark, d), "corp", ["sid", "fy"], "d", above=1e-12)
     return r6(g.withColumn("z", F.round("z", 5)), "mean", "demeaned", "share_positive")
 
 
-@q("a13_density", f"SELECT sid, round(avg(length(text) / len(paragraphs)), 6) AS mean, round(median(length(text) / len(paragraphs)), 6) AS median FROM {SECTIONS} WHERE len(paragraphs) > 0 AND text IS NOT NULL GROUP BY 1")
+@q("a13_density", f"SELECT sid, round(avg(v), 6) AS mean, round(median(v), 6) AS median, CAST(sum(n_short) AS BIGINT) AS n_under_10, CAST(sum(n) AS BIGINT) AS n_paragraphs, round(sum(n_short) / sum(n), 6) AS share_under_10 FROM (SELECT sid, length(text) / len(paragraphs) AS v, len(paragraphs) AS n, len(list_filter(paragraphs, lambda p: length(p) < 10)) AS n_short FROM {SECTIONS} WHERE len(paragraphs) > 0 AND text IS NOT NULL) GROUP BY 1")
 def a13(spark, d):
-    x = sections(spark, d).where("size(paragraphs) > 0 and text is not null").select("sid", (F.length("text") / F.size("paragraphs")).alias("v"))
-    return r6(Q.describe(x, ["sid"], "v").drop("n"), "mean", "median")
+    """Characters per paragraph of each section, and the paragraphs under ten characters."""
+    short = F.size(F.filter("paragraphs", lambda p: F.length(p) < 10))
+    x = sections(spark, d).where("size(paragraphs) > 0 and text is not null").select("sid", (F.length("text") / F.size("paragraphs")).alias("v"), F.size("paragraphs").alias("n"), short.alias("n_short"))
+    totals = x.groupBy("sid").agg(F.sum("n_short").alias("n_under_10"), F.sum("n").alias("n_paragraphs")).withColumn("share_under_10", F.col("n_under_10") / F.col("n_paragraphs"))
+    return r6(Q.describe(x, ["sid"], "v").drop("n").join(totals, "sid"), "mean", "median", "share_under_10")
 
 
-@q("a14_table_ratios", f"SELECT fy, count(*) AS n, CAST(coalesce(sum(len(tables_html)), 0) AS BIGINT) AS n_tables, round(coalesce(sum(len(tables_html)), 0) / count(*), 6) AS per_section FROM {SECTIONS} GROUP BY 1")
+@q("a14_table_ratios", f"""WITH {_BLOCK_ROWS}, {_CAPTIONED}, u AS (SELECT DISTINCT rcept_no, caption FROM c WHERE caption IS NOT NULL), t AS (SELECT rcept_no, count(*) AS n_tables, count(caption) AS n_captioned FROM c GROUP BY 1),
+ s AS (SELECT rcept_no, CAST(sum(length(text)) AS BIGINT) AS body_chars FROM {SECTIONS} GROUP BY 1), p AS (SELECT rcept_no, unnest(paragraphs) AS p FROM {SECTIONS}), o AS (SELECT p.rcept_no, CAST(sum(length(p)) AS BIGINT) AS orphan_chars FROM p JOIN u ON p.rcept_no = u.rcept_no AND p.p = u.caption GROUP BY 1)
+ SELECT t.rcept_no, n_tables, n_captioned, round(n_captioned / n_tables, 4) AS share_captioned, coalesce(orphan_chars, 0) AS orphan_chars, body_chars, round(coalesce(orphan_chars, 0) / nullif(body_chars, 0), 5) AS share_orphan FROM t LEFT JOIN s USING (rcept_no) LEFT JOIN o USING (rcept_no)""")
 def a14(spark, d):
-    n = F.coalesce(F.sum(F.when(F.col("tables_html").isNotNull(), F.size("tables_html"))), F.lit(0)).cast("bigint")
-    return sections(spark, d).groupBy("fy").agg(F.count(F.lit(1)).alias("n"), n.alias("n_tables")).withColumn("per_section", F.round(F.try_divide(F.col("n_tables"), F.col("n")), 6))
+    """Tables with a caption, and captions left in the text, of every filing with tables."""
+    c = captioned(spark, d)
+    s = sections(spark, d).withColumnRenamed("rcept_no", "doc")
+    orphans = S.orphan_captions(s.select("doc", F.col("sid").alias("section_id"), "paragraphs"), c.withColumnRenamed("rcept_no", "doc")).groupBy("doc").agg(F.sum("orphan_chars").alias("orphan_chars"))
+    return Q.table_ratios(c.withColumnRenamed("rcept_no", "doc"), orphans, s.groupBy("doc").agg(F.sum(F.length("text")).alias("body_chars"))).withColumnRenamed("doc", "rcept_no")
+
+
+@q("a14_layout_ratios")
+def a14_layout(spark, d):
+    """Layout tables and their characters, by section."""
+    t = sections(spark, d).select("sid", F.explode("tables_html").alias("h")).where("h is not null").select("sid", H.grids("h").alias("g"))
+    return Q.layout_ratios(t.select("sid", H.is_layout(F.col("g")).alias("is_layout"), F.length(F.array_join(F.flatten("g"), " ")).alias("n_chars")), ["sid"])
 
 
-_HITS = "(SELECT section_key, sid, CASE WHEN fy % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, coalesce(len(list_filter(paragraphs, lambda p: contains(p, '재고자산'))), 0) AS hits FROM " + SECTIONS + ")"
+#: Sections of both parse rules with their lines, exact names only, over blocks both engines normalise alike.
+_VARIANTS = _SPANS + f""", t AS (SELECT * FROM (VALUES {_TARGET}) AS t(name, section_id)),
+ body AS (SELECT 'new' AS variant, s.doc, t.section_id, s.start, s."end" FROM spans s JOIN t USING (name) UNION ALL SELECT 'old', o.doc, t.section_id, o.start, coalesce(o."end", 1000000000) FROM (SELECT doc, name, idx AS start, lead(idx) OVER (PARTITION BY doc ORDER BY idx) AS "end" FROM cand) o JOIN t USING (name)),
+ scored AS (SELECT body.variant, body.doc, section_id, start, "end", sum(length(b.text)) AS score FROM body JOIN blocks b ON b.doc = body.doc AND b.idx > start AND b.idx < "end" GROUP BY ALL),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY variant, doc, section_id ORDER BY score DESC, start) = 1),
+ lines AS (SELECT best.variant, best.doc, best.section_id, trim(b.text) AS p, list_filter(CASE WHEN best.section_id = 'S2' THEN {_LISTED['S2']} ELSE {_LISTED['default']} END, lambda m: contains(b.text, m)) AS hit FROM best JOIN blocks b ON b.doc = best.doc AND b.idx > start AND b.idx < "end" WHERE trim(b.text) <> ''),
+ hits AS (SELECT variant, doc, section_id AS sid, sum(len(hit)) AS hits, round(coalesce(sum(length(p)) FILTER (WHERE len(hit) > 0), 0) / sum(length(p)), 4) AS share FROM lines GROUP BY ALL)"""
 
 
-def _hits(spark, d):
-    n = F.coalesce(F.size(F.filter("paragraphs", lambda p: F.contains(p, F.lit("재고자산")))), F.lit(0))
-    n = F.when(F.col("paragraphs").isNull(), 0).otherwise(n)
-    return sections(spark, d).select("section_key", "sid", F.when(F.col("fy") % 2 == 0, "even").otherwise("odd").alias("variant"), n.alias("hits"))
+def _hits(spark, d, plain=True):
+    """Marker hits and dirty share of every section under both parse rules."""
+    exact = {"threshold": None, "old_threshold": None, "min_chars": 0} if plain else {}
+    v = S.variants(block_sequence(spark, d, plain), **exact)
+    p = v.select("variant", "doc", F.col("section_id").alias("sid"), F.explode("paragraphs").alias("p"))
+    c = M.contamination(p, ["variant", "doc", "sid"], "p", M.markers_for(F.col("sid"), MARKERS))
+    return c.select("variant", "doc", "sid", F.col("n_marker_hits").alias("hits"), F.col("share_chars").alias("share"))
 
 
-@q("a15_hits_by_variant", f"SELECT sid, variant, round(avg(hits), 6) AS mean, max(hits) AS most, count(*) FILTER (WHERE hits > 0) AS n_with FROM {_HITS} GROUP BY ALL")
-def a15(spark, d):
-    return _hits(spark, d).groupBy("sid", "variant").agg(F.round(F.avg("hits"), 6).alias("mean"), F.max("hits").cast("bigint").alias("most"), F.count_if(F.col("hits") > 0).alias("n_with"))
+@q("a15_hits_by_variant", _VARIANTS + " SELECT variant, sid, count(*) AS n, round(avg(hits), 6) AS mean, CAST(max(hits) AS BIGINT) AS most, count(*) FILTER (WHERE hits > 0) AS n_with, round(avg(share), 6) AS mean_share FROM hits GROUP BY ALL")
+def a15(spark, d, plain=True):
+    """Contamination under the old and the new parse rule."""
+    return _hits(spark, d, plain).groupBy("variant", "sid").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hits"), 6).alias("mean"), F.max("hits").cast("bigint").alias("most"), F.count_if(F.col("hits") > 0).alias("n_with"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-@q("a16_variant_pivot", f"SELECT sid, round(avg(hits) FILTER (WHERE variant = 'even'), 6) AS even, round(avg(hits) FILTER (WHERE variant = 'odd'), 6) AS odd, round(avg(hits) FILTER (WHERE variant = 'odd') - avg(hits) FILTER (WHERE variant = 'even'), 6) AS delta FROM {_HITS} GROUP BY 1")
-def a16(spark, d):
-    p = _hits(spark, d).groupBy("sid").pivot("variant", ["even", "odd"]).agg(F.avg("hits"))
-    return r6(p.withColumn("delta", F.col("odd") - F.col("even")), "even", "odd", "delta")
+@q("a16_variant_pivot", _VARIANTS + " SELECT sid, round(avg(share) FILTER (WHERE variant = 'old'), 6) AS old, round(avg(share) FILTER (WHERE variant = 'new'), 6) AS new, round(avg(share) FILTER (WHERE variant = 'new') - avg(share) FILTER (WHERE variant = 'old'), 6) AS delta FROM hits GROUP BY 1")
+def a16(spark, d, plain=True):
+    p = _hits(spark, d, plain).groupBy("sid").pivot("variant", ["old", "new"]).agg(F.avg("share"))
+    return r6(p.withColumn("delta", F.col("new") - F.col("old")), "old", "new", "delta")
 
 
 @q("a17_counts_and_shares", "SELECT market, count(*) FILTER (WHERE is_correction) AS corrections, count(*) FILTER (WHERE is_correction IS NOT NULL AND NOT is_correction) AS others, round(count(*) / (SELECT count(*) FROM filings_index), 6) AS share FROM filings_index GROUP BY 1")
@@ -179,4 +205,6 @@ def a22(spark, d):
     return sections(spark, d).groupBy("rcept_no").agg(F.bool_or(F.coalesce("found", F.lit(False))).alias("any_found"), F.bool_or(F.col("end_reason") == "EOF").alias("any_eof"))
 
 
+for _name in ("a15_hits_by_variant", "a16_variant_pivot"):
+    book.whole(f"{_name}_whole", _name)
 queries, oracle_sql = book.queries, book.oracle_sql

@@ -21,6 +21,7 @@ from filamento.sources.archive import decode
 
 book = Book()
 q = book.query
+_CORP = "lpad(regexp_replace(corp_code, '[^0-9]', '', 'g'), 8, '0')"
 
 
 def _path(spark, name):
@@ -31,13 +32,14 @@ def _sections(spark, d):
     return table(spark, d, "section_contents").where("text is not null").select("section_key", "name", "text").distinct()
 
 
-@q("s01_body_of_archive", "SELECT DISTINCT section_key, 'body.html' AS member, length(text) AS n FROM section_contents WHERE text IS NOT NULL")
+@q("s01_body_of_archive", "SELECT DISTINCT CAST(section_key AS VARCHAR) AS rcept_no, 'body.html' AS member, length(text) AS n, CAST(NULL AS VARCHAR) AS error FROM section_contents WHERE text IS NOT NULL")
 def s01(spark, d):
-    """Archives with an attachment and a body: the body is chosen and read whole."""
+    """Archive files with an attachment and a body: the body is chosen and read whole."""
+    path = _path(spark, "archives")
     body = F.struct(F.lit("body.html").alias("name"), F.to_binary(F.concat(F.lit("사업의 내용"), F.col("text")), F.lit("utf-8")).alias("content"))
     extra = F.struct(F.lit("첨부_감사보고서.html").alias("name"), F.to_binary(F.repeat(F.lit("x"), 5000), F.lit("utf-8")).alias("content"))
-    z = _sections(spark, d).select("section_key", A.body_of(A.zipped(F.array(extra, body))).alias("b"))
-    return z.select("section_key", "b.member", (F.length("b.text") - 6).cast("bigint").alias("n"))
+    K.write_files(_sections(spark, d).select(F.concat("section_key", F.lit(".zip")).alias("name"), A.zipped(F.array(extra, body)).alias("z")), path, "name", "z")
+    return A.read_bodies(spark, path).select("rcept_no", "member", (F.length("text") - 6).cast("bigint").alias("n"), "error")
 
 
 @arrow(T.StringType())
@@ -67,39 +69,48 @@ def s04(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 4).alias("qty"), F.count(F.lit(1)).alias("n"))
 
 
-@q("s05_csv_scan", "SELECT DISTINCT corp_code, stock_code, fy, rcept_no FROM filings_index WHERE corp_code = trim(corp_code) AND stock_code IS NOT NULL")
+@q("s05_csv_scan", "SELECT DISTINCT corp_code, stock_code, fy, rcept_no FROM filings_index")
 def s05(spark, d):
     path = _path(spark, "csv")
-    K.write_csv(table(spark, d, "filings_index").where("corp_code = trim(corp_code) and stock_code is not null").select("corp_code", "stock_code", "fy", "rcept_no"), path)
+    K.write_csv(table(spark, d, "filings_index").select("corp_code", "stock_code", "fy", "rcept_no"), path)
     return FS.read_csv(spark, path, "corp_code string, stock_code string, fy int, rcept_no string").distinct()
 
 
-@q("s06_snapshot_files", "SELECT DISTINCT market, fy AS year FROM universe WHERE market IS NOT NULL")
+@q("s06_snapshot_files", "SELECT DISTINCT market, fy AS year FROM universe WHERE market IS NOT NULL AND fy IS NOT NULL")
 def s06(spark, d):
+    """Files ``groups_{year}.csv`` of the markets of each year, the year read from the name."""
     path = _path(spark, "snapshots")
-    u = table(spark, d, "universe").where("market is not null").select("market", "fy").distinct()
-    years = sorted(r.fy for r in u.select("fy").distinct().collect())  # a bounded dimension: one file name a year
-    for y in years:
-        K.write_csv(u.where(F.col("fy") == y).select("market"), f"{path}/parts_{y}")
-    df = spark.read.schema("market string").csv(f"{path}/parts_*", header=True).withColumn("year", F.regexp_extract(F.col("_metadata.file_path"), r"parts_(\d{4})", 1).cast("int"))
-    return df.dropna().distinct()
+    years = table(spark, d, "universe").where("market is not null and fy is not null").groupBy("fy").agg(F.concat(F.lit("market\n"), F.array_join(F.array_sort(F.collect_set("market")), "\n"), F.lit("\n")).alias("csv"))
+    K.write_files(years.select(F.concat(F.lit("groups_"), "fy", F.lit(".csv")).alias("name"), "csv"), path, "name", "csv")
+    return FS.read_snapshots(spark, f"{path}/groups_*.csv", "market string", ["market"])
 
 
 @q("s07_json_documents", "SELECT DISTINCT section_key, name, len(paragraphs) AS n FROM section_contents WHERE paragraphs IS NOT NULL AND name IS NOT NULL")
 def s07(spark, d):
     path = _path(spark, "json")
-    table(spark, d, "section_contents").where("paragraphs is not null and name is not null").select("section_key", "name", "paragraphs").distinct().write.json(path)
-    back = spark.read.schema("section_key bigint, name string, paragraphs array<string>").json(path)
+    rows = table(spark, d, "section_contents").where("paragraphs is not null and name is not null").select("section_key", "name", "paragraphs").distinct()
+    K.write_files(rows.select(F.concat("section_key", F.lit(".json")).alias("file"), F.to_json(F.struct("section_key", "name", "paragraphs"), {"ignoreNullFields": "false"}).alias("json")), path, "file", "json")
+    back = FS.read_json_documents(spark, path, "section_key bigint, name string, paragraphs array<string>")
     return back.select("section_key", "name", F.size("paragraphs").cast("bigint").alias("n"))
 
 
-@q("s08_keyed_texts", "SELECT DISTINCT corp_code AS corp, fy, upper(section_id) AS section, length(text) AS n FROM section_contents WHERE regexp_matches(corp_code, '^\\d{8}$') AND text IS NOT NULL AND section_id IS NOT NULL")
+@q("s08_keyed_texts", f"SELECT {_CORP} AS corp, fy, upper(section_id) AS section, length(max(text)) AS n FROM section_contents WHERE corp_code IS NOT NULL AND fy IS NOT NULL AND text IS NOT NULL AND section_id IS NOT NULL GROUP BY ALL")
 def s08(spark, d):
-    """Texts under file names ``{corp}_{fy}_{S#}.txt``, the name parsed back."""
-    s = table(spark, d, "section_contents").where(F.col("corp_code").rlike(r"^\d{8}$") & F.col("text").isNotNull() & F.col("section_id").isNotNull())
-    named = s.select(F.concat_ws("_", "corp_code", F.col("fy").cast("string"), F.upper("section_id")).alias("stem"), F.length("text").cast("bigint").alias("n"))
-    part = lambda i: F.regexp_extract(F.concat(F.col("stem"), F.lit(".txt")), r"^(\d+)_(\d{4})_(S\d)\.txt$", i)
-    return named.select(part(1).alias("corp"), part(2).cast("int").alias("fy"), part(3).alias("section"), "n").distinct()
+    """Text files named ``{corp}_{fy}_{S#}.txt``, the names read back; of equal names the greatest text."""
+    path = _path(spark, "texts")
+    s = table(spark, d, "section_contents").where("corp_code is not null and fy is not null and text is not null and section_id is not null")
+    named = s.groupBy(F.concat_ws("_", corp_code(F.col("corp_code")), F.col("fy").cast("string"), F.concat(F.upper("section_id"), F.lit(".txt"))).alias("name")).agg(F.max("text").alias("text"))
+    K.write_files(named, path, "name", "text")
+    return FS.read_keyed_texts(spark, path).select("corp", "fy", "section", F.length("text").cast("bigint").alias("n"))
+
+
+@q("k04_document_files", "SELECT DISTINCT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def k04_files(spark, d):
+    """One file per document, written by the tasks that hold it."""
+    path = _path(spark, "documents")
+    docs = table(spark, d, "documents").where("text is not null").select(F.concat("doc_id", F.lit(".txt")).alias("name"), "text")
+    K.write_files(docs, path, "name", "text")
+    return FS.read_texts(spark, path).select(F.regexp_extract("name", r"^(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n"))
 
 
 @q("k01_partitioned_parquet", "SELECT fy, count(*) AS n FROM filings_index WHERE fy IS NOT NULL GROUP BY 1")

@@ -166,11 +166,16 @@ def t16(spark, d):
 _TYPE_SQL = """CASE WHEN len(list_filter(tags, lambda t: contains(t, '기재정정'))) > 0 THEN 'material_amendment' WHEN len(list_filter(tags, lambda t: contains(t, '첨부추가') OR contains(t, '첨부정정'))) > 0 THEN 'attachment_added' ELSE 'original' END"""
 
 
-@q("t17_report_type", f"SELECT report_nm, list_aggregate(tags, 'string_agg', ', ') AS tags, {_TYPE_SQL} AS kind, {_TYPE_SQL} IN ('original', 'attachment_added') AS body_original FROM (SELECT DISTINCT report_nm, list_transform(regexp_extract_all(report_nm, '\\[([^\\]]*)\\]', 1), lambda x: trim(x)) AS tags FROM filings_index WHERE report_nm IS NOT NULL)")
+_TAGGED = lambda names: "list_filter(tags, lambda t: " + " OR ".join(f"contains(t, '{n}')" for n in names) + ")"
+_JOINED = "list_aggregate({}, 'string_agg', ', ')"
+_REASON_SQL = f"CASE WHEN len(tags) = 0 THEN 'no bracket' WHEN {_TYPE_SQL} = 'material_amendment' THEN 'body amended: ' || {_JOINED.format(_TAGGED(X.MATERIAL_TAGS))} WHEN {_TYPE_SQL} = 'attachment_added' THEN 'attachment only: ' || {_JOINED.format(_TAGGED(X.ATTACHMENT_TAGS))} ELSE 'unknown tag, taken as original: ' || {_JOINED.format('tags')} END"
+
+
+@q("t17_report_type", f"SELECT report_nm, list_aggregate(tags, 'string_agg', ', ') AS tags, {_REASON_SQL} AS reason, {_TYPE_SQL} AS kind, {_TYPE_SQL} IN ('original', 'attachment_added') AS body_original FROM (SELECT DISTINCT report_nm, list_transform(regexp_extract_all(report_nm, '\\[([^\\]]*)\\]', 1), lambda x: trim(x)) AS tags FROM filings_index WHERE report_nm IS NOT NULL)")
 def t17(spark, d):
     f = table(spark, d, "filings_index").select("report_nm").where("report_nm is not null").distinct()
     tags, kind = X.bracket_tags(F.col("report_nm")), X.report_type(F.col("report_nm"))
-    return f.select("report_nm", F.when(F.size(tags) > 0, F.array_join(tags, ", ")).alias("tags"), kind.alias("kind"), X.is_body_original(kind).alias("body_original"))
+    return f.select("report_nm", F.when(F.size(tags) > 0, F.array_join(tags, ", ")).alias("tags"), X.report_reason(F.col("report_nm")).alias("reason"), kind.alias("kind"), X.is_body_original(kind).alias("body_original"))
 
 
 @q("t18_report_period", """SELECT DISTINCT report_nm, fy, regexp_matches(report_nm, '\\[(기재정정|첨부정정|첨부추가|정정|연장결정|변경등록)\\]') AS amended, TRY_CAST(nullif(regexp_extract(report_nm, '\\((\\d{4})\\.(\\d{1,2})\\)', 1), '') AS INT) AS y, TRY_CAST(nullif(regexp_extract(report_nm, '\\((\\d{4})\\.(\\d{1,2})\\)', 2), '') AS INT) AS m,

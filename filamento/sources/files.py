@@ -16,7 +16,7 @@ class MissingData(FileNotFoundError):
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header under an explicit schema; code columns are declared STRING and keep zeros."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_snapshots(spark: SparkSession, pattern: str, schema: str, required: list[str], require: bool = True) -> DataFrame:
@@ -41,8 +41,13 @@ def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFram
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of UTF-8 files, one row per file; an empty file has an empty text."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+
+
 def read_keyed_texts(spark: SparkSession, path: str) -> DataFrame:
     """(corp, fy, section, text) of files ``{corp}_{fy}_{S#}.txt``; other names are skipped."""
-    name = F.col("_metadata.file_name")
-    part = lambda i: F.regexp_extract(name, r"^(\d+)_(\d{4})_(S\d)\.txt$", i)
-    return spark.read.text(path, wholetext=True).where(name.rlike(r"^\d+_\d{4}_S\d\.txt$")).select(part(1).alias("corp"), part(2).cast("int").alias("fy"), part(3).alias("section"), F.col("value").alias("text"))
+    part = lambda i: F.regexp_extract("name", r"^(\d+)_(\d{4})_(S\d)\.txt$", i)
+    return read_texts(spark, path).where(part(0) != "").select(part(1).alias("corp"), part(2).cast("int").alias("fy"), part(3).alias("section"), "text")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from filamento.plans.runtime import materialize
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -17,8 +22,39 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, UTF-8 without a byte-order mark."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV with a header, UTF-8 without a byte-order mark; blanks around values are kept."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+_WRITTEN = T.StructType([T.StructField("name", T.StringType()), T.StructField("n_bytes", T.LongType())])
+
+
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """One file per row in a shared folder, its name and content (text or bytes) from two columns.
+
+    Tasks write beside the target and move the file there, so a task that runs again replaces its own
+    work and no reader sees a part of a file. Null names or contents and names with a slash are
+    refused. (name, n_bytes) of what was written, as a table that is written itself.
+    """
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = fs.FileSystem.from_uri(folder)
+        target.create_dir(root, recursive=True)
+        for b in batches:
+            names, sizes = b.column(0).to_pylist(), []
+            for n, c in zip(names, b.column(1).to_pylist()):
+                if not n or c is None or "/" in n:
+                    raise ValueError(f"no file can be written for {n!r}")
+                data = c.encode() if isinstance(c, str) else c
+                part = f"{root}/.{n}-{uuid.uuid4().hex}"
+                with target.open_output_stream(part) as out:
+                    out.write(data)
+                target.move(part, f"{root}/{n}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], _WRITTEN.names)
+
+    return materialize(df.select(name, content).mapInArrow(run, _WRITTEN), "files-written")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: str = "last") -> DataFrame:

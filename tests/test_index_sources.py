@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from filamento.operators import index as I
 from filamento.operators import quality as Q
+from filamento.plans import runtime
 from filamento.plans.runtime import hot_keys, key_counts, salted_join
 from filamento.sources import archive as A
 from filamento.sources import config, files, remote
@@ -100,6 +101,28 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_keyed_texts(spark, f"file://{tmp_path}/t").collect()] == [("00126380", 2020, "S1", "가\n나")]
 
 
+def test_files_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("00126380_2020_S1.txt", "가\n나"), ("00126380_2021_S2.txt", ""), ("note.txt", "x")], "name string, text string")
+    for _ in range(2):  # a second run replaces the files
+        assert {(r.name, r.n_bytes) for r in K.write_files(rows, f"file://{tmp_path}/out", "name", "text").collect()} == {("00126380_2020_S1.txt", 7), ("00126380_2021_S2.txt", 0), ("note.txt", 1)}
+    assert {tuple(r) for r in files.read_keyed_texts(spark, f"file://{tmp_path}/out").collect()} == {("00126380", 2020, "S1", "가\n나"), ("00126380", 2021, "S2", "")}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["00126380_2020_S1.txt", "00126380_2021_S2.txt", "note.txt"]
+    for bad in ((None, "x"), ("a/b", "x"), ("a", None)):
+        with pytest.raises(Exception, match="no file can be written"):
+            K.write_files(spark.createDataFrame([bad], "name string, text string"), f"file://{tmp_path}/bad", "name", "text")
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
+
+
 def test_upsert_cache_and_failures(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (2, "b", "x")], "k int, v string, w string")
     new = spark.createDataFrame([(2, "c", None), (3, "d", None), (None, "n", None)], "k int, v string, w string")
