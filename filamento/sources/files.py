@@ -41,10 +41,20 @@ def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFram
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files without a byte, which Spark's scans leave out. Like those scans, the driver lists the folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for s in fs.globStatus(where) or []]
+    held = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return [f.getPath().getName() for f in held if f.isFile() and f.getLen() == 0]
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of UTF-8 files, one row per file; an empty file has an empty text."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    """(name, text) of UTF-8 files, one row per file; an empty file has an empty text. Hidden files are no files."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    empty = [n for n in _empty_files(spark, path) if n[0] not in "._"]
+    return files.unionByName(spark.createDataFrame([(n, "") for n in empty], "name string, text string")) if empty else files
 
 
 def read_keyed_texts(spark: SparkSession, path: str) -> DataFrame:
