@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -74,8 +75,8 @@ def tfidf_weights(docs: DataFrame, corpus: list[str], doc: list[str], text: str,
     """(corpus, doc, gram, w): TF-IDF over character n-grams, one corpus per ``corpus`` value, written once.
 
     Lower case, runs of white space as one space; 1 + ln tf; ln((1 + N) / (1 + df)) + 1. Rows are not
-    normalised. The document frequencies join on (corpus, gram), where a key holds one row per
-    document at most, so none is hot.
+    normalised. The way for vocabularies too large for IDF_ROWS; the frequencies of a gram join its rows by
+    Spark's skew join.
     """
     s = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     tf = materialize(spread(docs, *corpus, *doc).select(*corpus, *doc, F.explode(X.ngram_sequence(s, n)).alias("gram")).groupBy(*corpus, *doc, "gram").agg(F.count(F.lit(1)).alias("tf")), "tf")
@@ -91,12 +92,67 @@ def adjacent(docs: DataFrame, series: list[str], period: str) -> DataFrame:
     return docs.select(*series, period).distinct().withColumn("prev", F.lag(period).over(w)).where("prev is not null").select(*series, "prev", F.col(period).alias("cur"))
 
 
-def tfidf_cosine(docs: DataFrame, *, entity: str, section: str, period: str, text: str, n: int = 2) -> DataFrame:
+_SPARSE = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+#: Document frequencies of up to so many (section, gram) rows are sent to all tasks: 16 bytes each.
+IDF_ROWS = 4_000_000
+
+
+def _sparse(n: int):
+    @arrow(_SPARSE)
+    def sparse(texts: pa.Array) -> pa.Array:
+        """Distinct character n-grams (n of at most 3, as integers) of each text, and how often each occurs."""
+        out = []
+        for t in texts.to_pylist():
+            c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            g = sum(c[k : len(c) - n + 1 + k] << (21 * k) for k in range(n)) if len(c) >= n else np.zeros(0, np.int64)
+            grams, tf = np.unique(g, return_counts=True)
+            out.append({"g": grams, "tf": tf.astype(np.int32)})
+        return pa.array(out, pa.struct([("g", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32()))]))
+
+    return sparse
+
+
+def tfidf_cosine(docs: DataFrame, *, entity: str, section: str, period: str, text: str, n: int = 2, idf_rows: int = IDF_ROWS) -> DataFrame:
     """(entity, section, prev, cur, cosine) of neighbouring periods, weights fitted per section.
 
-    Only the needed pairs meet: the earlier document's weights are moved to its successor's period
-    and joined on (entity, section, period, gram).
+    A document is one row with its n-grams as an array, and a pair is one product of two arrays. What
+    all tasks need are the document frequencies: they are counted first, and broadcast where there
+    are at most ``idf_rows`` of them; beyond that the weights are joined.
     """
+    s = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    x = materialize(spread(docs, entity, section, period).select(entity, section, period, _sparse(n)(s).alias("x")), "sparse")
+    counts = materialize(x.select(section, F.explode("x.g").alias("g")).groupBy(section, "g").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    if n > 3 or counts.count() > idf_rows:
+        return _joined_cosine(docs, entity, section, period, text, n)
+    sizes = {r[section]: r.n for r in x.groupBy(section).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = counts.orderBy(section, "g").toArrow()
+    names, g, df = held.column(section).to_pylist(), held.column("g").to_numpy(), held.column("df").to_numpy()
+    table = {}
+    for name, rows in itertools.groupby(range(len(names)), key=names.__getitem__):
+        first, *rest = rows
+        span = slice(first, first + 1 + len(rest))
+        table[name] = (g[span], np.log((1 + sizes[name]) / (1 + df[span])) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @arrow(T.DoubleType())
+    def cosine(sections: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for name, *sides in zip(sections.to_pylist(), a.to_pylist(), b.to_pylist()):
+            grams, idf = shared.value.get(name, (np.zeros(0, np.int64), np.zeros(0)))
+            (ga, wa), (gb, wb) = ((k := np.array(v["g"], np.int64), (1 + np.log(np.array(v["tf"], float))) * idf[np.searchsorted(grams, k)]) for v in sides)
+            _, i, j = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
+            norm = np.sqrt((wa @ wa) * (wb @ wb))
+            out.append(float(wa[i] @ wb[j] / norm) if norm else 0.0)
+        return pa.array(out, pa.float64())
+
+    at = lambda p, c: x.select(entity, section, F.col(period).alias(p), F.col("x").alias(c))
+    pairs = adjacent(x, [entity, section], period).join(at("prev", "_a"), [entity, section, "prev"]).join(at("cur", "_b"), [entity, section, "cur"])
+    return pairs.select(entity, section, "prev", "cur", cosine(section, "_a", "_b").alias("cosine"))
+
+
+def _joined_cosine(docs: DataFrame, entity: str, section: str, period: str, text: str, n: int) -> DataFrame:
+    """The same by joins alone. Only the needed pairs meet: the earlier document's weights are moved to
+    its successor's period and joined on (entity, section, period, gram)."""
     w = tfidf_weights(docs, [section], [entity, period], text, n)
     pairs = adjacent(docs, [entity, section], period)
     earlier = w.join(pairs.withColumnRenamed("prev", period), [entity, section, period]).select(entity, section, "cur", "gram", F.col("w").alias("v"))

@@ -109,3 +109,13 @@ def test_text_classes_against_all_pairs(spark):
     assert c.top(10**6).count() == len(pairs)
     none = M.TextClasses(spark.createDataFrame([], "s string, e string, t string"), entity="e", scope=["s"], text="t")
     assert none.pairs().isEmpty() and none.partners().isEmpty() and none.appearances().isEmpty() and none.top(3).isEmpty()
+
+
+def test_cosine_of_arrays_equals_the_joined_one(spark):
+    rnd = random.Random(13)
+    rows = [(e, s, y, " ".join(rnd.choice(["공장", "매출 증가", "재고", "Plant", "ＡＢ"]) for _ in range(rnd.randint(0, 9)))) for e in "AB" for s in "xy" for y in (2015, 2016, 2018)] + [("C", "x", 2015, None), ("C", "x", 2016, "가")]
+    df = spark.createDataFrame(rows, "e string, s string, y int, t string")
+    opts = {"entity": "e", "section": "s", "period": "y", "text": "t"}
+    got, joined = ({(r.e, r.s, r.prev, r.cur): r.cosine for r in M.tfidf_cosine(df, **opts, **more).collect()} for more in ({}, {"idf_rows": 1}))
+    assert got.keys() == joined.keys() and all(got[k] == pytest.approx(joined[k]) for k in got) and len(got) == 9
+    assert M.tfidf_cosine(df.limit(0), **opts).isEmpty()
