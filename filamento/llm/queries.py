@@ -73,6 +73,21 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.join(caps, "spec_id").select("spec_id", "capacity", "containers", "pieces", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"))
 
 
+def p8_conserved(spark: SparkSession, d: str) -> DataFrame:
+    """By spec: texts placed, and of them texts placed in part, texts split though they fit, containers overfull
+    or overlapping, and tokens that are missing or placed twice."""
+    docs, specs = table(spark, d, "documents"), table(spark, d, "pack_specs")
+    tokens = materialize(packing.token_counts(docs), "pack-tokens")
+    placed = materialize(packing.pack(tokens, specs), "pack-placed")
+    caps = specs.groupBy(F.col("spec_id").cast("bigint").alias("spec_id")).agg(F.max("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0")
+    per_doc = placed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("placed"))
+    texts = per_doc.join(tokens, "doc_id").join(caps, "spec_id").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("placed") != F.col("n_tokens")).alias("n_in_part"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("n_split_fitting"), F.sum(F.abs(F.col("placed") - F.col("n_tokens"))).alias("n_lost_tokens"))
+    # pieces of a container follow one another without a gap, so their sum is where the last one ends
+    boxes = placed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("at_token") + F.col("n_tokens")).alias("end")).join(caps, "spec_id")
+    bad = boxes.groupBy("spec_id").agg(F.count_if((F.col("used") > F.col("capacity")) | (F.col("used") != F.col("end"))).alias("n_bad_containers"))
+    return caps.select("spec_id").join(texts, "spec_id", "left").join(bad, "spec_id", "left").na.fill(0)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("run > 0").select("doc_id", "item_id")
 
@@ -118,6 +133,9 @@ g AS (SELECT *, row_number() OVER (PARTITION BY corp_code, fy ORDER BY kind, day
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_conserved": """
+SELECT CAST(spec_id AS BIGINT) AS spec_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0) AS n_docs, 0 AS n_in_part, 0 AS n_split_fitting, 0 AS n_lost_tokens, 0 AS n_bad_containers
+FROM pack_specs WHERE capacity_tokens > 0 AND spec_id IS NOT NULL GROUP BY 1""",
         "p9_found": f"""
 WITH d AS (SELECT doc_id, {_LETTERS} AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), e AS (SELECT item_id, {_LETTERS} AS x FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(x) - 38), lambda i: substr(x, i, 40))) AS g FROM e), h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(x) - 38), lambda i: substr(x, i, 40))) AS g FROM d)
