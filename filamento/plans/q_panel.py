@@ -133,13 +133,28 @@ def j02(spark, d):
     return out.select("rcept_no", F.col("avail").cast("string").alias("day"), F.col("event_day").cast("string").alias("event_day"))
 
 
-@q("w10_lookahead_violations", f"SELECT count(*) AS violations, (SELECT count(*) FROM {DAILY} p JOIN {_FACTS} f ON p.stock_code = f.stock_code AND f.avail > p.date AND f.avail <= p.date + 30) AS later_facts")
+_SEEN = f"(SELECT p.stock_code, p.date, max(f.avail) AS avail FROM {DAILY} p JOIN {_FACTS} f ON p.stock_code = f.stock_code AND f.avail <= CAST(p.date AS DATE) + {{}} GROUP BY ALL)"
+
+
+@q(
+    "w10_lookahead_violations",
+    f"SELECT (SELECT count(*) FROM {_SEEN.format(0)} WHERE avail > CAST(date AS DATE)) AS violations, (SELECT count(*) FROM {_SEEN.format(30)} WHERE avail > CAST(date AS DATE)) AS planted, "
+    f"(SELECT count(*) FROM {DAILY} p JOIN (SELECT DISTINCT stock_code, avail FROM {_FACTS}) f ON p.stock_code = f.stock_code AND f.avail > CAST(p.date AS DATE) AND f.avail <= CAST(p.date AS DATE) + 30) AS later_facts",
+)
 def w10(spark, d):
-    used = P.as_of(daily(spark, d), facts(spark, d), key="stock_code", date="date", available="avail", values=["rcept_no"])
-    late = P.lookahead_violations(used, "date", "avail").agg(F.count(F.lit(1)).alias("violations")).scalar()
-    ahead = daily(spark, d).withColumn("date", F.col("date").cast("date")).join(facts(spark, d).select("stock_code", "avail").distinct(), "stock_code").where("avail > date and avail <= date_add(date, 30)").agg(F.count(F.lit(1)).alias("later_facts"))
-    return ahead.select(late.alias("violations"), "later_facts")
+    """Look-ahead in an as-of join (none), in one that is 30 days wrong, and facts within 30 days after a price.
+
+    Facts and prices meet in the months of those 30 days."""
+    days = daily(spark, d).select("stock_code", F.col("date").cast("date").alias("date"))
+    join = lambda rows: P.as_of(rows, facts(spark, d), key="stock_code", date="date", available="avail", values=["rcept_no"])
+    late = P.lookahead_violations(join(days), "date", "avail").agg(F.count(F.lit(1)).alias("violations")).scalar()
+    wrong = join(days.withColumn("date", F.date_add("date", 30))).withColumn("date", F.date_sub("date", 30))
+    planted = P.lookahead_violations(wrong, "date", "avail").agg(F.count(F.lit(1)).alias("planted")).scalar()
+    month = lambda c: F.trunc(c, "month")
+    ahead = days.withColumn("_m", F.explode(F.sequence(month(F.date_add("date", 1)), month(F.date_add("date", 30)), F.expr("interval 1 month"))))
+    known = facts(spark, d).select("stock_code", "avail").distinct().withColumn("_m", month("avail"))
+    met = ahead.join(known, ["stock_code", "_m"]).where("avail > date and avail <= date_add(date, 30)").agg(F.count(F.lit(1)).alias("later_facts"))
+    return met.select(late.alias("violations"), planted.alias("planted"), "later_facts")
 
 
-book.sql["w10_lookahead_violations"] = f"SELECT 0 AS violations, (SELECT count(*) FROM {DAILY} p JOIN (SELECT DISTINCT stock_code, avail FROM {_FACTS}) f ON p.stock_code = f.stock_code AND f.avail > CAST(p.date AS DATE) AND f.avail <= CAST(p.date AS DATE) + 30) AS later_facts"
 queries, oracle_sql = book.queries, book.oracle_sql
