@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filamento.functions import text as X
 from filamento.plans.runtime import salted_join
+from filamento.sources.remote import MarketCapSourceUnavailable
 
 RANKS = {"original": 0, "attachment_added": 1, "material_amendment": 2}
 
@@ -40,6 +41,22 @@ def excluded_reason(name: Column, sector: Column | None, mcap: Column, sectors:
     return out.when(name.rlike("|".join(patterns)), "name").when(mcap.isNull() | (mcap <= 0), "mcap")
 
 
+def snapshot(listings: DataFrame, market_values: DataFrame, financial: DataFrame, *, code: str, name: str, value: str, method: str | None, patterns: tuple[str, ...]) -> DataFrame:
+    """Every code of the listings and of the market values with name, value, whether it is in the financial
+    sector and why it is left out (null: it is kept). Each side is one row per code, of equal codes the greatest.
+
+    ``method`` names where market values come from; without one they would be a silent guess, and
+    MarketCapSourceUnavailable is raised.
+    """
+    if not method:
+        raise MarketCapSourceUnavailable("no source of market values is configured")
+    one = lambda df, c: df.where(F.col(code).isNotNull()).groupBy(code).agg(F.max(c).alias(c))
+    sector = financial.select(code).where(F.col(code).isNotNull()).distinct().withColumn("_sector", F.lit("financial"))
+    met = one(listings, name).join(one(market_values, value), code, "full_outer").join(sector, code, "left")
+    reason = excluded_reason(F.col(name), F.col("_sector"), F.col(value), ("financial",), patterns)
+    return met.select(code, name, value, F.col("_sector").isNotNull().alias("is_financial"), reason.alias("excluded_reason"))
+
+
 def ranked_top(df: DataFrame, group: str, by: str, tie: str, top: int | None, rank: str) -> DataFrame:
     """Rank 1..n by falling ``by`` within ``group`` (ties by ``tie``), the first ``top`` if given.
 

@@ -205,6 +205,22 @@ def variants(blocks: DataFrame, targets: dict[str, str] = TARGETS, *, threshold:
     return new.unionByName(old)
 
 
+def with_every_section(docs: DataFrame, sections: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
+    """(doc, section_id, found, chars): one row per document and target section, also of documents whose
+    parsing failed, so that rates keep their denominator. ``sections`` is (doc, section_id, found, text)."""
+    every = docs.select("doc").where("doc is not null").distinct().withColumn("section_id", F.explode(F.array(*map(F.lit, targets))))
+    told = sections.groupBy("doc", "section_id").agg(F.bool_or("found").alias("found"), F.max(F.length("text")).alias("chars"))
+    return every.join(told, ["doc", "section_id"], "left").select("doc", "section_id", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+def length_panel(filings: DataFrame, lengths: DataFrame, key: str, keep: list[str], columns: dict[str, str]) -> DataFrame:
+    """(keep, section_id, log_chars): the lengths of a filing's sections, one column each in ``lengths``
+    (``columns`` maps them to sections), as long rows with the filing's ``keep`` columns; only positive lengths."""
+    wide = filings.select(key, *keep).join(lengths, key)
+    long = wide.select(*keep, F.explode(F.array(*[F.struct(F.lit(s).alias("section_id"), F.col(c).cast("bigint").alias("n")) for c, s in columns.items()])).alias("x"))
+    return long.where("x.n > 0").select(*keep, "x.section_id", F.ln("x.n").alias("log_chars"))
+
+
 def derived_clean(paragraphs: Column, min_chars: int = 10) -> Column:
     """The clean variant of raw paragraphs: residue stripped, emptied ones dropped, pieces merged."""
     kept = F.filter(F.transform(F.coalesce(paragraphs, F.array().cast("array<string>")), X.strip_artifacts), lambda p: p != "")

@@ -8,8 +8,12 @@ from filamento.functions import text as X
 from filamento.functions.codes import corp_code, stock_code
 from filamento.operators import index as I
 from filamento.operators import quality as Q
+from filamento.operators import sections as S
 from filamento.plans.base import Book
 from filamento.plans.q_index import _ANNUAL, _CORP, _PATTERNS, _RANK, _STOCK
+from filamento.plans.q_quality import _VARIANTS
+from filamento.plans.q_sections import block_sequence
+from filamento.plans.q_similarity import _matches
 from filamento.plans.runtime import table
 
 book = Book()
@@ -68,4 +72,53 @@ def z05(spark, d):
     return s.groupBy("fy").agg(F.count(F.lit(1)).alias("target"), F.count_if("_done").alias("n_done"), F.count_if(~F.col("_done")).alias("n_left"), F.round(Q.rate(F.col("_done")), 6).alias("rate"))
 
 
+
+@q("z06_every_section", """WITH d AS (SELECT DISTINCT rcept_no FROM filings_index WHERE rcept_no IS NOT NULL), s AS (SELECT rcept_no, upper(section_id) AS sid, bool_or(found) AS found, max(length(text)) AS chars FROM section_contents GROUP BY ALL)
+SELECT d.rcept_no, t.sid AS section_id, coalesce(s.found, false) AS found, coalesce(s.chars, 0) AS chars FROM d CROSS JOIN (VALUES ('S1'), ('S2'), ('S3'), ('S4')) t(sid) LEFT JOIN s ON s.rcept_no = d.rcept_no AND s.sid = t.sid""")
+def z06(spark, d):
+    """Every filing with a row for each section, whether it could be parsed or not."""
+    docs = table(spark, d, "filings_index").select(F.col("rcept_no").alias("doc"))
+    parsed = table(spark, d, "section_contents").select(F.col("rcept_no").alias("doc"), F.upper("section_id").alias("section_id"), "found", "text")
+    return S.with_every_section(docs, parsed).withColumnRenamed("doc", "rcept_no")
+
+
+@q("z07_variant_headers", _VARIANTS + """ SELECT section_id, count(DISTINCT doc) AS n_docs, count(DISTINCT doc) FILTER (WHERE variant = 'old') AS n_old, count(DISTINCT doc) FILTER (WHERE variant = 'new') AS n_new,
+ CAST(coalesce(sum(length(p)) FILTER (WHERE variant = 'old'), 0) AS BIGINT) AS chars_old, CAST(coalesce(sum(length(p)) FILTER (WHERE variant = 'new'), 0) AS BIGINT) AS chars_new FROM lines GROUP BY 1""")
+def z07(spark, d, plain=True):
+    """Both parse rules side by side, by section: documents with a body and the characters of their blocks."""
+    exact = {"threshold": None, "old_threshold": None, "min_chars": 0} if plain else {}
+    v = S.variants(block_sequence(spark, d, plain), **exact)
+    chars = F.aggregate("paragraphs", F.lit(0).cast("bigint"), lambda s, p: s + F.length(p))
+    of = lambda name, value: F.coalesce(F.sum(F.when(F.col("variant") == name, value)), F.lit(0)).cast("bigint")
+    one = F.lit(1)
+    return v.groupBy("section_id").agg(F.countDistinct("doc").alias("n_docs"), of("old", one).alias("n_old"), of("new", one).alias("n_new"), of("old", chars).alias("chars_old"), of("new", chars).alias("chars_new"))
+
+
+@q("z07_header_differences")
+def z07_headers(spark, d):
+    """Documents whose sections begin or end elsewhere under the old rule, by section."""
+    v = S.variants(block_sequence(spark, d))
+    side = lambda name: v.where(F.col("variant") == name).select("doc", "section_id", *[F.col(c).alias(f"{c}_{name}") for c in ("start_header", "end_header", "end_reason", "found")])
+    both = side("old").join(side("new"), ["doc", "section_id"], "full_outer")
+    differs = lambda c: F.count_if(~F.col(f"{c}_old").eqNullSafe(F.col(f"{c}_new")))
+    return both.groupBy("section_id").agg(F.count(F.lit(1)).alias("n_docs"), *[differs(c).alias(f"n_{c}_differs") for c in ("start_header", "end_header", "end_reason", "found")])
+
+
+@q("z08_doubtful_names")
+def z08(spark, d):
+    """The 30 least certain fuzzy matches of names to listings, for review."""
+    return _matches(spark, d).where("match_type = 'fuzzy'").orderBy("score", "name").limit(30).select("name", "choice", "score")
+
+
+@q("z09_length_panel", f"""WITH i AS (SELECT rcept_no, max({_CORP}) AS corp, max(fy) AS fy FROM filings_index WHERE rcept_no IS NOT NULL GROUP BY 1), s AS (SELECT rcept_no, upper(section_id) AS section_id, max(length(text)) AS n FROM section_contents WHERE found GROUP BY ALL)
+SELECT i.corp, i.fy, s.section_id, round(ln(n), 6) AS log_chars FROM i JOIN s USING (rcept_no) WHERE n > 0 AND section_id IN ('S1', 'S2', 'S3', 'S4')""")
+def z09(spark, d):
+    """Logarithms of section lengths with the firm and year of their filing."""
+    index = table(spark, d, "filings_index").where("rcept_no is not null").groupBy("rcept_no").agg(F.max(corp_code(F.col("corp_code"))).alias("corp"), F.max("fy").alias("fy"))
+    s = table(spark, d, "section_contents").where("found").select("rcept_no", F.upper("section_id").alias("sid"), F.length("text").alias("n"))
+    wide = s.groupBy("rcept_no").pivot("sid", sorted(S.TARGETS)).agg(F.max("n"))
+    return S.length_panel(index, wide, "rcept_no", ["corp", "fy"], {c: c for c in sorted(S.TARGETS)}).withColumn("log_chars", F.round("log_chars", 6))
+
+
+book.whole("z07_variant_headers_whole", "z07_variant_headers")
 queries, oracle_sql = book.queries, book.oracle_sql

@@ -10,8 +10,9 @@ from filamento.operators import html as H
 from filamento.operators import sections as S
 from filamento.operators import tables as TB
 from filamento.plans.base import Book
-from filamento.plans.q_text import _NUM_RE
+from filamento.plans.q_text import _ARTIFACTS, _NUM_RE
 from filamento.plans.runtime import table
+from filamento.sources import synthetic
 
 book = Book()
 q = book.query
@@ -112,14 +113,23 @@ def _sections(spark, d):
     return table(spark, d, "section_contents").where("paragraphs is not null").select("section_key", "paragraphs").distinct()
 
 
-@q("d09_merged_paragraphs")
+_SHORT = "length(x.o[1]) < 10 OR regexp_matches(x.o[1], '^[\\s()\\[\\]{}<>·ㆍ・,.:;\\-–—_/\\\\|~!@#$%^&*+=''\"’‘“”]*$')"
+_FOLD = (
+    "list_reduce(list_prepend({{o: []::VARCHAR[], h: ''}}, list_transform({}, lambda p: {{o: [p], h: ''}})), lambda a, x: CASE WHEN NOT (" + _SHORT.replace("{", "{{").replace("}", "}}") + ") THEN {{o: list_append(a.o, CASE WHEN a.h = '' THEN x.o[1] ELSE a.h || ' ' || x.o[1] END), h: ''}} "
+    "WHEN len(a.o) > 0 AND length(a.o[-1]) + 1 + length(x.o[1]) <= 2000 THEN {{o: list_append(list_slice(a.o, 1, len(a.o) - 1), a.o[-1] || ' ' || x.o[1]), h: a.h}} WHEN len(a.o) > 0 THEN {{o: list_append(a.o, x.o[1]), h: a.h}} ELSE {{o: a.o, h: CASE WHEN a.h = '' THEN x.o[1] ELSE a.h || ' ' || x.o[1] END}} END)"
+)
+_TRIMMED = "list_filter(list_transform({}, lambda p: regexp_replace({}, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
+_ENDED = "SELECT section_key, to_json(CASE WHEN f.h = '' THEN f.o ELSE [f.h] END)::VARCHAR AS paragraphs FROM (SELECT section_key, {} AS f FROM (SELECT DISTINCT section_key, paragraphs FROM section_contents WHERE paragraphs IS NOT NULL))"
+
+
+@q("d09_merged_paragraphs", _ENDED.format(_FOLD.format(_TRIMMED.format("paragraphs", "p"))))
 def d09(spark, d):
-    return _sections(spark, d).select("section_key", S.merged(F.col("paragraphs")).alias("paragraphs"))
+    return _sections(spark, d).select("section_key", F.to_json(S.merged(F.col("paragraphs"))).alias("paragraphs"))
 
 
-@q("d10_derived_clean")
+@q("d10_derived_clean", _ENDED.format(_FOLD.format(_TRIMMED.format("paragraphs", "regexp_replace(" + _ARTIFACTS.format("p") + ", ' {2,}', ' ', 'g')"))))
 def d10(spark, d):
-    return _sections(spark, d).select("section_key", S.derived_clean(F.col("paragraphs")).alias("paragraphs"))
+    return _sections(spark, d).select("section_key", F.to_json(S.derived_clean(F.col("paragraphs"))).alias("paragraphs"))
 
 
 def _tables(spark, d):
@@ -206,6 +216,18 @@ def d18(spark, d):
     return _tables(spark, d).select("section_key", "table_index", H.is_layout(H.grids("html")).alias("is_layout"))
 
 
+@q("d18_planted_layouts", "SELECT c_custkey, c_custkey % 3 <> 1 AND length(c_name) * (1 + c_custkey % 20) >= 200 AS is_layout FROM customer")
+def d18_planted(spark, d):
+    """Tables made of the customers: one cell, four rows of two columns, three rows of one column."""
+    k, long = F.col("c_custkey"), F.repeat("c_name", (1 + F.col("c_custkey") % 20).cast("int"))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+    short = cell(F.lit("x"))
+    rows = F.when(k % 3 == 0, row(cell(long))).when(k % 3 == 1, F.concat(row(short, cell(long)), *[row(short, short)] * 3)).otherwise(F.concat(row(short), row(cell(long)), row(short)))
+    html = F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html")
+    return table(spark, d, "customer").select("c_custkey", html).select("c_custkey", H.is_layout(H.grids("html")).alias("is_layout"))
+
+
 _BLOCK_ROWS = "b AS (SELECT block_key, any_value(rcept_no) AS rcept_no, any_value(block_index) AS i, any_value(kind) AS kind, any_value(text) AS text FROM blocks GROUP BY 1)"
 _CAPTIONED = "c AS (SELECT rcept_no, block_key, CASE WHEN length(prev) <= 120 THEN prev END AS caption FROM (SELECT rcept_no, block_key, kind, last_value(CASE WHEN kind = 'text' AND length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY rcept_no ORDER BY i, block_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b) WHERE kind = 'table')"
 
@@ -251,6 +273,17 @@ def d22(spark, d):
     return new.unionByName(old)
 
 
+
+@q("s12_synthetic_sections", "SELECT lpad(CAST(f AS VARCHAR), 8, '0') AS corp_code, CAST(y AS INTEGER) AS fy, s AS section_id, true AS found, CASE WHEN y >= 2020 THEN 3 ELSE 0 END AS n_template, 12 + CASE WHEN y >= 2020 THEN 3 ELSE 0 END AS n_paragraphs FROM range(1, 31) a(f), range(2018, 2022) b(y), (VALUES ('S1'), ('S2'), ('S3'), ('S4')) c(s)")
+def s12(spark, d):
+    """Invented filings through blocks and sections: every section whole, template paragraphs from 2020 on."""
+    made = synthetic.filings(spark, 30, (2018, 2021)).select("corp_code", "fy", F.col("rcept_no").alias("doc"), "html")
+    blocks = made.select("doc", F.posexplode(H.blocks(F.col("html"))).alias("idx", "b")).select("doc", "idx", "b.kind", X.clean_text(F.col("b.text")).alias("text"))
+    parts = S.extract(blocks).join(made.select("doc", "corp_code", "fy"), "doc")
+    templates = F.size(F.filter("paragraphs", lambda p: p.isin(*synthetic.TEMPLATES)))
+    return parts.select("corp_code", "fy", "section_id", "found", templates.alias("n_template"), F.size("paragraphs").alias("n_paragraphs"))
+
+
 for _name in ("d03_section_name_exact", "d04_header_candidates", "d05_section_spans", "d06_collected_span", "d07_extracted_sections"):
     book.whole(f"{_name}_whole", _name)
 queries, oracle_sql = book.queries, book.oracle_sql

@@ -159,6 +159,17 @@ def test_aggregates(spark):
     assert verdicts == {"a": "PASS", "b": "undecided", "c": "FAIL"}
 
 
+def test_snapshot_needs_a_source_of_market_values(spark):
+    listed = spark.createDataFrame([("1", "가"), ("2", "나은행"), ("3", "다스팩"), (None, "x"), ("1", None)], "code string, name string")
+    caps = spark.createDataFrame([("1", 5.0), ("2", 7.0), ("4", 3.0), ("3", 1.0)], "code string, cap double")
+    bank = spark.createDataFrame([("2",), ("2",), (None,)], "code string")
+    opts = {"code": "code", "name": "name", "value": "cap", "patterns": ("스팩",)}
+    got = {r.code: r.excluded_reason for r in I.snapshot(listed, caps, bank, method="file", **opts).collect()}
+    assert got == {"1": None, "2": "sector", "3": "name", "4": None}
+    with pytest.raises(remote.MarketCapSourceUnavailable):
+        I.snapshot(listed, caps, bank, method=None, **opts)
+
+
 def test_core_never_imports_the_subpackage():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['filamento.llm'] = None\nimport __spark_entry__ as e\nassert 'p2_found' in e.queries() and 'p1_found' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"

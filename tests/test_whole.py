@@ -58,7 +58,7 @@ def test_paragraph_changes_hold_every_paragraph(spark, folder):
     assert pairs == {(a[0], b[0], 1.0) for a, b in itertools.combinations(sorted(want), 2)}
     assert [(r.n_pairs, r.n_corps) for r in rows(spark, folder, "m09_common_paragraphs_whole")] == [(3, 3)]
     assert [(r.n_pairs, r.n_clean, r.reduction) for r in rows(spark, folder, "m10_recounted_pairs_whole")] == [(3, 3, 0.0)]
-    assert [tuple(r) for r in rows(spark, folder, "m11_pair_taxonomy_whole")] == [("law", 3)]
+    assert [tuple(r) for r in rows(spark, folder, "m11_pair_taxonomy_whole")] == [("S3", "law", 3)]
     assert {r.n_partners for r in rows(spark, folder, "m12_partner_counts_whole")} == {2}
     assert [tuple(r) for r in rows(spark, folder, "j09_cross_group_pairs_whole")] == [(2021, 3)]
 
