@@ -144,7 +144,28 @@ def test_officer_and_lawsuit_queries_read_every_table(spark, tmp_path):
     law = "<table><tr><th>사건번호</th><th>원고</th><th>소송가액(억원)</th><th>진행상황</th></tr><tr><td>2023가합7</td><td>다</td><td>3</td><td>1심</td></tr></table>"
     rows = [(7, [OFFICERS.replace("가나다", "아자차"), None]), (8, [law]), (9, None)]
     spark.createDataFrame(rows, "section_key bigint, tables_html array<string>").write.parquet(str(tmp_path / "section_contents.parquet"))
+    spark.createDataFrame([(5, "Supplier#5")], "s_suppkey bigint, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(60, "Customer#60", 12.7), (61, "Customer#61", -3.0)], "c_custkey bigint, c_name string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     names = {r.name for r in q_sections.d13(spark, str(tmp_path)).collect()}
-    assert {"아자차", "가나다", "라마바"} == names
+    assert names == {"아자차", "라마바", "Supplier#5"}
     cases = {(r.case_no, r.amount_krw) for r in q_sections.d16(spark, str(tmp_path)).collect()}
-    assert ("2023가합7", 300000000.0) in cases and len(cases) == 3
+    assert cases == {("2023가합7", 300000000.0), ("2020가합60", 12000.0), ("2020가합61", 300000000.0)}
+
+
+def test_tables_of_odd_shapes(spark):
+    ragged = "<table><tr><td>성명<td>직위<td>재직기간<tr><td>가(주1)<td>상무<tr><td>합계<tr></table>"
+    renamed = "<table><tr><th>임원명</th><th>직위</th><th>재직기간</th></tr><tr><td>나</td><td>이사</td><td>2년</td></tr></table>"
+    df = spark.createDataFrame([(1, ragged), (2, renamed), (3, "<p>글</p>"), (4, None), (5, "")], "doc int, h string")
+    assert {(r.doc, r.name, r.tenure_months) for r in TB.officer_rows(df, "doc", "h").collect()} == {(1, "가", None)}
+    own = {**TB.OFFICER_COLUMNS, "name": ("임원명",)}
+    assert {(r.doc, r.name, r.tenure_months) for r in TB.officer_rows(df, "doc", "h", own).collect()} == {(2, "나", 24.0)}
+    law = df.where("doc = 3").selectExpr("doc", "0 as table_index", "'<table><tr><td>원고</td><td>피고</td></tr><tr><td>a</td><td>b</td></tr></table>' as h", "'소송 현황' as c")
+    assert [r.i.is_lawsuit for r in TB.lawsuit_tables(law, "doc", "h").select(F.col("info").alias("i")).collect()] == [False]
+    assert [(r.i.is_lawsuit, r.i.rows[0].defendant) for r in TB.lawsuit_tables(law, "doc", "h", "c").select(F.col("info").alias("i")).collect()] == [(True, "b")]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text(alphabet="가A1 \u3000\u00a0\u200b&cr;◆click『』(주)※*\n\t", max_size=30))
+def test_clean_text_is_the_same_in_python(spark, value):
+    got = spark.createDataFrame([(value,)], "s string").select(X.clean_text(F.col("s"))).first()[0]
+    assert X.plain_clean(value) == got
