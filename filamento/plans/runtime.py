@@ -41,13 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the tables this process has written and not dropped.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/filamento/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` has written in this process; results that still read them are gone.
+    The number of tables dropped. For long sessions, between jobs."""
+    dropped = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by keys into all shuffle partitions, before a step that multiplies rows: adaptive
     execution would otherwise gather a small input of a large computation in a few tasks."""

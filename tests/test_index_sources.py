@@ -112,6 +112,14 @@ def test_files_written_by_tasks(spark, tmp_path):
             K.write_files(spark.createDataFrame([bad], "name string, text string"), f"file://{tmp_path}/bad", "name", "text")
 
 
+def test_written_tables_can_be_dropped(spark):
+    runtime.drop_written(spark)
+    written = runtime.materialize(spark.range(3), "drop")
+    assert written.count() == 3 and runtime.drop_written(spark) == 1 and runtime.drop_written(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST"):
+        written.count()
+
+
 def test_a_cluster_must_name_the_shared_folder():
     class Session:
         class conf:
