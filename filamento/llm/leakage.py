@@ -4,7 +4,7 @@ Corpus texts are cut into overlapping passages and weighted by TF-IDF over the c
 the evaluation items. A randomised SVD, computed over all passages in distributed passes, gives a
 latent space in which a coarse index of the items' windows is searched by cosine. Candidates are then
 checked against the whole text: by their longest common run, and by longest common subsequence and
-numbers for paraphrases.
+answers for paraphrases.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ RANK, EXTRA = 256, 16  # of the latent space, and columns beyond it while it is
 COSINE = 0.25
 CAPTURED = 0.5  # passages with a smaller share of their weight in the latent space are compared exactly
 PROBES = 12  # cells of the coarse index a passage looks into
-SHARE = 0.6  # of an item's characters in common order, from which a passage that keeps its numbers is a paraphrase
+SHARE = 0.6  # of an item's characters in common order, from which a passage that keeps its answers is a paraphrase
+OWN, OWN_SHARE = 4, 0.25  # n-grams only one item has, and the share of them a paraphrase of it keeps
 BLOCK_ITEMS = 10_000  # items held in memory at once; more are taken in blocks
 
 _OTHER = re.compile(r"[\W_]+")
@@ -311,6 +312,24 @@ class Runs:
         return best
 
 
+class Answers:
+    """What an item asks about: its numbers, and the n-grams no other item has (names, amounts, terms).
+    Items made after one pattern share the rest, so that alone tells no leak."""
+
+    def __init__(self, texts: list[str]):
+        self.numbers = [re.findall(r"\d+", y) for y in texts]
+        sets = [np.unique(grams(y, OWN)) for y in texts]
+        found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+        once = found[n == 1]
+        self.own = [s[np.isin(s, once)] for s in sets]
+
+    def kept(self, around: str, item: int) -> bool:
+        if not all(v in around for v in self.numbers[item]):
+            return False
+        own = self.own[item]
+        return not len(own) or float(np.isin(own, grams(around, OWN)).mean()) >= OWN_SHARE
+
+
 def subsequence(x: str, y: str) -> int:
     """Length of the longest common subsequence, bit-parallel over ``y``."""
     if not x or not y:
@@ -348,7 +367,7 @@ def share_in_order(around: str, item: str, piece: int = RUN) -> float:
     return max(whole, held / len(item))
 
 
-_LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("run", T.IntegerType()), T.StructField("common_share", T.DoubleType()), T.StructField("numbers_kept", T.BooleanType())])
+_LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("run", T.IntegerType()), T.StructField("common_share", T.DoubleType()), T.StructField("answer_kept", T.BooleanType())])
 _LEAK_ARROW = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_())
 
 
@@ -358,7 +377,7 @@ def _checked(documents: DataFrame, shared, idf: np.ndarray, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, (windows, basis) = shared.value, index.value
         runs = Runs(items.texts)
-        numerals = [re.findall(r"\d+", y) for y in items.texts]
+        answers = Answers(items.texts)
         for b in batches:
             texts = [normal(t) for t in b.column(1).to_pylist()]
             doc, start, known, sizes = [], [], [], []
@@ -384,7 +403,7 @@ def _checked(documents: DataFrame, shared, idf: np.ndarray, index) -> DataFrame:
                                 continue
                             checked = s + WINDOW
                             around = x[max(0, s - len(y)) : s + 2 * WINDOW + len(y)]
-                            if all(v in around for v in numerals[item]):
+                            if answers.kept(around, item):
                                 kept, share = True, max(share or 0.0, share_in_order(around, y))
                     out.append((ids[d], items.ids[item], max(c for c, _ in at), n, share, kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, _LEAK_ARROW)], _LEAK.names)
@@ -409,14 +428,14 @@ def _block(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | Non
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, run, common_share, numbers_kept) of candidate pairs.
+    """(doc_id, item_id, cosine, run, common_share, answer_kept) of candidate pairs.
 
     ``run`` is the longest common run of letters and digits if it reaches RUN, else 0: the pairs with
     a run are leaks. For the rest, ``common_share`` (the share of the item's characters found in the same
     order around a candidate passage, or of its pieces where those changed places) and
-    ``numbers_kept`` (the numbers of the item all occur there) tell paraphrases. Every candidate
-    passage of a pair is looked at: the greatest share of those that keep the numbers is told, and
-    none where no passage keeps them. Null texts and ids have no pairs; an item shorter than RUN can
+    ``answer_kept`` (the numbers of the item all occur there, and at least OWN_SHARE of the n-grams no
+    other item has) tell paraphrases. Every candidate passage of a pair is looked at: the greatest share
+    of those that keep the answers is told, and none where no passage keeps them. Null texts and ids have no pairs; an item shorter than RUN can
     have no run. Repeated rows give one row. The corpus is read twice for every BLOCK_ITEMS items, and
     no text of it is shuffled.
     """

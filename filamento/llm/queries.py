@@ -93,7 +93,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where(f"run > 0 or (common_share >= {leakage.SHARE} and numbers_kept)")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where(f"run > 0 or (common_share >= {leakage.SHARE} and answer_kept)")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -264,7 +264,7 @@ def test_paraphrases_with_few_known_grams(spark):
         # a verbatim scrap of 30 characters, more like the item's windows than any passage of the paraphrase
         docs.append((d, say(400) + "".join(t) + say(700) + items[d % 8][1][20:50] + say(600), "x"))
     frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)
-    rows = leakage.leaks(*frames).where("common_share >= 0.6 and numbers_kept").collect()
+    rows = leakage.leaks(*frames).where("common_share >= 0.6 and answer_kept").collect()
     got = {(r.doc_id, r.item_id): r.common_share for r in rows}
     assert set(got) == {(d, d % 8) for d in range(24)} and min(got.values()) > 0.9 and not any(r.run for r in rows)
 
@@ -290,11 +290,21 @@ def test_recall_of_paraphrases(spark):
     say = lambda n: " ".join(rnd.choice(WORDS) if rnd.random() < 0.4 else word() for _ in range(n))
     items = [(i, f"{say(22)} {100 + i}개 {say(22)} {2000 + i}.", "x") for i in range(40)]
     docs = [(d, f"{say(60)} {paraphrase(rnd, items[d % 40][1])} {say(80)}", "x") for d in range(120)] + [(1000 + d, say(200), "x") for d in range(60)]
-    rows = leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).where(f"run > 0 or (common_share >= {leakage.SHARE} and numbers_kept)").collect()
+    rows = leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).where(f"run > 0 or (common_share >= {leakage.SHARE} and answer_kept)").collect()
     got, want = {(r.doc_id, r.item_id) for r in rows}, {(d, d % 40) for d in range(120)}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 2 and sum(not r.run for r in rows) > 60
 
 
+def test_items_of_one_pattern_are_no_leaks_of_each_other(spark):
+    rnd = random.Random(47)
+    name = lambda: "".join(rnd.choice("bdfghklmprstvz") + rnd.choice("aeio") for _ in range(4))
+    ask = lambda: f"Read the filing passage and answer. The {name()} clause lets {name()} hold 39 crates of {name()} at the {name()} depot until {name()} confirms the {name()} terms of the {name()} panel."
+    items = [(i, ask(), "x") for i in range(30)]
+    docs = [(d, f"{ask()} {ask()}", "x") for d in range(40)] + [(100 + d, "New: " + items[d][1].replace("passage", "text").replace("confirms", "has confirmed"), "x") for d in range(10)]
+    rows = leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).where(f"run > 0 or (common_share >= {leakage.SHARE} and answer_kept)").collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(100 + d, d) for d in range(10)}
+
+
 def test_recall_of_the_index_and_blocks_of_items(spark, monkeypatch):
     rnd = random.Random(43)
     say = lambda n: "".join(rnd.choice("가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허12345") for _ in range(n))
