@@ -128,10 +128,23 @@ def t12(spark, d):
 _TENURE_ROWS = "('3년 2개월'), ('12개월'), ('2년'), ('3년0월'), ('-'), (''), ('약 3년'), ('10월'), ('해당없음')"
 
 
+#: White space as Java's Unicode classes have it.
+_WS = "[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_AND_PARAS = f"SELECT p AS s FROM {PARAS} WHERE p IS NOT NULL"
+
+
+def _with_paras(spark, d, rows):
+    """Given strings and every paragraph of the tables, each once."""
+    return values(spark, rows, "s").unionByName(_paras(spark, d).select(F.col("p").alias("s"))).distinct()
+
+
+_TENURE = "'^(?:(\\d+)년)?(?:(\\d+)(?:개월|월))?$'"
+
+
 @q("t13_tenure_months", f"""SELECT s, CASE WHEN a <> '' OR b <> '' THEN CAST(coalesce(TRY_CAST(a AS INT), 0) * 12 + coalesce(TRY_CAST(b AS INT), 0) AS DOUBLE) END AS months FROM
- (SELECT s, regexp_extract(replace(s, ' ', ''), '^(?:(\\d+)년)?(?:(\\d+)(?:개월|월))?$', 1) AS a, regexp_extract(replace(s, ' ', ''), '^(?:(\\d+)년)?(?:(\\d+)(?:개월|월))?$', 2) AS b FROM (VALUES {_TENURE_ROWS}) AS t(s))""")
+ (SELECT s, regexp_extract(t, {_TENURE}, 1) AS a, regexp_extract(t, {_TENURE}, 2) AS b FROM (SELECT s, regexp_replace(s, '{_WS}', '', 'g') AS t FROM (SELECT s FROM (VALUES {_TENURE_ROWS}) AS t(s) UNION {_AND_PARAS})))""")
 def t13(spark, d):
-    return values(spark, _TENURE_ROWS, "s").select("s", X.tenure_months(F.col("s")).alias("months"))
+    return _with_paras(spark, d, _TENURE_ROWS).select("s", X.tenure_months(F.col("s")).alias("months"))
 
 
 _BOOL_ROWS = "('등기임원'), ('미등기임원'), ('비상근'), ('상근'), ('Y'), ('N'), (''), ('-'), ('사외이사'), ('기타')"
@@ -139,18 +152,19 @@ _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
 @q("t14_tri_bool", f"""SELECT s, CASE WHEN t = '' THEN NULL WHEN len(list_filter({_list(X.NEGATIVE)}, lambda x: contains(t, x))) > 0 THEN false WHEN len(list_filter({_list(X.POSITIVE)}, lambda x: contains(t, x))) > 0 THEN true END AS flag FROM
- (SELECT s, lower(replace(s, ' ', '')) AS t FROM (VALUES {_BOOL_ROWS}) AS t(s))""")
+ (SELECT s, lower(regexp_replace(s, '{_WS}', '', 'g')) AS t FROM (SELECT s FROM (VALUES {_BOOL_ROWS}) AS t(s) UNION {_AND_PARAS}))""")
 def t14(spark, d):
-    return values(spark, _BOOL_ROWS, "s").select("s", X.tri_bool(F.col("s")).alias("flag"))
+    return _with_paras(spark, d, _BOOL_ROWS).select("s", X.tri_bool(F.col("s")).alias("flag"))
 
 
 _AMOUNT_ROWS = "('50,488', '소송가액(억원)'), ('297,641백만원', '금액'), ('-', '소송가액(천원)'), ('', ''), ('약 1,000원', '소가(원화단위: 천원)'), ('3.5조원', '청구액'), ('12', '금액')"
 _UNIT_SQL = "coalesce(map_extract(MAP {{'조': 1000000000000, '억': 100000000, '백만': 1000000, '천': 1000}}, regexp_extract({0}, '(조|억|백만|천)\\s*원', 1))[1], 1)"
 
 
-@q("t15_amount", f"""SELECT cell, header, TRY_CAST(replace(regexp_extract(replace(cell, ' ', ''), '[-+]?[\\d,]*\\.?\\d+'), ',', '') AS DOUBLE) * CASE WHEN regexp_matches(cell, '(조|억|백만|천)\\s*원') THEN {_UNIT_SQL.format('cell')} ELSE {_UNIT_SQL.format('header')} END AS krw FROM (VALUES {_AMOUNT_ROWS}) AS t(cell, header)""")
+@q("t15_amount", f"""SELECT cell, header, TRY_CAST(replace(regexp_extract(replace(cell, ' ', ''), '[-+]?[\\d,]*\\.?\\d+'), ',', '') AS DOUBLE) * CASE WHEN regexp_matches(cell, '(조|억|백만|천)\\s*원') THEN {_UNIT_SQL.format('cell')} ELSE {_UNIT_SQL.format('header')} END AS krw FROM (SELECT cell, header FROM (VALUES {_AMOUNT_ROWS}) AS t(cell, header) UNION SELECT p, '금액(천원)' FROM {PARAS} WHERE p IS NOT NULL)""")
 def t15(spark, d):
-    return values(spark, _AMOUNT_ROWS, "cell, header").select("cell", "header", X.amount(F.col("cell"), X.amount_unit(F.col("header"))).alias("krw"))
+    cells = values(spark, _AMOUNT_ROWS, "cell, header").unionByName(_paras(spark, d).select(F.col("p").alias("cell"), F.lit("금액(천원)").alias("header"))).distinct()
+    return cells.select("cell", "header", X.amount(F.col("cell"), X.amount_unit(F.col("header"))).alias("krw"))
 
 
 _KEYS = ["해당사항없음", "해당없음", "없음", "n/a", "없습니다"]

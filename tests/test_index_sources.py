@@ -16,7 +16,7 @@ from filamento.operators import quality as Q
 from filamento.plans import runtime
 from filamento.plans.runtime import hot_keys, key_counts, salted_join
 from filamento.sources import archive as A
-from filamento.sources import config, files, remote
+from filamento.sources import config, files, remote, reports
 from filamento.sources import sinks as K
 
 D = lambda s: dt.date.fromisoformat(s)
@@ -112,6 +112,20 @@ def test_files_written_by_tasks(spark, tmp_path):
             K.write_files(spark.createDataFrame([bad], "name string, text string"), f"file://{tmp_path}/bad", "name", "text")
 
 
+def test_reports(spark):
+    df = spark.createDataFrame([("a|b", 1234, 0.5), (None, None, 2.0)], "name string, n int, v double").coalesce(1)
+    assert reports.markdown(df, "T") == "## T\n\n| name | n | v |\n|---|---:|---:|\n| a\\|b | 1,234 | 0.5 |\n|  |  | 2 |\n"
+    assert reports.markdown(df.limit(0)).count("\n") == 2
+    with pytest.raises(reports.TooManyRows):
+        reports.markdown(df, most=1)
+    lines = spark.createDataFrame([(2015, 1.0, "x"), (2016, 3.0, "x"), (2015, 2.0, "<y>"), (2016, None, "x")], "y int, v double, s string")
+    svg = reports.line_svg(lines, "y", "v", "s")
+    assert svg.count("<polyline") == 2 and "&lt;y&gt;" in svg and "40,280 600,40" in svg and "<svg" in reports.line_svg(lines.limit(0), "y", "v")
+    page = reports.review_page(df.selectExpr("'k<1' as k", "name").limit(1), "k", ["name"])
+    assert page.count("<article") == 1 and "k&lt;1" in page and "review.json" in page
+    assert reports.review_answers('{"rows": [{"key": "a", "verdict": "right"}, {"key": "b", "verdict": null}, {"key": "c", "verdict": "wrong"}]}') == {"a": True, "b": None, "c": False}
+
+
 def test_written_tables_can_be_dropped(spark):
     runtime.drop_written(spark)
     written = runtime.materialize(spark.range(3), "drop")
