@@ -370,3 +370,15 @@ def test_word_grades_are_over_all_graded_documents(spark):
     for t in (few, every):
         assert {b: t["graded_n"][b] for b in np.flatnonzero(t["graded_n"])} == n and {b: t["graded_s"][b] for b in np.flatnonzero(t["graded_s"])} == s
         assert t["mean"] == pytest.approx(3.0)
+
+
+def test_labels_follow_a_long_chain(spark):
+    base = "이 문서는 관리자가 아직 올리지 않았으니 담당 부서로 연락한 뒤에 다시 열람하여 주시기를 부탁드립니다 감사합니다"
+    chain = [base]
+    for k in range(0, 54, 2):  # each link changes two characters more, far ends have little in common
+        chain.append(chain[-1][:k] + "거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후기니디리미비시이지치키티피히"[k : k + 2] + chain[-1][k + 2 :])
+    rows = [(i, t, "message" if i == 0 else None) for i, t in enumerate(chain)]
+    assert residue.similarity(chain[0], chain[-1]) < 0.3
+    got = {r.uid for r in residue.residue_units(units(spark, rows)).collect()}
+    near = {i for i in range(1, len(chain)) if residue.similarity(chain[i - 1], chain[i]) >= residue.SIMILAR}
+    assert near == set(range(1, len(chain))) and got == set(range(len(chain)))
