@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -187,13 +186,10 @@ def set_changes(paras: DataFrame, *, entity: str, section: str, period: str, tex
     return now.join(pairs, [entity, section, period], "left_semi").join(other, [entity, section, period, text], "left_anti")
 
 
-_SIG = T.StructType([T.StructField("uid", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-
-
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [M.bands(M.signature(M.grams(t)), BAND) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["uid", "bands"])
+@arrow(T.ArrayType(T.LongType()))
+def _bands(texts: pa.Array) -> pa.Array:
+    """MinHash bands of the 3-gram set of each text."""
+    return pa.array([M.bands(M.signature(M.grams(t)), BAND) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
 
 @arrow(T.DoubleType())
@@ -210,12 +206,13 @@ def near_texts(texts: DataFrame, text: str, threshold: float = 0.8, within: list
     pair is checked once.
     """
     within = within or []
-    t = materialize(texts.where(F.col(text).isNotNull()).select(*within, F.col(text).alias("_t")).distinct().withColumn("uid", F.xxhash64(*within, "_t")), "near-texts")
-    bands = t.select("uid", "_t").mapInArrow(_band_rows, _SIG).select("uid", F.explode("bands").alias("band"))
-    keyed = bands.join(t.select("uid", *within), "uid")
-    counts = key_counts(keyed, [*within, "band"]).where("_n > 1")
-    shared = materialize(keyed.join(counts.drop("_n"), [*within, "band"], "left_semi"), "near-bands")
-    pairs = salted_join(shared, shared.withColumnRenamed("uid", "v"), [*within, "band"], counts=key_counts(shared, [*within, "band"])).where("uid < v").select(F.col("uid").alias("u"), "v").distinct()
+    one = spread(texts.where(F.col(text).isNotNull()).select(*within, F.col(text).alias("_t")).distinct(), *within, "_t")
+    t = materialize(one.withColumn("uid", F.xxhash64(*within, "_t")).withColumn("bands", _bands("_t")), "near-texts")
+    key = [*within, "band"]
+    keyed = t.select("uid", *within, F.explode("bands").alias("band"))
+    counts = materialize(key_counts(keyed, key).where("_n > 1"), "near-bands")
+    shared = keyed.join(counts.drop("_n"), key, "left_semi")
+    pairs = salted_join(shared, shared.withColumnRenamed("uid", "v"), key, counts=counts).where("uid < v").select(F.col("uid").alias("u"), "v").distinct()
     of = lambda u, c, *more: t.select(F.col("uid").alias(u), F.col("_t").alias(c), *more)
     met = pairs.join(of("u", "_a", *within), "u").join(of("v", "_b"), "v").withColumn("similarity", gram_jaccard("_a", "_b")).where(F.col("similarity") >= threshold)
     return met.select(*within, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "similarity")
@@ -227,7 +224,7 @@ def common_paragraphs(changed: DataFrame, *, entity: str, scope: list[str], text
     Pairs include equal texts (similarity 1). ``exclude`` holds (a, b) entity pairs, a < b, to leave
     out, such as members of one group. Rows are distinct (scope, entity, text).
     """
-    rows = changed.select(*scope, entity, text).distinct()
+    rows = materialize(changed.select(*scope, entity, text).distinct(), "changed")
     near = near_texts(rows, text, threshold, scope)
     equal = rows.groupBy(*scope, text).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*scope, F.col(text).alias("a"), F.col(text).alias("b"), F.lit(1.0).alias("similarity"))
     both = near.unionByName(near.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(equal)
