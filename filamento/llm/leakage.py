@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,14 @@ PROBES = 12  # cells of the coarse index a passage looks into
 SHARE = 0.6  # of an item's characters in common order, from which a passage that keeps its answers is a paraphrase
 OWN, OWN_SHARE = 4, 0.25  # n-grams only one item has, and the share of them a paraphrase of it keeps
 BLOCK_ITEMS = 10_000  # items held in memory at once; more are taken in blocks
+CHUNK = 1 << 17  # characters of texts that are cut into passages together, so that their arrays stay in the caches
+DISTINCT = 1 << 13  # distinct passages multiplied at once
+CELLS = 1 << 19  # pairs of passages and windows added up at once
 
 _OTHER = re.compile(r"[\W_]+")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_BASE = 1000003
+_KEPT = np.array([chr(c).isalnum() for c in range(1 << 16)])  # what _OTHER leaves of the first plane, and not its last place, where take() clips others to
 
 
 def normal(text: str | None) -> str:
@@ -43,18 +50,50 @@ def normal(text: str | None) -> str:
     return _OTHER.sub("", unicodedata.normalize("NFKC", text).lower()) if text else ""
 
 
-def grams(text: str, n: int = N) -> np.ndarray:
-    """64-bit hashes of the n-grams of a normal text, by position."""
-    a = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    if len(a) < n:
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the normal texts, one text after another, and the bounds of each."""
+    lowered = [unicodedata.normalize("NFKC", t).lower() if t else "" for t in texts]
+    codes = points("".join(lowered))
+    keep = _KEPT.take(codes, mode="clip")
+    beyond = np.flatnonzero(codes >= len(_KEPT))
+    keep[beyond] = [chr(c).isalnum() for c in codes[beyond].tolist()]
+    at = np.flatnonzero(keep)
+    return codes[at], np.searchsorted(at, np.cumsum([0, *map(len, lowered)]))
+
+
+def _polynomial(a: np.ndarray, n: int) -> np.ndarray:
+    """Of every n values in turn, the polynomial in _BASE: that of two halves, and of the last one where n is odd."""
+    if n == 1:
+        return a
+    half, size = n // 2, len(a) - n + 1
+    h = _polynomial(a, half)
+    h = h[:size] * np.uint64(pow(_BASE, half, 1 << 64)) + h[half : half + size]
+    return h * np.uint64(_BASE) + a[n - 1 :] if n % 2 else h
+
+
+def hashes(codes: np.ndarray, n: int = N) -> np.ndarray:
+    """64-bit hashes of the n-grams of code points, by position."""
+    if len(codes) < n:
         return np.zeros(0, np.uint64)
-    h = np.zeros(len(a) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(1000003) + a[k : len(a) - n + 1 + k]
-    h *= _MIX
+    h = _polynomial(codes.astype(np.uint64), n) * _MIX
     return h ^ (h >> np.uint64(31))
 
 
+def grams(text: str, n: int = N) -> np.ndarray:
+    """64-bit hashes of the n-grams of a normal text, by position."""
+    return hashes(points(text), n)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of stretches, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Rows:
     """Sparse rows: the distinct known n-grams of each (as places in the vocabulary), and how many unknown it has."""
 
@@ -64,9 +103,20 @@ class Rows:
         self.flat = np.concatenate(parts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
         self.unknown = np.array(unknown, np.int64)
 
+    @classmethod
+    def of(cls, flat: np.ndarray, sizes: np.ndarray, unknown: np.ndarray) -> Rows:
+        """Rows whose entries follow one another in ``flat``."""
+        out = cls([], [])
+        out.flat, out.sizes, out.unknown = flat.astype(np.int64), sizes.astype(np.int64), unknown.astype(np.int64)
+        out.starts = np.cumsum(out.sizes) - out.sizes
+        return out
+
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def chosen(self, rows: np.ndarray) -> Rows:
+        return Rows.of(self.flat[_spans(self.starts[rows], self.sizes[rows])], self.sizes[rows], self.unknown[rows])
+
     def weights(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight of every entry in unit rows, and each row's share that is known: unknown n-grams
         weigh as the mean of the vocabulary and are orthogonal to every item."""
@@ -78,12 +128,30 @@ class Rows:
     def times(self, w: np.ndarray, column: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rows (entries weighing ``w``, each in its hashed column) times a dense matrix."""
         out = np.empty((len(self), right.shape[1]), np.float32)
+        longest = np.argsort(-self.sizes, kind="stable")
         for i in range(0, len(self), 512):
-            j = min(i + 512, len(self))
-            a, b = self.starts[i], self.starts[j - 1] + self.sizes[j - 1]
-            out[i:j] = np.add.reduceat(right[column[self.flat[a:b]]] * w[a:b, None], self.starts[i:j] - a)
+            rows = longest[i : i + 512]  # first entries of all, second ones of those that have them, ...
+            starts, sizes, sums = self.starts[rows], self.sizes[rows], np.zeros((len(rows), right.shape[1]), np.float32)
+            for k in range(int(sizes[0])):
+                at = starts[: np.searchsorted(-sizes, -k)] + k
+                part = right[column[self.flat[at]]]
+                part *= w[at, None]
+                sums[: len(at)] += part
+            out[rows] = sums
         return out
 
+    def times_transposed(self, w: np.ndarray, column: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns that occur, and the rows of the transposed matrix times ``y`` at them."""
+        at = column[self.flat]
+        order = np.argsort(at, kind="stable")
+        row, w = np.repeat(np.arange(len(self)), self.sizes)[order], w[order]
+        columns, first = np.unique(at[order], return_index=True)
+        bounds = [*first.tolist(), len(order)]
+        out = np.empty((len(columns), y.shape[1]), np.float32)
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            out[k] = w[a:b] @ y[row[a:b]]
+        return columns, out
+
 
 class Items:
     """The evaluation items, their n-gram vocabulary and their windows."""
@@ -108,19 +176,51 @@ class Items:
     def passages(self, x: str) -> tuple[int, list[int], list[np.ndarray], list[int]]:
         """Of a normal text: the number of its passages, and of those with a known n-gram (all others
         are zero rows) where they start, their distinct known n-grams and how many unknown they have."""
-        h = grams(x)
-        count = max(1, -(-max(0, len(x) - WINDOW) // STRIDE) + 1) if x else 0
+        codes = points(x)
+        count, _, start, rows = self._cut(codes, np.array([0, len(codes)]))
+        return count, start.tolist(), np.split(rows.flat, rows.starts[1:]) if len(rows) else [], rows.unknown.tolist()
+
+    def passages_of(self, texts: list[str | None]) -> tuple[int, np.ndarray, np.ndarray, Rows]:
+        """The same of many texts, which need not be normal: the number of all passages, and of those with
+        a known n-gram the text, where they start in it, and their rows. Texts are taken CHUNK characters
+        at a time, a longer one by itself."""
+        ends = np.cumsum([len(t or "") for t in texts])
+        found, i = [(0, *np.zeros((2, 0), np.int64), Rows([], []))], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK, "right")))
+            count, text, start, rows = self._cut(*letters(texts[i:j]))
+            found.append((count, text + i, start, rows))
+            i = j
+        counts, text, start, rows = zip(*found)
+        return sum(counts), np.concatenate(text), np.concatenate(start), Rows.of(*(np.concatenate([getattr(r, c) for r in rows]) for c in ("flat", "sizes", "unknown")))
+
+    def _cut(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, Rows]:
+        sizes = np.diff(bounds)
+        count = int(np.where(sizes, -(-np.maximum(0, sizes - WINDOW) // STRIDE) + 1, 0).sum())
+        n_grams = np.maximum(0, sizes - N + 1)
+        n_starts = -(-n_grams // STRIDE)
+        before = np.cumsum(n_starts) - n_starts  # starts in the texts before each
+        h = hashes(codes)
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(42)).astype(np.int64)])
-        if not len(at):
-            return count, [], [], []
-        where = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
-        same = self.vocabulary[where] == h[at]
+        where = np.searchsorted(self.vocabulary, h[at])
+        same = self.vocabulary[np.minimum(where, len(self.vocabulary) - 1)] == h[at] if len(at) else at > 0
         at, where = at[same], where[same]
-        starts = np.arange(0, len(h), STRIDE)
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + SPAN)
-        held = np.flatnonzero(hi > lo)
-        unknown = np.minimum(SPAN, len(h) - starts[held]) - (hi - lo)[held]
-        return count, starts[held].tolist(), [np.unique(where[lo[k] : hi[k]]) for k in held], unknown.tolist()
+        text = np.searchsorted(bounds, at, "right") - 1
+        whole = at + N <= bounds[text + 1]  # the others lie across two texts
+        place, where, text = (at - bounds[text])[whole], where[whole], text[whole]
+        held, known = [], []  # passages, numbered through all texts, and the n-grams in them
+        for k in range(-(-SPAN // STRIDE)):
+            start = place // STRIDE - k
+            inside = (start >= 0) & (place - start * STRIDE < SPAN)
+            held.append((before[text] + start)[inside])
+            known.append(where[inside])
+        held, known = np.concatenate(held), np.concatenate(known)
+        numbers, n_known = np.unique(held, return_counts=True)
+        passage, flat = np.divmod(np.unique(held * len(self.vocabulary) + known), max(1, len(self.vocabulary)))
+        _, n_distinct = np.unique(passage, return_counts=True)
+        text = np.searchsorted(before, numbers, "right") - 1
+        start = (numbers - before[text]) * STRIDE
+        return count, text, start, Rows.of(flat, n_distinct, np.minimum(SPAN, n_grams[text] - start) - n_known)
 
 
 class Index:
@@ -169,16 +269,22 @@ class Index:
     def exact(self, rows: Rows, w: np.ndarray, chosen: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same for ``chosen`` rows by their own weights, over all windows that share an n-gram."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        for r in chosen.tolist():
-            a, b = rows.starts[r], rows.starts[r] + rows.sizes[r]
-            g, weight = rows.flat[a:b], w[a:b]
-            spans = [slice(self.post_bounds[k], self.post_bounds[k + 1]) for k in g]
-            windows = np.concatenate([self.post_window[s] for s in spans])
-            parts = np.concatenate([self.post_weight[s] * v for s, v in zip(spans, weight)])
-            found, at = np.unique(windows, return_inverse=True)
-            cos = np.bincount(at, parts)
-            keep = cos >= least[r]
-            out.append((np.full(int(keep.sum()), r), found[keep], cos[keep].astype(np.float32)))
+        part, n = rows.chosen(chosen), len(self.vectors)
+        weight = w[_spans(rows.starts[chosen], part.sizes)]
+        lo = self.post_bounds[part.flat]
+        n_posts = self.post_bounds[part.flat + 1] - lo
+        posts = np.concatenate([[0], np.cumsum(n_posts)])
+        cells = np.cumsum(posts[part.starts + part.sizes] - posts[part.starts] + n)
+        i = 0
+        while i < len(part):
+            j = max(i + 1, int(np.searchsorted(cells, (cells[i - 1] if i else 0) + CELLS, "right")))
+            e = slice(part.starts[i], part.starts[j - 1] + part.sizes[j - 1])
+            at = _spans(lo[e], n_posts[e])
+            row = np.repeat(np.repeat(np.arange(j - i), part.sizes[i:j]), n_posts[e])
+            cos = np.bincount(row * n + self.post_window[at], self.post_weight[at] * np.repeat(weight[e], n_posts[e]), (j - i) * n).reshape(j - i, n)
+            r, found = np.nonzero(cos >= least[chosen[i:j], None])
+            out.append((chosen[i + r], found, cos[r, found].astype(np.float32)))
+            i = j
         return tuple(np.concatenate(p) for p in zip(*out))
 
     def candidates(self, items: Items, rows: Rows, idf: np.ndarray, basis: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +294,7 @@ class Index:
         w, share = rows.weights(idf)
         least = (COSINE / np.maximum(share, 1e-6)).astype(np.float32)
         able = np.flatnonzero(share >= COSINE)
-        part = Rows([rows.flat[rows.starts[r] : rows.starts[r] + rows.sizes[r]] for r in able], rows.unknown[able])
+        part = rows.chosen(able)
         wp, _ = part.weights(idf)
         x = part.times(wp, items.column, basis)
         held = np.linalg.norm(x, axis=1)
@@ -221,13 +327,10 @@ def _passages(documents: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:
-            known, sizes, total = [], [], 0
-            for t in b.column(0).to_pylist():
-                n, _, k, s = items.passages(normal(t))
-                total += n
-                known += k
-                sizes += s
-            yield pa.RecordBatch.from_arrays([pa.array([*(k.astype(np.int32) for k in known), None], pa.list_(pa.int32())), pa.array([*sizes, total], pa.int64())], _PASSAGE.names)
+            total, _, _, rows = items.passages_of(b.column(0).to_pylist())
+            n = len(rows.flat)
+            bounds = pa.array(np.concatenate([rows.starts, [n, n]]), pa.int32(), mask=np.arange(len(rows) + 2) == len(rows))  # the last row is null
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(bounds, pa.array(rows.flat, pa.int32())), pa.array([*rows.unknown.tolist(), total], pa.int64())], _PASSAGE.names)
 
     return documents.where("doc_id is not null and text is not null").select("text").mapInArrow(run, _PASSAGE)
 
@@ -235,25 +338,34 @@ def _passages(documents: DataFrame, shared) -> DataFrame:
 def _product(passages: DataFrame, shared, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Xᵀ X right over all passages X: each task sums its own, and blocks of rows are summed by key.
 
-    What comes back has the fixed size FEATURES x columns. A block's sums are added as they stream in.
+    Equal passages are multiplied once and count as often as they occur. What comes back has the fixed
+    size FEATURES x columns. A block's sums are added as they stream in.
     """
     width, size = right.shape[1], FEATURES // BLOCKS
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = shared.value.column
         total = np.zeros((FEATURES, width), np.float32)
-        for b in batches:
-            rows = Rows([np.array(k) for k in b.column(0).to_pylist()], b.column(1).to_numpy())
+
+        def multiply(counts: Counter) -> None:
+            flat = np.frombuffer(b"".join(k for k, _ in counts), np.int32)
+            rows = Rows.of(flat, np.array([len(k) // 4 for k, _ in counts]), np.array([n for _, n in counts]))
             w, share = rows.weights(idf)
             w = w * np.repeat(share, rows.sizes)
-            y = rows.times(w, column, right)
-            at = column[rows.flat]
-            order = np.argsort(at, kind="stable")
-            row = np.repeat(np.arange(len(rows)), rows.sizes)[order]
-            for i in range(0, len(order), 1 << 15):
-                cols, first = np.unique(at[order[i : i + (1 << 15)]], return_index=True)
-                part = y[row[i : i + (1 << 15)]] * w[order[i : i + (1 << 15)], None]
-                total[cols] += np.add.reduceat(part, first)
+            times = np.array(list(counts.values()), np.float32)
+            at, sums = rows.times_transposed(w, column, rows.times(w, column, right) * times[:, None])
+            total[at] += sums
+
+        counts: Counter = Counter()
+        for b in batches:
+            known = b.column(0)
+            data, ends = known.flatten().to_numpy().astype(np.int32, copy=False).tobytes(), np.cumsum(pc.list_value_length(known).to_numpy()).tolist()
+            counts.update(zip((data[4 * i : 4 * j] for i, j in zip([0, *ends], ends)), b.column(1).to_pylist()))
+            if len(counts) >= DISTINCT:
+                multiply(counts)
+                counts.clear()
+        if counts:
+            multiply(counts)
         full = [k for k in range(BLOCKS) if total[k * size : (k + 1) * size].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in full], pa.binary())], ["block", "sums"])
 
@@ -319,9 +431,9 @@ class Answers:
     def __init__(self, texts: list[str]):
         self.numbers = [re.findall(r"\d+", y) for y in texts]
         sets = [np.unique(grams(y, OWN)) for y in texts]
-        found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-        once = found[n == 1]
-        self.own = [s[np.isin(s, once)] for s in sets]
+        _, at, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        once = np.split(n[at] == 1, np.cumsum([len(s) for s in sets]))
+        self.own = [s[o] for s, o in zip(sets, once)]
 
     def kept(self, around: str, item: int) -> bool:
         if not all(v in around for v in self.numbers[item]):
@@ -379,20 +491,15 @@ def _checked(documents: DataFrame, shared, idf: np.ndarray, index) -> DataFrame:
         runs = Runs(items.texts)
         answers = Answers(items.texts)
         for b in batches:
-            texts = [normal(t) for t in b.column(1).to_pylist()]
-            doc, start, known, sizes = [], [], [], []
-            for d, x in enumerate(texts):
-                _, s, k, n = items.passages(x)
-                doc += [d] * len(s)
-                start += s
-                known += k
-                sizes += n
+            texts = b.column(1).to_pylist()
+            _, doc, start, rows = items.passages_of(texts)
+            row, item, cos = windows.candidates(items, rows, idf, basis)
             near: dict[int, dict[int, list[tuple[float, int]]]] = {}
-            for r, item, cos in zip(*(v.tolist() for v in windows.candidates(items, Rows(known, sizes), idf, basis))):
-                near.setdefault(doc[r], {}).setdefault(item, []).append((cos, start[r]))
+            for d, i, c, s in zip(doc[row].tolist(), item.tolist(), cos.tolist(), start[row].tolist()):
+                near.setdefault(d, {}).setdefault(i, []).append((c, s))
             out, ids = [], b.column(0).to_pylist()
             for d, found in near.items():
-                x = texts[d]
+                x = normal(texts[d])
                 longest = runs.longest(x, set(found))
                 for item, at in found.items():
                     y, n, share, kept = items.texts[item], longest.get(item, 0), None, None

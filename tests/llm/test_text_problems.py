@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -329,6 +330,66 @@ def test_recall_of_the_index_and_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.run) for r in leakage.leaks(*frames).where("run > 0").collect()} == whole and len(whole) >= 40
 
 
+def test_passages_of_many_texts():
+    rnd = random.Random(53)
+    say = lambda n: "".join(rnd.choice("가나다라마바사아자차카타파하 거너더러머 1２３Ａb_") for _ in range(n))
+    items = [(i, say(150)) for i in range(6)] + [(6, "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇 ΟΔΟΣ ﬁle")]
+    held = leakage.Items(items)
+    words = {leakage.normal(t)[k : k + leakage.N] for _, t in items for k in range(len(leakage.normal(t)) - leakage.N + 1)}
+    half = items[0][1][:40]
+    docs = [None, "", "_", half[:20], half[20:], "ΟΔΟΣ", "😀" * 70, "𠀀𠀁𠀂_𠀃𠀄😀𠀅𠀆 x", "e\u0301" * 80] + [items[k % 7][1][k % 50 : k % 50 + k] + "".join(chr(rnd.choice([rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000), rnd.randrange(128)])) for _ in range(k)) + items[k % 5][1] * (k % 3) for k in range(120)]
+    want, total = [], 0
+    for d, t in enumerate(docs):
+        x = leakage.normal(t)
+        total += len(range(0, max(1, len(x) - leakage.WINDOW + leakage.STRIDE), leakage.STRIDE)) if x else 0
+        for s in range(0, max(0, len(x) - leakage.N + 1), leakage.STRIDE):
+            own = [x[k : k + leakage.N] for k in range(s, min(s + leakage.SPAN, len(x) - leakage.N + 1))]
+            if known := [g for g in own if g in words]:
+                want.append((d, s, sorted({int(np.searchsorted(held.vocabulary, leakage.grams(g)[0])) for g in known}), len(own) - len(known)))
+    for chunk in (leakage.CHUNK, 500):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(leakage, "CHUNK", chunk)
+            count, doc, start, rows = held.passages_of(docs)
+        known = [p.tolist() for p in np.split(rows.flat, rows.starts[1:])]
+        assert count == total and list(zip(doc.tolist(), start.tolist(), known, rows.unknown.tolist())) == want and len(want) > 300
+    assert held.passages_of([])[0] == 0 and len(held.passages_of([None, "xyz"])[3]) == 0
+
+
+def test_products_of_repeated_passages(spark):
+    rnd = random.Random(59)
+    items = [(i, "".join(rnd.choice("가나다라마바사아자차카타") for _ in range(120))) for i in range(5)]
+    held = leakage.Items(items)
+    docs = [(d, items[d % 5][1][: 30 + d % 90] + "뷁" * (d % 4), "x") for d in range(300)] + [(900, "xyz", "x")]
+    _, _, _, rows = held.passages_of([t for _, t, _ in docs])
+    idf = np.linspace(1, 2, len(held.vocabulary), dtype=np.float32)
+    w, share = rows.weights(idf)
+    dense = np.zeros((len(rows), leakage.FEATURES))
+    np.add.at(dense, (np.repeat(np.arange(len(rows)), rows.sizes), held.column[rows.flat]), w * np.repeat(share, rows.sizes))
+    right = np.random.default_rng(1).standard_normal((leakage.FEATURES, 9)).astype(np.float32)
+    shared = spark.sparkContext.broadcast(held)
+    passages = leakage._passages(spark.createDataFrame(docs, DOCS), shared).persist()
+    assert passages.where("known is not null").count() == len(rows)
+    got = leakage._product(passages, shared, idf, right)
+    assert np.allclose(got, dense.T @ (dense @ right), rtol=1e-3, atol=1e-3) and np.abs(got).max() > 1
+    passages.unpersist()
+
+
+def test_answers_cost_little_more_than_their_items_grams():
+    rnd = random.Random(61)
+    texts = ["".join(rnd.choice("가나다라마바사아자차카타파하거너더러머버서") for _ in range(250)) for _ in range(400)]
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    base = min(seconds(lambda: [np.unique(leakage.grams(y, leakage.OWN)) for y in texts]) for _ in range(3))
+    assert min(seconds(lambda: leakage.Answers(texts)) for _ in range(3)) < 20 * base
+    sets = [{y[k : k + leakage.OWN] for k in range(len(y) - leakage.OWN + 1)} for y in texts]
+    n = collections.Counter(g for s in sets for g in s)
+    assert [len(o) for o in leakage.Answers(texts).own] == [sum(n[g] == 1 for g in s) for s in sets]
+
+
 def test_subsequence():
     rnd = random.Random(2)
     for _ in range(100):
