@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from filamento.functions import text as X
 from filamento.functions.udf import arrow
+from filamento.operators import edits as E
 from filamento.operators import minhash as M
 from filamento.operators.sections import indel_ratio
 from filamento.plans.runtime import key_counts, materialize, salted_join, spread
@@ -43,6 +44,18 @@ def difflib_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+_EDITS = T.StructType([T.StructField("levenshtein", T.DoubleType()), T.StructField("difflib", T.DoubleType())])
+
+
+@arrow(_EDITS)
+def edit_ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Levenshtein similarity and ratio of matching blocks without the junk heuristic, at any length; null for nulls."""
+    sides = list(zip(a.to_pylist(), b.to_pylist()))
+    held = list(dict.fromkeys(s for s in sides if None not in s))
+    found = {s: {"levenshtein": 1 - d / (max(map(len, s)) or 1), "difflib": E.matching_ratio(*s)} for s, d in zip(held, E.distances(held))}
+    return pa.array([found.get(s) for s in sides], pa.struct([("levenshtein", pa.float64()), ("difflib", pa.float64())]))
+
+
 def diff(before: list[str], after: list[str]) -> dict:
     """Added, modified (new side) and removed paragraphs by longest matching blocks."""
     out: dict = {"added": [], "modified": [], "removed": [], "n_same": 0}
@@ -162,13 +175,40 @@ def _joined_cosine(docs: DataFrame, entity: str, section: str, period: str, text
     return met.select(entity, section, "prev", "cur", F.coalesce(F.col("_dot") / (F.col("_cur") * F.col("_prev")), F.lit(0.0)).alias("cosine"))
 
 
+MEASURES = ("cosine", "jaccard", "levenshtein", "difflib")
+
+
+def _word_jaccard(a: Column, b: Column) -> Column:
+    return jaccard(F.array_distinct(X.words(a)), F.array_distinct(X.words(b)))
+
+
 def change_rates(docs: DataFrame, *, entity: str, section: str, period: str, text: str) -> DataFrame:
     """Four similarities of neighbouring periods and the change (1 - similarity) of each."""
     cos = tfidf_cosine(docs, entity=entity, section=section, period=period, text=text)
     at = lambda p, t: docs.select(entity, section, F.col(period).alias(p), F.col(text).alias(t))
     both = cos.join(at("prev", "_a"), [entity, section, "prev"]).join(at("cur", "_b"), [entity, section, "cur"])
-    out = both.select(entity, section, "prev", "cur", "cosine", jaccard(F.array_distinct(X.words(F.col("_a"))), F.array_distinct(X.words(F.col("_b")))).alias("jaccard"), levenshtein_similarity(F.col("_a"), F.col("_b")).alias("levenshtein"), difflib_ratio("_a", "_b").alias("difflib"))
-    return out.select("*", *[(1 - F.col(m)).alias(f"change_{m}") for m in ("cosine", "jaccard", "levenshtein", "difflib")])
+    out = both.select(entity, section, "prev", "cur", "cosine", _word_jaccard(F.col("_a"), F.col("_b")).alias("jaccard"), levenshtein_similarity(F.col("_a"), F.col("_b")).alias("levenshtein"), difflib_ratio("_a", "_b").alias("difflib"))
+    return out.select("*", *[(1 - F.col(m)).alias(f"change_{m}") for m in MEASURES])
+
+
+def cleaned_change_rates(docs: DataFrame, *, entity: str, section: str, period: str, text: str, clean: str) -> DataFrame:
+    """(entity, section, prev, cur, {measure}_before, {measure}_after): changes of neighbouring periods by ``text`` and
+    by ``clean``, its cleaned form.
+
+    Texts of any length have all four measures. Only the cosine, whose weights are of all texts, is taken
+    anew for every pair; the others follow from two texts, so they are taken again where cleaning moved one.
+    """
+    key = [entity, section, "prev", "cur"]
+    cos = [tfidf_cosine(docs, entity=entity, section=section, period=period, text=t).withColumnRenamed("cosine", f"cosine_{v}") for t, v in ((text, "before"), (clean, "after"))]
+    at = lambda p, s: docs.select(entity, section, F.col(period).alias(p), F.col(text).alias(f"_{s}"), F.when(~F.col(text).eqNullSafe(F.col(clean)), F.col(clean)).alias(f"_new_{s}"))
+    both = cos[0].join(cos[1], key).join(at("prev", "a"), [entity, section, "prev"]).join(at("cur", "b"), [entity, section, "cur"])
+    moved = F.col("_new_a").isNotNull() | F.col("_new_b").isNotNull()
+    new = [F.when(moved, F.coalesce(f"_new_{s}", f"_{s}")) for s in "ab"]
+    own = spread(both, *key).select(*key, "cosine_before", "cosine_after", moved.alias("_moved"), _word_jaccard(F.col("_a"), F.col("_b")).alias("jaccard_before"), F.when(moved, _word_jaccard(*new)).alias("_jaccard"), edit_ratios("_a", "_b").alias("_old"), edit_ratios(*new).alias("_new"))
+    after = lambda then, before: F.when(F.col("_moved"), then).otherwise(before)
+    told = own.withColumn("jaccard_after", after(F.col("_jaccard"), F.col("jaccard_before")))
+    told = told.withColumns({f"{m}_before": F.col(f"_old.{m}") for m in ("levenshtein", "difflib")} | {f"{m}_after": after(F.col(f"_new.{m}"), F.col(f"_old.{m}")) for m in ("levenshtein", "difflib")})
+    return told.select(*key, *[(1 - F.col(f"{m}_{v}")).alias(f"{m}_{v}") for m in MEASURES for v in ("before", "after")])
 
 
 def set_changes(paras: DataFrame, *, entity: str, section: str, period: str, text: str, removed: bool = False) -> DataFrame:

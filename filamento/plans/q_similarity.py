@@ -197,11 +197,10 @@ def m13(spark, d):
 @q("m13_artifact_impact_whole")
 def m13_whole(spark, d):
     """All four measures of change before and after editor residue is stripped."""
-    x = materialize(docs(spark, d), "docs")
-    measures = ("cosine", "jaccard", "levenshtein", "difflib")
-    of = lambda rows, name: M.change_rates(rows, entity="corp", section="sid", period="fy", text="text").groupBy("sid", "prev", "cur").agg(*[F.avg(f"change_{m}").alias(f"{m}_{name}") for m in measures])
-    both = of(x, "before").join(of(x.withColumn("text", X.strip_artifacts(F.col("text"))), "after"), ["sid", "prev", "cur"])
-    return both.select("sid", "prev", "cur", *[F.round(f"{m}_{v}", 4).alias(f"{m}_{v}") for m in measures for v in ("before", "after")], *[F.round(F.col(f"{m}_after") - F.col(f"{m}_before"), 4).alias(f"delta_{m}") for m in measures])
+    x = materialize(docs(spark, d).withColumn("clean", X.strip_artifacts(F.col("text"))), "docs")
+    rates = M.cleaned_change_rates(x, entity="corp", section="sid", period="fy", text="text", clean="clean")
+    both = rates.groupBy("sid", "prev", "cur").agg(*[F.avg(f"{m}_{v}").alias(f"{m}_{v}") for m in M.MEASURES for v in ("before", "after")])
+    return both.select("sid", "prev", "cur", *[F.round(f"{m}_{v}", 4).alias(f"{m}_{v}") for m in M.MEASURES for v in ("before", "after")], *[F.round(F.col(f"{m}_after") - F.col(f"{m}_before"), 4).alias(f"delta_{m}") for m in M.MEASURES])
 
 
 _PROTECTED = "regexp_replace(text, '&(cr[A-Za-z0-9])', chr(1) || '\\1', 'gi')"
