@@ -411,21 +411,56 @@ def artifact_coverage(units: DataFrame, by: list[str], text: str) -> DataFrame:
     return g.select(*by, "artifact", "n_units", "n_hit", F.round(F.col("n_hit") / F.col("n_units"), 4).alias("coverage"), "occurrences", "removed_chars", F.round("mean_per_hit", 1).alias("mean_per_hit"), F.round(F.try_divide(F.col("removed_chars"), F.col("_chars")), 6).alias("share"))
 
 
+#: Names up to this length are met by what is left of them without a few characters; longer ones by 2-grams.
+SHORT_NAME = 60
+
+
+def _shortened(most: int):
+    @arrow(T.ArrayType(T.StringType()))
+    def shortened(names: pa.Array) -> pa.Array:
+        """What is left of each name without any ``most`` or fewer of its characters."""
+        out = []
+        for k in names.to_pylist():
+            left = [{k}]
+            for _ in range(most):
+                left.append({s[:i] + s[i + 1 :] for s in left[-1] for i in range(len(s))})
+            out.append(list(set().union(*left)))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return shortened
+
+
 def match_names(names: DataFrame, choices: DataFrame, *, key: str, name: str, choice: str, threshold: float = 92.0) -> DataFrame:
     """(key, name, choice, match_type, score): equal normal forms first, the rest by best similarity.
 
-    The fuzzy part pairs names and choices that share a 2-gram of their normal forms (any pair of 92
-    percent or more does, unless one has a single character) instead of all pairs.
+    The fuzzy part first pairs names with choices that are equal once the name has lost at most one
+    character and the choice at most two, so grams that all names share pair nothing. No other choice
+    can be as good as the best of these, or as the threshold, for most names. Those left meet the choices that share
+    one of their rarest 2-grams (any pair of 92 percent or more shares a 2-gram, unless one has a single
+    character), of which there are more than a good enough choice can lack.
     """
     n = names.select(key, name, X.corp_name_key(F.col(name)).alias("_k")).where("_k <> ''")
     c = choices.select(F.col(choice).alias("choice"), X.corp_name_key(F.col(choice)).alias("_c")).where("_c <> ''").groupBy("_c").agg(F.min("choice").alias("choice"))
     exact = n.join(c, n._k == c._c).select(key, name, "choice", F.lit("exact").alias("match_type"), F.lit(100.0).alias("score"))
     rest = n.join(c.select(F.col("_c").alias("_k")), "_k", "left_anti")
-    left = rest.select(F.col("_k"), F.explode(X.char_ngrams(F.col("_k"), 2)).alias("g")).distinct()
+    keys = materialize(rest.select("_k").distinct(), "name-keys")
+    cut = lambda df, col, most, longest: spread(df.where(F.length(col) <= longest).select(col), col).select(col, F.explode(_shortened(most)(col)).alias("_s")).select(col, F.xxhash64("_s").alias("_s"))
+    met = cut(keys, "_k", 1, SHORT_NAME).join(cut(c, "_c", 2, SHORT_NAME + 2), "_s").select("_k", "_c").distinct()
+    score = lambda pairs: spread(pairs, "_k", "_c").withColumn("score", _indel("_k", "_c")).where(F.col("score") >= threshold)
+    first = lambda pairs: pairs.groupBy("_k").agg(F.max_by(F.struct("_c", "score"), F.struct("score", F.col("_c"))).alias("b"))
+    near = materialize(keys.join(first(score(met)), "_k", "left"), "near-names")
+    # The best score of a choice that lacks two characters of the name, and of one with three more.
+    size, least = F.length("_k"), F.coalesce("b.score", F.lit(threshold))
+    done = (size <= SHORT_NAME) & (least * (size - 1) > 100 * (size - 2)) & (least * (2 * size + 3) > 200 * size)
     right = c.select("_c", F.explode(X.char_ngrams(F.col("_c"), 2)).alias("g"))
-    close = F.abs(F.length("_k") - F.length("_c")) * 100 <= (100 - threshold) * (F.length("_k") + F.length("_c"))
-    scored = left.join(right, "g").where(close).select("_k", "_c").distinct().withColumn("score", _indel("_k", "_c")).where(F.col("score") >= threshold)
-    best = scored.groupBy("_k").agg(F.max_by(F.struct("_c", "score"), F.struct("score", F.col("_c"))).alias("b"))
+    left = near.where(~done).select("_k", least.alias("_least"), F.explode(X.char_ngrams(F.col("_k"), 2)).alias("g")).distinct()
+    # Of a name's 2-grams, a choice lacks two for each character it lacks and one for each it adds.
+    lacking = F.when(F.col("_least") * 3 >= 200, F.floor(F.length("_k") * 4 * (100 - F.col("_least")) / (200 - F.col("_least")) + 1e-9)).otherwise(F.length("_k"))
+    rarest = F.row_number().over(Window.partitionBy("_k").orderBy(F.coalesce("_n", F.lit(0)), "g"))
+    left = left.join(right.groupBy("g").agg(F.count(F.lit(1)).alias("_n")), "g", "left").withColumn("_r", rarest).where(F.col("_r") <= lacking + 1)
+    close = F.abs(F.length("_k") - F.length("_c")) * 100 <= (100 - F.col("_least")) * (F.length("_k") + F.length("_c")) + 1e-9
+    far = score(left.join(right, "g").where(close).select("_k", "_c").distinct())
+    best = near.where(done & F.col("b").isNotNull()).select("_k", "b").unionByName(first(far))
     fuzzy = rest.join(best, "_k").join(c, F.col("b._c") == c._c).select(key, name, "choice", F.lit("fuzzy").alias("match_type"), F.round("b.score", 4).alias("score"))
     return exact.unionByName(fuzzy)
 
