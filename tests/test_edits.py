@@ -1,6 +1,7 @@
 """Edit distances and matching blocks against difflib and the plain table; the four measures of whole texts."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -38,6 +39,18 @@ def test_matching_blocks_are_those_of_difflib(monkeypatch, hits):
         assert E.matching_ratio(a, b) == ratio(a, b), (a, b)
 
 
+def test_matching_blocks_take_a_fraction_of_difflibs_time():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("가나다라마바사아자차카타파하", k=rnd.randrange(1, 5))) for _ in range(200)]
+    a, b = (" ".join(rnd.choices(words, k=500)) for _ in "ab")
+    took = []
+    for f in (E.matching_ratio, ratio):
+        began = time.process_time()
+        f(a, b)
+        took.append(time.process_time() - began)
+    assert took[0] * 3 < took[1]
+
+
 def test_distances_together_and_alone():
     pairs = [*texts(4, 200, 200), ("", "가"), ("가", ""), ("", ""), ("가" * 64, "가" * 63), ("가" * 128, "나" * 64)]
     want = [distance(a, b) for a, b in pairs]
